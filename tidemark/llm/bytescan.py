@@ -24,6 +24,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_MARKS = _SPACE.copy()  # everything in ASCII that is neither a letter nor a digit
+_MARKS[[c for c in range(128) if not chr(c).isalnum()]] = True
 
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -98,12 +100,15 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.
         i = j
 
 
-def words(part: np.ndarray, bounds: np.ndarray) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, hashed to 64 bits each."""
+def words(part: np.ndarray, bounds: np.ndarray, marks_too: bool = False) -> Words:
+    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, hashed to 64 bits each.
+
+    ``marks_too``: ASCII punctuation and control bytes separate words as well.
+    """
     n = len(part)
     if not n:
         return Words(np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    inside = ~_SPACE[part]
+    inside = ~(_MARKS if marks_too else _SPACE)[part]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()

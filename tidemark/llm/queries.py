@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import minhash
+from tidemark.llm import decontaminate, minhash, mixing, ppm, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,12 +15,33 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return ppm.predict(spark, _table(spark, folder, "documents"))
+
+
+def op4_token_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.round_trip(spark, _table(spark, folder, "documents"), name="op4")
+
+
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(spark, _table(spark, folder, "documents"), name="op7")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.overlaps(spark, _table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op9_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(spark, _table(spark, folder, "documents"), k=2, percent=80, name="op9")
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_language_id": op3_language_id,
+        "op4_token_ids": op4_token_ids,
+        "op7_mixing": op7_mixing,
+        "op8_decontamination": op8_decontamination,
         "op9_minhash_dedup": op9_minhash_dedup,
     }
 
