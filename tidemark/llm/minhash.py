@@ -15,8 +15,8 @@ Plan
 3. Bands that only one text has are dropped; what is left forms table keys.
 4. Pairs are proposed in rounds and confirmed on full shingle sets: first each
    text against one hub, then, only in buckets whose members are not yet one
-   component, against a few hubs, then whatever pairs of different components
-   are left, each pair once.  Buckets are never expanded into all pairs of
+   component, those outside the largest against a few hubs of it, then whatever
+   pairs of different components are left, in bounded tiles.  Buckets are never expanded into all pairs of
    members that are already connected, and no pair that could still join two
    components is skipped.
 """
@@ -26,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,8 @@ from tidemark.llm.store import Workspace, prepare
 
 BANDS = 12  #: bands of each of the two collections
 ROWS = 4  #: MinHash values of a band
-HUBS = 6  #: hubs of the second round
+HUBS = 6  #: hubs of each bucket in the second round
+TILE_OUT, TILE_ALL = 256, 1024  #: texts of a tile's two sides in the last round
 
 
 def _family(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,6 +113,54 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _tile_links(percent: int):
+    """Links of one tile: outside texts against all, at most one for each component that a text reaches."""
+
+    def run(tile: pd.DataFrame) -> pd.DataFrame:
+        tile = tile.sort_values(["outside", "node"], kind="stable")
+        out, rest = tile[tile["outside"]], tile[~tile["outside"]]
+        u, v = [], []
+        if len(out) and len(rest):
+            sizes = rest["shingles"].str.len().to_numpy(np.int64)
+            values = np.concatenate(rest["shingles"].to_list())
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            vocabulary, place = np.unique(values, return_inverse=True)
+            mark = np.zeros(len(vocabulary) + 1, np.int32)
+            nodes, components = rest["node"].to_numpy(), rest["c"].to_numpy()
+            for node, c, own in zip(out["node"], out["c"], out["shingles"], strict=True):
+                at = np.searchsorted(vocabulary, own)
+                at = np.where(vocabulary[np.minimum(at, len(vocabulary) - 1)] == own, at, len(vocabulary))
+                mark[at] = 1
+                mark[-1] = 0
+                common = np.add.reduceat(mark[place], starts)
+                mark[at] = 0
+                near = (100 * common >= percent * (len(own) + sizes - common)) & (components != c)
+                if near.any():
+                    _, first = np.unique(components[near], return_index=True)
+                    v.extend(nodes[near][first].tolist())
+                    u.extend([node] * len(first))
+        return pd.DataFrame({"u": pd.Series(u, dtype="int64"), "v": pd.Series(v, dtype="int64")})
+
+    return run
+
+
+def _tiled(ws: Workspace, placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (u, v) between different components of each block.
+
+    ``placed`` (block, node, c): a block is a component with all texts that
+    share a bucket with it.  Texts outside the component meet all of the block's
+    texts in tiles of bounded size; only links leave a tile.
+    """
+    rows = ws.save(placed.distinct(), "block")
+    counts = rows.groupBy("block").agg(F.ceil(F.count(F.when(F.col("c") != F.col("block"), 1)) / TILE_OUT).cast("int").alias("outs"), F.ceil(F.count("*") / TILE_ALL).cast("int").alias("alls"))
+    rows = rows.join(ws.save(counts, "counts"), "block")
+    i = F.pmod(F.xxhash64("node", F.lit(1)), F.col("outs")).cast("int")
+    j = F.pmod(F.xxhash64("node", F.lit(2)), F.col("alls")).cast("int")
+    out = rows.where("c <> block").select("block", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"), F.lit(True).alias("outside"), "node", "c")
+    rest = rows.select("block", F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("i"), j.alias("j"), F.lit(False).alias("outside"), "node", "c")
+    return out.unionByName(rest).join(sets, "node").groupBy("block", "i", "j").applyInPandas(_tile_links(percent), "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, name: str = "minhash") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text, ...).
 
@@ -148,37 +198,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     # round one: the least hub that a text meets in any table
     pairs = members.where("hub < node").groupBy("node").agg(F.min("hub").alias("v")).select(F.col("node").alias("u"), "v")
     links = ws.save(_confirmed(pairs, sets, percent), "links")
-    # what is known to be connected so far; the full components come after round two
-    hop = links.select(F.col("u").alias("v"), F.col("v").alias("w"))
-    component = links.join(hop, "v", "left").select(F.col("u").alias("node"), F.coalesce("w", "v").alias("component"))
+    component = connected_components(ws, links)
 
-    settled = False
     for last in (False, True):
-        placed = members.select("key", "node").join(component, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-        picks = [F.min_by(F.struct("node", "c"), F.xxhash64("node", F.lit(s))).alias(f"p{s}") for s in range(HUBS)]
-        open_buckets = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), *([] if last else picks)).where("lo < hi")
-        open_buckets = ws.save(open_buckets.drop("lo", "hi"), "open")
+        # larger components first: what a bucket's first component lacks are few members
+        sizes = component.groupBy("component").agg((-F.count("*")).alias("size"))
+        ranked = component.join(sizes, "component").select("node", F.struct("size", "component").alias("c"))
+        alone = F.struct(F.lit(-1).cast("long").alias("size"), F.col("node").alias("component"))
+        placed = ws.save(members.select("key", "node").join(ranked, "node", "left").select("key", "node", F.coalesce("c", alone).alias("c")), "placed")
+        picks = [] if last else [F.min_by("node", F.struct("c", F.xxhash64("node", F.lit(s)))).alias(f"p{s}") for s in range(HUBS)]
+        open_buckets = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), *picks).where("lo < hi")
+        open_buckets = ws.save(open_buckets.drop("hi"), "open")
         if open_buckets.isEmpty():
             break
         if last:
-            mine = ws.save(placed.join(open_buckets, "key", "left_semi").join(groups.select("node", "bands"), "node"), "mine")
-            other = mine.select("key", F.col("node").alias("v"), F.col("c").alias("cv"), F.col("bands").alias("bv"))
-            # the pair is proposed by the first table that it shares, and by no other
-            first = f"""xxhash64(element_at(filter(slice(bands, 1, {BANDS}), h -> array_contains(bv, h)), 1),
-                element_at(filter(slice(bands, {BANDS + 1}, {BANDS}), h -> array_contains(bv, h)), 1))"""
-            pairs = mine.join(other, "key").where("node > v and c <> cv").where(f"key = {first}").select(F.col("node").alias("u"), "v")
+            found = ws.save(_tiled(ws, placed.join(open_buckets, "key").select(F.col("lo.component").alias("block"), "node", F.col("c.component").alias("c")), sets, percent), "links")
         else:
-            hub = placed.join(open_buckets, "key").select("node", "c", F.explode(F.array(*[f"p{s}" for s in range(HUBS)])).alias("p"))
-            pairs = hub.where("c <> p.c").select(F.greatest("node", "p.node").alias("u"), F.least("node", "p.node").alias("v")).distinct()
-        found = ws.save(_confirmed(pairs, sets, percent), "links")
+            outside = placed.join(open_buckets, "key").where("c <> lo").select("node", F.explode(F.array_distinct(F.array(*[f"p{s}" for s in range(HUBS)]))).alias("hub"))
+            pairs = outside.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
+            found = ws.save(_confirmed(pairs, sets, percent), "links")
+        ws.drop(placed, open_buckets)
+        if found.isEmpty():
+            continue
         links = links.unionByName(found)
-        if last and found.isEmpty():
-            break
         component = connected_components(ws, links)
-        settled = True
 
-    if not settled:
-        component = connected_components(ws, links)
     ws.drop(sets, members)
     copies = ws.save(groups.where("node < most").select("h1", "h2", "node"), "copies")
     own = signed.select("doc_id", "h1", "h2", "n_shingles")
