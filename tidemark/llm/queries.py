@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, minhash, mixing, ppm, tokens
+from tidemark.llm import decontaminate, extract, minhash, mixing, neighbours, ppm, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract.extract(spark, _table(spark, folder, "pages"))
+
+
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return ppm.predict(spark, _table(spark, folder, "documents"))
 
@@ -23,6 +27,10 @@ def op4_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.round_trip(spark, _table(spark, folder, "documents"), name="op4")
 
 
+def op6_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.near_vectors(spark, _table(spark, folder, "embeddings"), cosine=0.93, name="op6")
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(spark, _table(spark, folder, "documents"), name="op7")
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -38,8 +46,10 @@ def op9_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_html_extraction": op1_html_extraction,
         "op3_language_id": op3_language_id,
         "op4_token_ids": op4_token_ids,
+        "op6_embedding_dedup": op6_embedding_dedup,
         "op7_mixing": op7_mixing,
         "op8_decontamination": op8_decontamination,
         "op9_minhash_dedup": op9_minhash_dedup,
