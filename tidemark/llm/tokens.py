@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.store import Workspace, local_path, prepare
 
 END_ID = 1  #: appended to each document
-CACHE_WORDS = 400_000  #: words whose ids a worker remembers
+CACHE_WORDS = 1_200_000  #: words whose ids a worker remembers, about 200 bytes each
 SHARD_ROWS = 8192  #: documents of a shard, about
 _SPACE = " \t\n\r"
 
@@ -89,9 +89,9 @@ class WordEncoder:
             self.known.clear()
         known = self.known
         known[""] = b""
-        missing = [w for w in set(words) if w not in known]
+        missing = set(words).difference(known)
         if missing:
-            self._learn(missing)
+            self._learn(list(missing))
         return b"".join(map(known.__getitem__, words))
 
 
