@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, extract, minhash, mixing, neighbours, ppm, tokens
+from tidemark.llm import decontaminate, extract, licenses, minhash, mixing, neighbours, pii, ppm, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return extract.extract(spark, _table(spark, folder, "pages"))
 
 
+def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(spark, _table(spark, folder, "documents"))
+
+
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return ppm.predict(spark, _table(spark, folder, "documents"))
 
@@ -27,6 +31,10 @@ def op4_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.round_trip(spark, _table(spark, folder, "documents"), name="op4")
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(spark, _table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op6_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.near_vectors(spark, _table(spark, folder, "embeddings"), cosine=0.93, name="op6")
 
@@ -44,15 +52,22 @@ def op9_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(spark, _table(spark, folder, "documents"), k=2, percent=80, name="op9")
 
 
+def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(spark, _table(spark, folder, "documents"), name="op10")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_html_extraction": op1_html_extraction,
+        "op2_pii": op2_pii,
         "op3_language_id": op3_language_id,
         "op4_token_ids": op4_token_ids,
+        "op5_toxicity": op5_toxicity,
         "op6_embedding_dedup": op6_embedding_dedup,
         "op7_mixing": op7_mixing,
         "op8_decontamination": op8_decontamination,
         "op9_minhash_dedup": op9_minhash_dedup,
+        "op10_license_scan": op10_license_scan,
     }
 
 
