@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.plans import panel_queries
 from tidemark.plans.registry import oracles, queries
 
 __all__ = ["entry", "oracles", "queries"]
 
 
 def entry(spark: SparkSession, folder: str) -> DataFrame:
-    """The flagship query."""
-    return spark.read.parquet(f"{folder}/nation.parquet")
+    """The flagship query: the calendar-aligned return panel."""
+    return panel_queries.spine_aligned_panel(spark, folder)
