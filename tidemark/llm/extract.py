@@ -232,7 +232,7 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     does a page without article blocks; unclosed or stray tags end where their
     surroundings do; repeated rows give equal rows; further columns are ignored.
     """
-    prepare(spark, 500)
+    prepare(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

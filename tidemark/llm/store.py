@@ -71,7 +71,7 @@ def ids(*names: str) -> StructType:
     return StructType([StructField(n, LongType()) for n in names])
 
 
-def prepare(spark: SparkSession, rows: int = 2000) -> None:
+def prepare(spark: SparkSession, rows: int = 256) -> None:
     """Bound what one Arrow batch hands to Python, and let Python workers find this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

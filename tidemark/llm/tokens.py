@@ -120,7 +120,7 @@ def _bounds(docs: DataFrame, shards: int) -> list[int]:
 
 def write(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str, rows_per_shard: int = SHARD_ROWS) -> DataFrame:
     """Write ``docs`` (doc_id, text) below ``folder``; one row a shard: shard, name, documents, ids, base, width."""
-    prepare(spark, 500)
+    prepare(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = source.count()
     shards = max(1, -(-rows // rows_per_shard))

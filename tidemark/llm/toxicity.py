@@ -164,7 +164,7 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     once for each distinct label; repeated rows are scored alike; further
     columns are ignored.
     """
-    prepare(spark, 500)
+    prepare(spark)
     model = spark.sparkContext.broadcast(train(spark, docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
