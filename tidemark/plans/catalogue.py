@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import panel_queries
+from tidemark.plans import dose_queries, panel_queries  # noqa: F401
 from tidemark.plans.registry import oracles, queries
 
 __all__ = ["entry", "oracles", "queries"]
