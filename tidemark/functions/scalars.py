@@ -15,7 +15,7 @@ def is_blank(x: Column) -> Column:
 
 def parse_list(x: Column) -> Column:
     """Items of a ``;``-separated cell, trimmed, blanks left out; a null cell is an empty list."""
-    return F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), ";"), F.trim), lambda i: i != "")
+    return F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), ";"), lambda i: F.trim(i)), lambda i: i != "")
 
 
 def parse_bool(x: Column) -> Column:
