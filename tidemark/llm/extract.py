@@ -190,6 +190,7 @@ def _labelled_pages() -> list[tuple[str, str]]:
     """(page, where a block counts as article iff it holds the mark §).  Written by hand for this table."""
     long, short = f"§ {_S * 2}", f"§ {_T}"
     p = f"<p>{long}</p><p>{short}</p><p>{long} <a href='/x'>a source</a></p>"
+    rant, links = _S * 3, "<a href='/'>Home of the club</a> | <a href='/n'>All the news of today</a> | <a href='/b'>Older pieces</a>"
     return [
         f"<body><nav><ul>{_MENU}</ul></nav><div class='ad'>{_T}</div><article><h1>§ Small boats</h1>{p}</article><footer>Copyright someone <a href='/'>imprint</a></footer></body>",
         f"<body><header><h1>The Daily</h1>{_T}</header><main><h2>§ Boats</h2>{p}<aside>{_S}</aside><p>{short}</p></main><footer>{_T}</footer></body>",
@@ -202,6 +203,11 @@ def _labelled_pages() -> list[tuple[str, str]]:
         f"<body><section><article><p>{long}</p><p>§ Yes.</p></article></section><p>{_T}</p><p>{_S}</p><p><a href='/z'>Terms</a></p></body>",
         f"<body><div>Menu</div><div>{long}</div><p>{short}</p><div>{long}</div><div>Imprint</div></body>",
         f"<body><div class='content'><p>{long}</p><p>§ <a href='/x'>A link in the text</a> and five more words here.</p><p>{short}</p></div><div class='widget'>{_S}</div></body>",
+        f"<body><div class='comments'><p>{rant}</p><p>{rant} {rant}</p><p>{_T}</p></div><main>{p}</main><aside>{rant}</aside><footer><p>{rant}</p></footer></body>",
+        f"<body><div class='cookie-notice'><p>{rant}</p></div><div class='sidebar'><p>{rant} {_S}</p><p>{rant}</p></div><div class='entry'>{p}{p}</div><form><p>{rant}</p></form></body>",
+        f"<body><div>{rant}</div><article>{p}<p>§ Short one.</p></article><div>{rant} {_S}</div><p>{rant}</p><div>{_S}</div></body>",
+        f"<body><p>{links}</p><div>{long}</div><div>{long}</div><p>{links}</p></body>",
+        f"<body><div>{links}</div><p>{long}</p><p>{short}</p><p>{long}</p><div>{links}</div><div>{links}</div></body>",
     ]
 
 

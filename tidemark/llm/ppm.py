@@ -67,8 +67,12 @@ class Model:
         leave: list[np.ndarray] = []
         roots_leave = np.zeros((1, size), np.float32)
         previous_ids, previous_cost, previous_leave = np.array([1], np.uint64), None, None
+        # contexts are nodes too, even those that hold the zero bytes before a text
+        nodes: list[np.ndarray] = [np.zeros(0, np.uint64)] * (order + 2)
+        for k in range(order, -1, -1):
+            nodes[k] = np.unique(np.concatenate([*(s[k][0] for s in seen), nodes[k + 1] >> np.uint64(8)]))
         for k in range(order + 1):
-            own = np.unique(np.concatenate([s[k][0] for s in seen])) if seen else np.zeros(0, np.uint64)
+            own = nodes[k]
             parents = own >> np.uint64(8)
             parent_at = np.searchsorted(previous_ids, parents)
             count = np.zeros((len(own), size))

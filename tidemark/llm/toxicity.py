@@ -24,7 +24,7 @@ FEATURES = 4000  #: features kept at most, by association with the label
 LEAST_Z = 5.0  #: and of those only the ones whose association is no chance
 PREFIXES = (4, 5, 6)
 RIDGE = 3e-5
-COUNTERFACTUAL = 1.0
+COUNTERFACTUAL = 10.0
 THRESHOLD = 0.7
 CACHE_WORDS = 300_000
 
