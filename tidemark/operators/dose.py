@@ -120,7 +120,7 @@ def wild_bootstrap(rows: DataFrame, weights: str, draws: int = 2000, seed: int =
     check_identified(rows)
     spark = rows.sparkSession
     frame = _driver_rows(complete_cases(rows, "car", "exposure"), ["event_id", "unit_id", "car", "exposure"], most)
-    event = frame["event_id"].astype("category").cat.codes.to_numpy()
+    event = frame["event_id"].astype("category").cat.codes.to_numpy().astype(np.int64)
 
     def centred(v: np.ndarray) -> np.ndarray:
         counts = np.bincount(event)
