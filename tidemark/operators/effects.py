@@ -138,3 +138,38 @@ def effective_units(panel: DataFrame) -> DataFrame:
     mean = pairs.agg(F.avg("rho").alias("mean_correlation")).crossJoin(n)
     width = 1 + (F.col("units") - 1) * F.col("mean_correlation")
     return mean.select("units", "mean_correlation", F.when(width <= 0, F.col("units").cast("double")).otherwise(F.col("units") / F.nullif(width, F.lit(0.0))).alias("effective"))
+
+
+def newey_west_slope(ar: DataFrame, gap: int, lags: int = 10) -> DataFrame:
+    """(event_id, unit_id, slope, se, t): trend of the cumulative gap before the embargo with Bartlett-weighted errors.
+
+    Sums of lagged score products come from window lags over each (event, unit) path.
+    """
+    order = Window.partitionBy("event_id", "unit_id").orderBy("rel")
+    whole = Window.partitionBy("event_id", "unit_id")
+    path = ar.where(F.col("rel") < -gap).select("event_id", "unit_id", F.col("rel").cast("double").alias("x"), "rel", F.sum("ar").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("g"))
+    path = path.withColumn("b", F.regr_slope("g", "x").over(whole)).withColumn("dx", F.col("x") - F.avg("x").over(whole)).withColumn("e", F.col("g") - F.avg("g").over(whole) - F.col("b") * F.col("dx"))
+    path = path.withColumn("s", F.col("dx") * F.col("e"))
+    products = F.col("s") * F.col("s")
+    for k in range(1, lags + 1):
+        products = products + 2 * (1 - k / (lags + 1)) * F.col("s") * F.coalesce(F.lag("s", k).over(order), F.lit(0.0))
+    sums = path.withColumn("p", products).groupBy("event_id", "unit_id").agg(F.max("b").alias("slope"), F.sum("p").alias("m"), F.sum(F.col("dx") * F.col("dx")).alias("xx"))
+    se = F.sqrt(F.greatest("m", F.lit(0.0))) / F.nullif("xx", F.lit(0.0))
+    return sums.select("event_id", "unit_id", "slope", se.alias("se"), (F.col("slope") / F.nullif(se, F.lit(0.0))).alias("t"))
+
+
+def in_time_placebos(panel: DataFrame, windows: DataFrame, offsets: DataFrame, estimation: int, gap: int, horizon: int) -> DataFrame:
+    """(event_id, unit_id, tau, placebos, p_value): each event's effect against its own at earlier positions.
+
+    ``offsets`` (event_id, k, pos).  The event and its placebos are fitted in the
+    same grouped pass; p = (1 + at least as extreme) / (1 + placebos).
+    """
+    own = windows.where(F.col("t0") >= estimation + gap).select("event_id", F.lit(-1).alias("k"), F.col("t0").alias("pos"))
+    dated = own.unionByName(offsets.select("event_id", "k", "pos"))
+    w = dated.select(F.concat_ws("|", "event_id", "k").alias("event_id"), F.col("pos").alias("t0"), F.lit(None).cast("string").alias("reason"), (F.col("pos") - estimation - gap).alias("pre_start"), (F.col("pos") - gap).alias("pre_end"), (F.col("pos") + horizon).alias("post_end"))
+    effects = car(abnormal_returns(panel, fit_market_model(panel, w, estimation), w), 0, horizon)
+    parts = effects.select(F.substring_index("event_id", "|", 1).alias("event_id"), F.substring_index("event_id", "|", -1).cast("int").alias("k"), "unit_id", "car")
+    real = parts.where("k = -1").select("event_id", "unit_id", F.col("car").alias("tau"))
+    joined = parts.where("k >= 0").join(real, ["event_id", "unit_id"])
+    out = joined.groupBy("event_id", "unit_id", "tau").agg(F.count("*").alias("placebos"), F.count(F.when(F.abs("car") >= F.abs("tau"), 1)).alias("extreme"))
+    return out.select("event_id", "unit_id", "tau", "placebos", ((1 + F.col("extreme")) / (1 + F.col("placebos"))).alias("p_value"))
