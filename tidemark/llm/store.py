@@ -6,7 +6,9 @@ is read again from the shared folder, never recomputed from the input.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known.rsplit("/", 1)[0]
-    os.makedirs(LOCAL_DEFAULT, exist_ok=True)
-    return f"file://{LOCAL_DEFAULT}"
+    own = f"{LOCAL_DEFAULT}/{os.getpid()}"
+    if not os.path.isdir(own):
+        os.makedirs(own)
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return f"file://{own}"
 
 
 class Workspace:
