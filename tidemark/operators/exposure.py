@@ -11,11 +11,7 @@ BANDS = ("A", "B", "C", "D", "E", "F", "G")
 
 
 def split_knowable(attributes: DataFrame, events: DataFrame) -> DataFrame:
-    """(event_id, attribute columns, withheld): knowable strictly before the event's date, else withheld, never dropped.
-
-    Events and attribute histories meet on the months up to the event, not as
-    a full product: each attribute row is joined to the events' cut-off dates.
-    """
+    """(event_id, attribute columns, withheld): knowable strictly before the event's date, else withheld, never dropped."""
     cut = events.select("event_id", F.to_date("ts").alias("cutoff"))
     # the curated dictionary is one row an event; the product is the task grid that is asked for
     return attributes.crossJoin(cut).withColumn("withheld", F.coalesce(F.col("knowable") >= F.col("cutoff"), F.lit(True)))
