@@ -21,9 +21,10 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     a doc_id one stays.
     """
     ws = Workspace(spark, "deduplicate")
-    found = ws.save(minhash.near_duplicates(spark, docs, k=5, percent=80, name="pipeline9"), "found")
+    found = minhash.near_duplicates(spark, docs, k=5, percent=80, ws=ws)
     kept = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
     kept = ws.save(kept, "kept")
+    ws.clear(kept)
     out = docs.join(kept.select(F.col("doc_id").alias("_kept")), F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
     if not kept.where("n > 1").isEmpty():
         out = out.dropDuplicates(["doc_id"])
@@ -63,5 +64,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = ws.save(stage(spark, docs, sf_dir), name)
+        read, docs = docs, ws.save(stage(spark, docs, sf_dir), name)
+        ws.drop(read)
     return STAGES[-1][1](spark, docs, sf_dir)

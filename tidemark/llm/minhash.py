@@ -161,7 +161,7 @@ def _tiled(ws: Workspace, placed: DataFrame, sets: DataFrame, percent: int) -> D
     return out.unionByName(rest).join(sets, "node").groupBy("block", "i", "j").applyInPandas(_tile_links(percent), "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, name: str = "minhash") -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, name: str = "minhash", ws: Workspace | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text, ...).
 
     Words are runs of other than the six ASCII white-space characters, A-Z
@@ -173,10 +173,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     Defined cases: a null, empty or blank text has no set, n_shingles 0 and is
     linked with nothing.  Rows that repeat a doc_id count as one node.  A null
     doc_id is linked with nothing: component_id null, kept true.  An empty table
-    gives no rows.  Further columns are ignored, whatever their names.
+    gives no rows.  Further columns are ignored, whatever their names.  Tables
+    go to ``ws`` if it is given, for its owner to clear, else to one of their own.
     """
     prepare(spark)
-    ws = Workspace(spark, name)
+    ws = ws or Workspace(spark, name)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = ws.save(docs.mapInArrow(_signatures(k), "doc_id long, h1 long, h2 long, n_shingles long, bands array<long>"), "signatures")
     real = signed.where("n_shingles > 0 and doc_id is not null")

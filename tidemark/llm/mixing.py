@@ -91,7 +91,7 @@ def _fold(items: str):
     return F.aggregate(rest, start, step)
 
 
-def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, name: str = "mix") -> DataFrame:
+def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, name: str = "mix", ws: Workspace | None = None) -> DataFrame:
     """(doc_id, source, rep, size, source_size, target, copies, taken) for each row of ``docs`` (doc_id, text, source, ...).
 
     ``size`` counts words ``[^\\x20\\x09-\\x0D]+``; ``taken`` is size times copies.
@@ -99,10 +99,10 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS
     the whole part of their source's rate); a null source is a source, last in
     order; rows that repeat a doc_id are told apart by ``rep``; sources without
     words have target 0; an empty table gives no rows.  Equal sizes are ordered
-    by doc_id.  Further columns are ignored.
+    by doc_id.  Further columns are ignored.  Tables go to ``ws`` if it is given.
     """
     prepare(spark)
-    ws = Workspace(spark, name)
+    ws = ws or Workspace(spark, name)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long").alias("size"))
     # repeated rows: counted first, then told apart, so that they never meet in one task
     sized = plain.groupBy("doc_id", "source", "size").agg(F.count("*").alias("m"))
@@ -144,7 +144,8 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS
 def take(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, name: str = "mix") -> DataFrame:
     """``docs`` with all its columns, each row as often as the mix takes it (not at all for 0 copies)."""
     ws = Workspace(spark, f"{name}-take")
-    mixed = ws.save(mix(spark, docs, weights, most, name).select("doc_id", "source", "size", "rep", "copies"), "copies")
+    mixed = ws.save(mix(spark, docs, weights, most, ws=ws).select("doc_id", "source", "size", "rep", "copies"), "copies")
+    ws.clear(mixed)
     counts = mixed.groupBy("doc_id").agg(F.count("*").alias("c")).agg(F.coalesce(F.max("c"), F.lit(0)).alias("most"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).collect()[0]
     names = docs.columns
     if counts["most"] <= 1 and not counts["nulls"]:

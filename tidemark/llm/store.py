@@ -16,6 +16,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 #: Used only where the session names no shared folder (tests on one machine).
 LOCAL_DEFAULT = "/tmp/checkpoints"
+_FREES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,11 +49,29 @@ class Workspace:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write and reread: the result's plan is a plain scan with a known schema."""
         path = self.path(name)
-        df.write.parquet(path)
+        # shuffle files go with the write, not with the driver's next garbage collection
+        before = self.spark.conf.get(_FREES, "false")
+        self.spark.conf.set(_FREES, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_FREES, before)
         saved = self.spark.read.schema(df.schema).parquet(path)
         saved._workspace_path = path  # for drop(); plain attribute of this Python object
         return saved
 
+    def clear(self, *keep: DataFrame) -> None:
+        """Delete all tables of this workspace but those to keep."""
+        kept = {getattr(table, "_workspace_path", None) for table in keep}
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        files = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(root):
+            return
+        for status in files.listStatus(root):
+            if not any(path and path.endswith(f"/{status.getPath().getName()}") for path in kept):
+                files.delete(status.getPath(), True)
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later step reads."""
         for table in tables:
