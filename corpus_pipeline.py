@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, minhash, mixing, ppm, tokens
-from tidemark.llm.store import Workspace
+from tidemark.llm.store import Workspace, merging
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
     kept = ws.save(kept, "kept")
     ws.clear(kept)
-    out = docs.join(kept.select(F.col("doc_id").alias("_kept")), F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
+    out = docs.join(merging(kept.select(F.col("doc_id").alias("_kept"))), F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
     if not kept.where("n > 1").isEmpty():
         out = out.dropDuplicates(["doc_id"])
     nameless = docs.where(F.col("doc_id").isNull())

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bytescan
 from tidemark.llm.components import connected_components
-from tidemark.llm.store import Workspace, prepare
+from tidemark.llm.store import Workspace, merging, prepare
 
 BANDS = 12  #: bands of each of the two collections
 ROWS = 4  #: MinHash values of a band
@@ -105,8 +105,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     y = sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv"))
     # first the side with many different partners each, so that the larger side travels once
     return (
-        pairs.join(y, "v")
-        .join(x, "u")
+        pairs.join(merging(y), "v")
+        .join(merging(x), "u")
         .withColumn("common", F.size(F.array_intersect("su", "sv")).cast("long"))
         .where(F.expr(f"100 * common >= {percent} * (size(su) + size(sv) - common)"))
         .select("u", "v")
@@ -158,7 +158,7 @@ def _tiled(ws: Workspace, placed: DataFrame, sets: DataFrame, percent: int) -> D
     j = F.pmod(F.xxhash64("node", F.lit(2)), F.col("alls")).cast("int")
     out = rows.where("c <> block").select("block", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"), F.lit(True).alias("outside"), "node", "c")
     rest = rows.select("block", F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("i"), j.alias("j"), F.lit(False).alias("outside"), "node", "c")
-    return out.unionByName(rest).join(sets, "node").groupBy("block", "i", "j").applyInPandas(_tile_links(percent), "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    return out.unionByName(rest).join(merging(sets), "node").groupBy("block", "i", "j").applyInPandas(_tile_links(percent), "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, name: str = "minhash", ws: Workspace | None = None) -> DataFrame:
@@ -185,16 +185,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
 
     keys = groups.select("node", F.posexplode("bands").alias("band", "h"))
     shared = ws.save(keys.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
-    held = keys.join(shared, "h", "left_semi").groupBy("node").agg(
+    held = keys.join(merging(shared), "h", "left_semi").groupBy("node").agg(
         F.collect_set(F.when(F.col("band") < BANDS, F.col("h"))).alias("a"), F.collect_set(F.when(F.col("band") >= BANDS, F.col("h"))).alias("b")
     )
     table = ws.save(held.select("node", F.explode("a").alias("a"), "b").select("node", "a", F.explode("b").alias("b")).select(F.xxhash64("a", "b").alias("key"), "node"), "tables")
     buckets = ws.save(table.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub"), "buckets")
-    members = ws.save(table.join(buckets, "key"), "members")
+    members = ws.save(table.join(merging(buckets), "key"), "members")
     ws.drop(table, buckets, shared)
 
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = ws.save(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "node long, shingles array<long>"), "sets")
+    sets = ws.save(docs.join(merging(wanted), "doc_id", "left_semi").mapInArrow(_sets(k), "node long, shingles array<long>"), "sets")
 
     # round one: the least hub that a text meets in any table
     pairs = members.where("hub < node").groupBy("node").agg(F.min("hub").alias("v")).select(F.col("node").alias("u"), "v")
@@ -206,16 +206,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
         sizes = component.groupBy("component").agg((-F.count("*")).alias("size"))
         ranked = component.join(sizes, "component").select("node", F.struct("size", "component").alias("c"))
         alone = F.struct(F.lit(-1).cast("long").alias("size"), F.col("node").alias("component"))
-        placed = ws.save(members.select("key", "node").join(ranked, "node", "left").select("key", "node", F.coalesce("c", alone).alias("c")), "placed")
+        placed = ws.save(members.select("key", "node").join(merging(ranked), "node", "left").select("key", "node", F.coalesce("c", alone).alias("c")), "placed")
         picks = [] if last else [F.min_by("node", F.struct("c", F.xxhash64("node", F.lit(s)))).alias(f"p{s}") for s in range(HUBS)]
         open_buckets = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), *picks).where("lo < hi")
         open_buckets = ws.save(open_buckets.drop("hi"), "open")
         if open_buckets.isEmpty():
             break
         if last:
-            found = ws.save(_tiled(ws, placed.join(open_buckets, "key").select(F.col("lo.component").alias("block"), "node", F.col("c.component").alias("c")), sets, percent), "links")
+            found = ws.save(_tiled(ws, placed.join(merging(open_buckets), "key").select(F.col("lo.component").alias("block"), "node", F.col("c.component").alias("c")), sets, percent), "links")
         else:
-            outside = placed.join(open_buckets, "key").where("c <> lo").select("node", F.explode(F.array_distinct(F.array(*[f"p{s}" for s in range(HUBS)]))).alias("hub"))
+            outside = placed.join(merging(open_buckets), "key").where("c <> lo").select("node", F.explode(F.array_distinct(F.array(*[f"p{s}" for s in range(HUBS)]))).alias("hub"))
             pairs = outside.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
             found = ws.save(_confirmed(pairs, sets, percent), "links")
         ws.drop(placed, open_buckets)
@@ -227,7 +227,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     ws.drop(sets, members)
     copies = ws.save(groups.where("node < most").select("h1", "h2", "node"), "copies")
     own = signed.select("doc_id", "h1", "h2", "n_shingles")
-    named = own.join(copies, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("node", "doc_id")).otherwise(F.col("doc_id")).alias("node"))
-    return named.join(component, "node", "left").select(
+    named = own.join(merging(copies), ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("node", "doc_id")).otherwise(F.col("doc_id")).alias("node"))
+    return named.join(merging(component), "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "node"), F.lit(True)).alias("kept")
     )

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.store import Workspace, prepare
+from tidemark.llm.store import Workspace, merging, prepare
 
 WEIGHTS = (5, 2, 1)  #: repeated over the sources in code point order, null last
 MOST_COPIES = 3
@@ -150,10 +150,10 @@ def take(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHT
     names = docs.columns
     if counts["most"] <= 1 and not counts["nulls"]:
         chosen = mixed.where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"))
-        joined = docs.join(chosen, docs["doc_id"].cast("long") == chosen["_id"])
+        joined = docs.join(merging(chosen), docs["doc_id"].cast("long") == chosen["_id"])
     else:
         size = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long")
         own = docs.withColumn("_size", size).withColumn("_rep", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy("text")))
         chosen = mixed.where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_s"), F.col("rep").alias("_r"), F.col("copies").alias("_copies"))
-        joined = own.join(chosen, own["doc_id"].eqNullSafe(F.col("_id")) & own["source"].eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_s")) & (F.col("_rep") == F.col("_r")))
+        joined = own.join(merging(chosen), own["doc_id"].eqNullSafe(F.col("_id")) & own["source"].eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_s")) & (F.col("_rep") == F.col("_r")))
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in names])

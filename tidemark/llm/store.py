@@ -95,6 +95,15 @@ def ids(*names: str) -> StructType:
     return StructType([StructField(n, LongType()) for n in names])
 
 
+def merging(side: DataFrame) -> DataFrame:
+    """A join's side that grows with the corpus: sort-merge at every size.
+
+    Left to itself Spark broadcasts it, through the driver, until its size
+    estimate passes a limit, and then changes the plan.
+    """
+    return side.hint("merge")
+
+
 def prepare(spark: SparkSession, rows: int = 256) -> None:
     """Bound what one Arrow batch hands to Python, and let Python workers find this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
