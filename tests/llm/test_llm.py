@@ -288,6 +288,27 @@ def test_substituted_passages_are_found(spark):
     assert decontaminate.overlaps(spark, frame, bench.limit(0)).count() == 0 and decontaminate.overlaps(spark, frame.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize(("run", "gap", "found"), [(11, 4, (41, 33, 0)), (13, 5, (31, 26, 0))])
+def test_a_long_copy_with_clustered_substitutions_is_found(spark, run, gap, found):
+    words = [f"w{n}" for n in range(4 * run + 3 * gap)]
+    changed = [w if n % (run + gap) < run else f"x{n}" for n, w in enumerate(words)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    frame = awkward(spark, [" ".join(changed), " ".join(changed[:run]), " ".join(w if n % 5 < 3 else "x" for n, w in enumerate(words))])
+    got = {r["doc_id"]: (r["overlap_words"], r["equal_words"], r["first_word"]) for r in decontaminate.overlaps(spark, frame, bench).collect()}
+    assert got == {0: found, 1: (run, run, 0)}
+    assert [r["doc_id"] for r in decontaminate.keep_clean(spark, frame, bench).collect()] == [2]
+
+
+def test_passing_runs_equal_brute_force():
+    rng = np.random.default_rng(19)
+    for _ in range(300):
+        equal = rng.random(int(rng.integers(1, 40))) < rng.choice([0.6, 0.75, 0.9])
+        ends = [(a, b) for a in np.flatnonzero(equal) for b in np.flatnonzero(equal) + 1 if b - a >= 10 and 5 * equal[a:b].sum() >= 4 * (b - a)]
+        got = decontaminate._passing_run(equal, 10)
+        assert (got[2] if got else 0) == max((int(equal[a:b].sum()) for a, b in ends), default=0)
+        assert got is None or (got[0], got[0] + got[1]) in ends and got[2] == equal[got[0] : got[0] + got[1]].sum()
+
+
 def test_many_blocks_find_the_same(spark, monkeypatch):
     docs, bench = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
     whole = {tuple(r) for r in decontaminate.overlaps(spark, docs, bench).collect()}

@@ -4,8 +4,9 @@ A mask names the token positions of a window that count; the others are
 ignored, so a window survives substitutions there.  Windows of the benchmark
 items under each mask are hashed into a sorted table, windows of the documents
 are looked up in it (a bit table first, then the exact keys), and each hit's
-diagonal is verified: document and item are laid side by side and the best
-scoring run of positions must hold enough words, nearly all of them equal.
+diagonal is verified: document and item are laid side by side and some run of
+positions must hold enough words, nearly all of them equal.  The best scoring
+run is taken if it does, or else the passing run with the most equal words.
 
 The benchmark is broadcast in blocks of bounded size; a benchmark of any size
 is handled by as many passes over the documents as it has blocks.
@@ -82,7 +83,13 @@ class SeedIndex:
             end = int(np.argmax(total - floor))
             begin = int(np.argmin(total[: end + 1]))
             size, same = end - begin, int(equal[begin:end].sum())
-            if size >= min(MIN_WORDS, len(theirs)) and same >= IDENTITY * size and same > best.get(item, (0, 0, 0))[1]:
+            least = min(MIN_WORDS, len(theirs))
+            if size < least or same < IDENTITY * size:
+                run = _passing_run(equal, least)
+                if run is None:
+                    continue
+                begin, size, same = run
+            if same > best.get(item, (0, 0, 0))[1]:
                 best[item] = (size, same, lo + diagonal + begin)
         return best
 
@@ -110,6 +117,22 @@ class SeedIndex:
         return [(d, item, *v) for d, hits in by_doc.items() for item, v in sorted(self.overlaps(w.hashes[w.offsets[d] : w.offsets[d + 1]], hits).items())]
 
 
+def _passing_run(equal: np.ndarray, least: int) -> tuple[int, int, int] | None:
+    """(begin, words, equal words) of the run with the most equal words among all that begin and end with one, have ``least`` words and pass IDENTITY."""
+    at = np.flatnonzero(equal)
+    if len(at) < IDENTITY * least:
+        return None
+    # the n-th equal word at p: a run from a to b passes if (1 - IDENTITY) * equal - IDENTITY * differing >= 0
+    n = np.arange(len(at))
+    level = n - IDENTITY * at
+    # for each end, the first begin that passes gives the longest run
+    first = np.searchsorted(-np.minimum.accumulate(level), -(level + 1 - IDENTITY + 1e-9), "left")
+    size = at - at[first] + 1
+    same = np.where(size >= least, n - first + 1, 0)
+    end = int(np.argmax(same))
+    return (int(at[first[end]]), int(size[end]), int(same[end])) if same[end] else None
+
+
 def _windows(hashes: np.ndarray, at: tuple[int, ...]) -> np.ndarray:
     """Hash of the counted positions of the window that begins at each word (wraps past the end)."""
     padded = np.concatenate([hashes, np.zeros(at[-1] + 1, np.uint64)])
