@@ -86,6 +86,22 @@ def test_extraction_without_an_article_element():
     assert extract.main_text(page) == f"{body} {body}."
 
 
+@pytest.mark.parametrize("tag", "head template select svg math iframe object noscript title".split())
+def test_elements_without_an_end_tag_do_not_swallow_the_article(tag):
+    body = "<article><p>One two three.</p><p>Four five six.</p></article>"
+    text = "One two three. Four five six."
+    assert extract.main_text(f"<html><body><{tag}>{body}</body></html>") == text
+    assert extract.main_text(f"<html><body><div><{tag}></div>{body}<{tag}>hidden words</{tag}></body></html>") == text
+    assert extract.main_text(f"<html><body><{tag}><p>hidden words</p></{tag}>{body}</body></html>") == text
+
+
+def test_an_open_head_ends_at_the_body():
+    rest = "<article><p>One two three.</p></article>"
+    for page in (f"<head><title>x</title><body>{rest}", f"<head><meta charset=a><title>x{rest}", f"<head><title>x</title>{rest}</head>", f"<head><title>x</title><style>p{{}}</style></head><body>{rest}"):
+        assert extract.main_text(page) == "One two three."
+    assert extract.main_text("<article><p>a b<select><option>c<option>d<p>e f<svg/>g<svg><svg></svg>h</svg> i</article>") == "a b e f g i"
+
+
 def test_extraction_keeps_rows(spark):
     frame = spark.createDataFrame([(1, "u", None, 3), (1, "u", None, 3), (2, None, "<article>x</article>", 4)], "page_id long, url string, html string, n_chars int")
     assert sorted(tuple(r) for r in extract.extract(spark, frame).fillna("-").collect()) == [(1, "u", "", 0), (1, "u", "", 0), (2, "-", "x", 1)]

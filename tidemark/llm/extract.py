@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,7 +24,7 @@ from tidemark.llm.store import prepare
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)"
-    r"|<(script|style|noscript|template|textarea|select|svg|math|iframe|object|head)\b(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+>(?:.*?</\1\s*>|.*)"
+    r"|<(script|style|textarea)\b(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+>(?:.*?</\1\s*>|.*)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>"
     r"|<[!?/][^>]*+>"
@@ -37,9 +38,11 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 BLOCKS = frozenset(
     "address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+SKIPPED = frozenset("noscript template select svg math iframe object head title".split())  #: with all that they hold, up to their own end tags
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 ASIDE_TAGS = frozenset("nav aside footer form button dialog menu fieldset label legend details".split())
+CHOICES = frozenset(["option", "optgroup"])  #: never shown as text
 MAIN_TAGS = frozenset(["article", "main"])
 ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement banner sponsor sponsored sponsors promo promotion promoted menu nav navbar navigation topnav sidebar sidenav side aside rail footer foot header masthead topbar comment comments commentlist disqus discussion reply replies respond response responses cookie cookies consent notice notices alert gdpr popup modal overlay newsletter subscribe subscription signup login signin register search share sharing social related recommended recommendations widget widgets breadcrumb breadcrumbs pagination pager toolbar copyright legal disclaimer skip hidden toc tagcloud byline meta form poll survey paywall teaser feedback".split()
@@ -51,6 +54,8 @@ ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dial
 def _role(tag: str, attributes: str, parent: int) -> int | None:
     """-1 beside the article, 1 in it, 0 unknown; None: not shown.  Without a hint of its own an element is as its parent."""
     own = 0
+    if tag in CHOICES:
+        return None
     if attributes:
         names: set[str] = set()
         for m in _ATTRIBUTE.finditer(attributes):
@@ -75,6 +80,34 @@ def _role(tag: str, attributes: str, parent: int) -> int | None:
     return parent
 
 
+def _skips(tokens: list[re.Match]) -> dict[int, int]:
+    """{start tag: end tag} of the SKIPPED elements, by place among the tokens.  Without an end tag of its own an element is only its start tag."""
+    out: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    held: Counter[str] = Counter()
+    for at, m in enumerate(tokens):
+        tag = m[3] or m[6]
+        if tag is None:
+            continue
+        tag = tag.lower()
+        if (m[2] or m[5]) == "/":
+            if held[tag]:  # those opened inside it have no end tag
+                while True:
+                    name, start = stack.pop()
+                    held[name] -= 1
+                    if name == tag:
+                        break
+                out[start] = at
+        elif tag in SKIPPED:
+            if not (tag in ("svg", "math") and (m[4] or m[7] or "").endswith("/")):
+                stack.append((tag, at))
+                held[tag] += 1
+        elif stack and tag in BLOCKS and stack[-1][0] == "head":  # text and its elements end the head
+            stack.pop()
+            held["head"] -= 1
+    return out
+
+
 def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     """(text, words, words in links, role, heading) of each block of a page, in order; blocks without text are left out."""
     out: list[tuple[str, int, int, int, int]] = []
@@ -82,7 +115,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     pieces: list[str] = []
     linked: list[str] = []
     link_depth = 0
-    hidden_inline = 0
+    untold = False  # in the text of a title without an end tag
 
     def flush() -> None:
         nonlocal pieces, linked
@@ -93,10 +126,15 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
                 out.append((" ".join(words), len(words), min(len(words), sum(len(x.split()) for x in linked)), stack[-1][1], int(len(tag) == 2 and tag[0] == "h" and tag[1] in "123456")))
             pieces, linked = [], []
 
-    for m in _TOKEN.finditer(page):
+    tokens = list(_TOKEN.finditer(page))
+    skips = _skips(tokens)
+    resume = 0
+    for at, m in enumerate(tokens):
+        if at < resume:
+            continue
         token = m[0]
         if token[0] != "<" or token == "<":
-            if hidden_inline:
+            if untold:
                 continue
             text = html.unescape(token) if "&" in token else token
             pieces.append(text)
@@ -104,11 +142,18 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
                 linked.append(text)
             continue
         tag = m[3] or m[6]
+        untold = False
         if tag is None:
             if m[1]:
                 pieces.append(" ") if m[1].lower() != "script" and pieces else None
             continue
         tag, closing = tag.lower(), (m[2] or m[5]) == "/"
+        if tag in SKIPPED:
+            if pieces:
+                pieces.append(" ")
+            resume = skips.get(at, at) + 1
+            untold = tag == "title" and not closing and at not in skips
+            continue
         if tag in ("br", "hr"):
             pieces.append(" ")
             if tag == "br":
@@ -120,14 +165,14 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             continue
         flush()
         if closing:
-            for at in range(len(stack) - 1, 0, -1):
-                if stack[at][0] == tag:
-                    del stack[at:]
+            for depth in range(len(stack) - 1, 0, -1):
+                if stack[depth][0] == tag:
+                    del stack[depth:]
                     break
             if link_depth > len(stack):
                 link_depth = 0
         elif tag not in VOID:
-            while len(stack) > 1 and (stack[-1][0] in _SELF_CLOSING.get(tag, ()) or (stack[-1][0] == "p" and tag != "p")):
+            while len(stack) > 1 and (stack[-1][0] in _SELF_CLOSING.get(tag, ()) or (stack[-1][0] == "p" and tag != "p") or (stack[-1][0] in CHOICES and tag not in CHOICES)):
                 stack.pop()
             above = stack[-1][1]
             stack.append((tag, None if above is None else _role(tag, m[4] or m[7] or "", above)))
