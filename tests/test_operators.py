@@ -125,3 +125,14 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("counts").agg(F.sum("n")).collect()[0][0] == events.count()
+
+
+def test_every_unit_of_full_data_is_treated(spark):
+    from tidemark.plans import kernel_queries as Q
+
+    tasks = Q._tasks(spark, "/root/testdata/sf0.01").select("event_id", "treated", "unit_id").distinct().collect()
+    units, treated = {}, {}
+    for r in tasks:
+        units.setdefault(r["event_id"], set()).add(r["unit_id"])
+        treated.setdefault(r["event_id"], set()).add(r["treated"])
+    assert units == treated and max(map(len, units.values())) > 3

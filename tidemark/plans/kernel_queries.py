@@ -12,11 +12,11 @@ from tidemark.sources.fixtures import GAP, HORIZON, cte
 
 
 def _tasks(spark, folder):
-    """(event_id, treated, unit_id, rel, ret): each fitting event with its three first units as treated in turn."""
+    """(event_id, treated, unit_id, rel, ret): each fitting event with every unit of full data as treated in turn."""
     spans = _windows(spark, folder).where("reason is null").select("event_id", "t0", F.explode(F.sequence("pre_start", "post_end")).alias("pos"))
     rows = _panel(spark, folder).join(spans, "pos").select("event_id", "unit_id", (F.col("pos") - F.col("t0")).alias("rel"), "ret")
     whole = rows.groupBy("event_id", "unit_id").agg(F.count("ret").alias("n"), F.count("*").alias("m")).where("n = m")
-    treated = whole.groupBy("event_id").agg(F.slice(F.array_sort(F.collect_set("unit_id")), 1, 3).alias("t")).select("event_id", F.explode("t").alias("treated"))
+    treated = whole.select("event_id", F.col("unit_id").alias("treated"))
     return rows.join(whole.select("event_id", "unit_id"), ["event_id", "unit_id"]).join(treated, "event_id")
 
 
