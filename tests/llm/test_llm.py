@@ -254,6 +254,18 @@ def test_neighbours_equal_brute_force(spark, monkeypatch, cell):
     assert not wrong if cell > 64 else len(wrong) <= 3
 
 
+def test_a_label_of_many_tiles_loses_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL", 64)
+    rng = np.random.default_rng(23)
+    base = rng.normal(size=(40, 16))
+    rows = [(n, [float(x) for x in base[n % 40] + rng.normal(size=16) * 0.2], 0) for n in range(1200)]
+    got = {r["vec_id"]: r["n_links"] for r in neighbours.near_vectors(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    unit = np.array([e for _, e, _ in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.93).sum(1) - 1
+    assert [got[n] for n in range(1200)] == near.tolist() and near.sum() > 10_000
+
+
 # --- 7 mixing
 
 

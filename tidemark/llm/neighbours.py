@@ -13,11 +13,8 @@ two tiles meet only where their ranges, widened by the reach of a true pair on
 that projection, overlap.  Collisions, links and a spanning forest of the links
 are counted inside the meeting of two tiles, so a label or a group of copies of
 any size is dealt over many bounded tasks and no pair of rows is ever emitted.
-Equal vectors of a label are one vector with a multiplicity.
-
-Labels beyond CELL vectors are first cut by the signs of leading projections
-into cells, in as many independent tables as the recall asks for; a pair is
-counted in the first table that brings both together.
+Equal vectors of a label are one vector with a multiplicity.  Labels of every
+size go the same way; the number of meetings grows with the square of a label.
 """
 
 from __future__ import annotations
@@ -38,8 +35,7 @@ PROJECTIONS = 32
 REACH = 3.9  #: standard deviations that the first projection's tiles are widened by
 RECALL = 0.9999
 TILE = 1024  #: vectors of a tile
-CELL = 1 << 13  #: vectors of a label before it is cut into cells
-TABLE_RECALL = 0.999
+CELL = 4 * TILE  #: vectors that a task sorts into tiles, about
 
 
 def calibrate(cosine: float, projections: int = PROJECTIONS, recall: float = RECALL) -> tuple[float, int]:
@@ -67,45 +63,43 @@ def _unit(raw: bytes | np.ndarray, kind: str, rows: int) -> np.ndarray:
     return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
 
-def _prepared(kind: str, tables: int, bits: int):
-    """Each row with its vector as bytes (null if unusable), first projection and, for each table, its cell."""
+def _prepared(kind: str):
+    """Each row with its vector as bytes (null if unusable) and its first projection."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            first, cells, raw = [], [], []
+            first, raw = [], []
             for value, label, ident in zip(frame["embedding"], frame["label"], frame["vec_id"], strict=True):
                 v = None
                 if value is not None and len(value) and not pd.isna(label) and not pd.isna(ident):
                     v = np.array([np.nan if x is None else x for x in value], kind)
                     v = v if np.isfinite(v).all() and v.any() else None
                 if v is None:
-                    first.append(None), cells.append(None), raw.append(None)
+                    first.append(None), raw.append(None)
                     continue
                 u = _unit(v.tobytes(), kind, 1)[0]
                 first.append(float(u @ directions(len(u), 1, 11)[:, 0]))
-                signs = u @ directions(len(u), tables * max(bits, 1), 7) > 0 if bits else np.zeros(0, bool)
-                cells.append([int("".join("01"[int(s)] for s in signs[t * bits : (t + 1) * bits]) or "0", 2) for t in range(tables)])
                 raw.append((v + 0).tobytes())  # + 0: a negative zero equals zero
-            yield pd.DataFrame({"vec_id": frame["vec_id"], "label": frame["label"], "first": pd.Series(first, dtype="float64"), "cells": cells, "vector": raw})
+            yield pd.DataFrame({"vec_id": frame["vec_id"], "label": frame["label"], "first": pd.Series(first, dtype="float64"), "vector": raw})
 
     return run
 
 
 def _tiles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Runs of up to TILE sorted rows of one (label, t, cell), packed."""
+    """Runs of up to TILE sorted rows of one label and width, packed."""
     held: pd.DataFrame | None = None
 
     def pack(rows: pd.DataFrame) -> dict:
         return {
-            "label": rows["label"].iloc[0], "t": int(rows["t"].iloc[0]), "cell": int(rows["cell"].iloc[0]), "tile": int(rows["node"].iloc[0]), "width": len(rows["vector"].iloc[0]),
+            "label": rows["label"].iloc[0], "tile": int(rows["node"].iloc[0]), "width": len(rows["vector"].iloc[0]),
             "lo": float(rows["first"].iloc[0]), "hi": float(rows["first"].iloc[-1]), "n": len(rows),
             "nodes": rows["node"].to_numpy(np.int64).tobytes(), "copies": rows["copies"].to_numpy(np.int64).tobytes(),
-            "cells": np.array(rows["cells"].tolist(), np.int64).tobytes(), "vectors": b"".join(rows["vector"]),
+            "vectors": b"".join(rows["vector"]),
         }
 
     def cut(rows: pd.DataFrame, final: bool) -> tuple[list[dict], pd.DataFrame | None]:
         out = []
-        keys = list(zip(rows["label"], rows["t"], rows["cell"], rows["vector"].str.len(), strict=True))
+        keys = list(zip(rows["label"], rows["vector"].str.len(), strict=True))
         begin = 0
         for at in range(1, len(keys) + 1):
             if at == len(keys) and not final:
@@ -158,10 +152,6 @@ def _meet(cosine: float, kind: str):
             collisions += np.abs(pa[:, k, None] - pb[None, :, k]) <= half
         i, j = np.nonzero(collisions >= needed)
         keep = (i < j) if same else np.ones(len(i), bool)
-        if row.t:  # a pair that an earlier table has brought together is not counted again
-            ca = np.frombuffer(row.cells, np.int64).reshape(len(ia), -1)[:, : row.t]
-            cb = ca if same else np.frombuffer(row.cells_b, np.int64).reshape(len(ib), -1)[:, : row.t]
-            keep &= ~(ca[i] == cb[j]).any(1)
         i, j = i[keep], j[keep]
         near = [np.einsum("ij,ij->i", va[i[s : s + 65536]], vb[j[s : s + 65536]]) >= cosine for s in range(0, len(i), 65536)]
         if not near:
@@ -209,31 +199,26 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = 0.93,
     double = dict(vectors.dtypes)["embedding"] == "array<double>"
     kind, element = ("<f8", "double") if double else ("<f4", "float")
     source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{element}>").alias("embedding"), F.col("label").cast("string").alias("label"))
-    hottest = source.where("label is not null").groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).collect()[0]["n"] or 0
-    bits = max(0, math.ceil(math.log2(max(hottest, 1) / CELL)))
-    tables = 1
-    if bits:
-        together = (1 - math.acos(cosine) / math.pi) ** bits
-        tables = math.ceil(math.log(1 - TABLE_RECALL) / math.log(1 - together))
-    ready = ws.save(source.mapInPandas(_prepared(kind, tables, bits), "vec_id long, label string, first double, cells array<long>, vector binary"), "vectors")
+    ready = ws.save(source.mapInPandas(_prepared(kind), "vec_id long, label string, first double, vector binary"), "vectors")
     usable = ready.where("vector is not null")
-    distinct = usable.groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.min("first").alias("first"), F.min("cells").alias("cells"))
+    distinct = usable.groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.min("first").alias("first"))
     distinct = ws.save(distinct, "distinct")
 
-    placed = distinct.select("label", "node", "copies", "first", "cells", "vector", F.posexplode("cells").alias("t", "cell"))
-    parts = max(1, -(-distinct.count() * tables // (4 * TILE)))
-    placed = placed.repartitionByRange(parts, "label", "t", "cell", F.length("vector"), "first", "node").sortWithinPartitions("label", "t", "cell", F.length("vector"), "first", "node")
-    schema = "label string, t int, cell long, tile long, width int, lo double, hi double, n int, nodes binary, copies binary, cells binary, vectors binary"
+    parts = max(1, -(-distinct.count() // CELL))
+    order = ("label", F.length("vector"), "first", "node")
+    placed = distinct.select("label", "node", "copies", "first", "vector").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    schema = "label string, tile long, width int, lo double, hi double, n int, nodes binary, copies binary, vectors binary"
     tiles = ws.save(placed.mapInPandas(_tiles, schema), "tiles")
 
     reach = REACH * math.sqrt(2 - 2 * cosine)
-    key = ["label", "t", "cell", "width"]
+    key = ["label", "width"]
     a = tiles.select(*key, "tile", "lo", "hi")
     b = tiles.select(*key, F.col("tile").alias("tile_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
     meetings = a.join(b, key).where(f"(lo, tile) <= (lo_b, tile_b) and lo_b - hi <= {reach}").select(*key, "tile", "tile_b")
-    other = tiles.select(*key, F.col("tile").alias("tile_b"), *[F.col(c).alias(f"{c}_b") for c in ("nodes", "copies", "cells", "vectors")])
-    spread = max(1, -(-distinct.count() // TILE))
-    loaded = ws.save(meetings, "meetings").join(tiles.drop("lo", "hi", "n"), [*key, "tile"]).join(other, [*key, "tile_b"])
+    other = tiles.select(*key, F.col("tile").alias("tile_b"), *[F.col(c).alias(f"{c}_b") for c in ("nodes", "copies", "vectors")])
+    meetings = ws.save(meetings, "meetings")
+    spread = max(1, -(-distinct.count() // TILE), -(-meetings.count() // 8))  # bounded tasks however many tiles a label has
+    loaded = meetings.join(tiles.drop("lo", "hi", "n"), [*key, "tile"]).join(other, [*key, "tile_b"])
     prepare(spark, 8)
     found = ws.save(loaded.repartition(spread).mapInPandas(_meet(cosine, kind), "node long, links long, root long"), "found")
     prepare(spark)
