@@ -136,3 +136,12 @@ def test_every_unit_of_full_data_is_treated(spark):
         units.setdefault(r["event_id"], set()).add(r["unit_id"])
         treated.setdefault(r["event_id"], set()).add(r["treated"])
     assert units == treated and max(map(len, units.values())) > 3
+
+
+def test_registered_bootstraps_draw_as_often_as_the_floor_says(spark):
+    from tidemark.plans import dose_queries
+
+    assert dose_queries.wild_bootstrap_p(spark, "/root/testdata/sf0.01").first()["draws"] == 2000
+    ar = spark.createDataFrame([("e", "u", n - 30, float(math.sin(n * n))) for n in range(36)], "event_id string, unit_id string, rel int, ar double")
+    p = kernels.block_bootstrap(ar, 10, 5).first()["p"] * 2000
+    assert p == pytest.approx(round(p)) and p % 4

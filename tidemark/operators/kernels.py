@@ -125,7 +125,7 @@ def difference_in_differences(tasks: DataFrame, gap: int, average: bool = True)
     return tasks.groupBy("event_id", "treated").applyInPandas(run, "event_id string, treated string, tau double, zeta double, n_donors int, unit_effective double, time_effective double")
 
 
-def block_bootstrap(ar: DataFrame, gap: int, horizon: int, block: int = 5, draws: int = 500, seed: int = 20260815) -> DataFrame:
+def block_bootstrap(ar: DataFrame, gap: int, horizon: int, block: int = 5, draws: int = 2000, seed: int = 20260815) -> DataFrame:
     """(event_id, unit_id, tau, p, low, high): circular blocks of demeaned pre-event returns against the CAR; p may be 0."""
 
     def run(task: pd.DataFrame) -> pd.DataFrame:

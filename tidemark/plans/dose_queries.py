@@ -198,7 +198,7 @@ def design_limits(spark, folder):
 
 @query("wild_bootstrap_p")
 def wild_bootstrap_p(spark, folder):
-    return D.wild_bootstrap(_dose(spark, folder), "webb", draws=500)
+    return D.wild_bootstrap(_dose(spark, folder), "webb")
 
 
 @query("minimum_detectable_slope")
