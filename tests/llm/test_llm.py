@@ -327,6 +327,14 @@ def test_a_long_copy_with_clustered_substitutions_is_found(spark, run, gap, foun
     assert [r["doc_id"] for r in decontaminate.keep_clean(spark, frame, bench).collect()] == [2]
 
 
+def test_items_without_an_id_count(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    bench = spark.createDataFrame([(None, text), (3, text + " more")], "item_id long, text string")
+    frame = awkward(spark, [text, "nothing of it"])
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(spark, frame, bench).collect()} == {(0, None), (0, 3)}
+    assert [r["doc_id"] for r in decontaminate.keep_clean(spark, frame, bench.where("item_id is null")).collect()] == [1]
+
+
 def test_passing_runs_equal_brute_force():
     rng = np.random.default_rng(19)
     for _ in range(300):

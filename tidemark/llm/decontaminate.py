@@ -37,13 +37,13 @@ _BITS = 22
 class SeedIndex:
     """Windows of one block of benchmark items."""
 
-    item_ids: np.ndarray
+    item_ids: pa.Array  #: may hold nulls
     starts: np.ndarray  #: offsets into ``words`` by item
     words: np.ndarray
     tables: list[tuple[tuple[int, ...], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  #: offsets, keys, item, position, bit table
 
     @classmethod
-    def build(cls, item_ids: list[int], texts: list[bytes]) -> SeedIndex:
+    def build(cls, item_ids: list[int | None], texts: list[bytes]) -> SeedIndex:
         part = np.frombuffer(b"".join(texts), np.uint8)
         bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         w = bytescan.words(part, bounds, marks_too=True)
@@ -69,7 +69,7 @@ class SeedIndex:
             bits = np.zeros(1 << _BITS, bool)
             bits[(key >> np.uint64(64 - _BITS)).astype(np.int64)] = True
             tables.append((at, key, np.concatenate(items)[order], np.concatenate(positions)[order], bits))
-        return cls(np.array(item_ids, np.int64), w.offsets, w.hashes, tables)
+        return cls(pa.array(item_ids, pa.int64()), w.offsets, w.hashes, tables)
 
     def overlaps(self, own: np.ndarray, hits: list[tuple[int, int]]) -> dict[int, tuple[int, int, int]]:
         """item: (words of the overlap, equal ones, first word in the document) from (item, diagonal) hits."""
@@ -144,13 +144,13 @@ def _windows(hashes: np.ndarray, at: tuple[int, ...]) -> np.ndarray:
 
 def _blocks(spark: SparkSession, benchmark: DataFrame) -> list:
     """Broadcast seed indexes, each of a block of about BLOCK_BYTES of benchmark text."""
-    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))
+    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).collect()[0]["n"]
     count = max(1, -(-size // BLOCK_BYTES))
     out = []
     for block in range(count):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == block).toArrow().to_pylist()
-        rows.sort(key=lambda r: (r["item_id"], r["text"]))
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == block).toArrow().to_pylist()
+        rows.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
         if rows:
             out.append(spark.sparkContext.broadcast(SeedIndex.build([r["item_id"] for r in rows], [r["text"] for r in rows])))
     return out
@@ -165,7 +165,8 @@ def overlaps(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Data
 
     Defined cases: null or empty texts overlap with nothing; items shorter than
     a mask must occur whole; of equally good overlaps the first diagonal wins;
-    repeated documents or items each give their rows; an empty table gives none.
+    repeated documents or items each give their rows; an item
+    of null item_id counts as any other and is reported with a null; an empty table gives none.
     """
     prepare(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -179,7 +180,7 @@ def overlaps(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Data
                     found = index.value.search(part, bounds)
                     if found:
                         d, item, *rest = (np.array(x, np.int64) for x in zip(*found, strict=True))
-                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(d)), pa.array(index.value.item_ids[item]), *(pa.array(x) for x in rest)], names=["doc_id", "item_id", "overlap_words", "equal_words", "first_word"])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(d)), index.value.item_ids.take(pa.array(item)), *(pa.array(x) for x in rest)], names=["doc_id", "item_id", "overlap_words", "equal_words", "first_word"])
 
         part_rows = source.mapInArrow(run, schema)
         out = part_rows if out is None else out.unionByName(part_rows)
