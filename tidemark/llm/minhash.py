@@ -11,7 +11,7 @@ Plan
 1. One pass over the texts (Arrow, numpy): hash of the word sequence, size of
    the shingle set, 24 band hashes.  Texts do not leave the pass.
 2. Equal word sequences collapse to their least document by a partially
-   aggregated minimum, however large the group of copies is.
+   aggregated minimum over scalars, however large the group of copies is.
 3. Bands that only one text has are dropped; what is left forms table keys.
 4. Pairs are proposed in rounds and confirmed on full shingle sets: first each
    text against one hub, then, only in buckets whose members are not yet one
@@ -26,7 +26,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,34 +115,43 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _tile_links(percent: int):
     """Links of one tile: outside texts against all, at most one for each component that a text reaches."""
 
-    def run(tile: pd.DataFrame) -> pd.DataFrame:
-        tile = tile.sort_values(["outside", "node"], kind="stable")
-        out, rest = tile[tile["outside"]], tile[~tile["outside"]]
+    def run(tile: pa.Table) -> pa.Table:
+        tile = tile.combine_chunks().sort_by([("node", "ascending")])
+        outside = tile.column("outside").to_numpy()
+        out, rest = tile.filter(pa.array(outside)), tile.filter(pa.array(~outside))
         u, v = [], []
         if len(out) and len(rest):
-            sizes = rest["shingles"].str.len().to_numpy(np.int64)
-            values = np.concatenate(rest["shingles"].to_list())
+            sizes, values = _flat(rest.column("shingles"))
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             vocabulary, place = np.unique(values, return_inverse=True)
             mark = np.zeros(len(vocabulary) + 1, np.int32)
-            nodes, components = rest["node"].to_numpy(), rest["c"].to_numpy()
-            for node, c, own in zip(out["node"], out["c"], out["shingles"], strict=True):
+            nodes, components = rest.column("node").to_numpy(), rest.column("c").to_numpy()
+            own_sizes, own_values = _flat(out.column("shingles"))
+            ends = np.cumsum(own_sizes)
+            for node, c, end, size in zip(out.column("node").to_pylist(), out.column("c").to_pylist(), ends.tolist(), own_sizes.tolist(), strict=True):
+                own = own_values[end - size : end]
                 at = np.searchsorted(vocabulary, own)
                 at = np.where(vocabulary[np.minimum(at, len(vocabulary) - 1)] == own, at, len(vocabulary))
                 mark[at] = 1
                 mark[-1] = 0
                 common = np.add.reduceat(mark[place], starts)
                 mark[at] = 0
-                near = (100 * common >= percent * (len(own) + sizes - common)) & (components != c)
+                near = (100 * common >= percent * (size + sizes - common)) & (components != c)
                 if near.any():
                     _, first = np.unique(components[near], return_index=True)
                     v.extend(nodes[near][first].tolist())
                     u.extend([node] * len(first))
-        return pd.DataFrame({"u": pd.Series(u, dtype="int64"), "v": pd.Series(v, dtype="int64")})
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
 
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, values end to end) of a column of lists; none is null or empty here."""
+    whole = lists.combine_chunks()
+    return np.diff(whole.offsets.to_numpy()).astype(np.int64), whole.flatten().to_numpy(zero_copy_only=False)
+
+
 def _tiled(ws: Workspace, placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (u, v) between different components of each block.
 
@@ -158,7 +166,7 @@ def _tiled(ws: Workspace, placed: DataFrame, sets: DataFrame, percent: int) -> D
     j = F.pmod(F.xxhash64("node", F.lit(2)), F.col("alls")).cast("int")
     out = rows.where("c <> block").select("block", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"), F.lit(True).alias("outside"), "node", "c")
     rest = rows.select("block", F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("i"), j.alias("j"), F.lit(False).alias("outside"), "node", "c")
-    return out.unionByName(rest).join(merging(sets), "node").groupBy("block", "i", "j").applyInPandas(_tile_links(percent), "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    return out.unionByName(rest).join(merging(sets), "node").groupBy("block", "i", "j").applyInArrow(_tile_links(percent), "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, name: str = "minhash", ws: Workspace | None = None) -> DataFrame:
@@ -181,9 +189,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = ws.save(docs.mapInArrow(_signatures(k), "doc_id long, h1 long, h2 long, n_shingles long, bands array<long>"), "signatures")
     real = signed.where("n_shingles > 0 and doc_id is not null")
-    groups = ws.save(real.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "bands")).alias("r"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).select("h1", "h2", F.col("least").alias("node"), "most", F.col("r.bands").alias("bands")), "groups")
+    copies = ws.save(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")).where("n > 1").drop("n"), "copies")
+    firsts = ws.save(real.join(merging(copies), ["h1", "h2"], "left").where("node is null or node = doc_id").select(F.col("doc_id").alias("node"), "bands"), "firsts")
 
-    keys = groups.select("node", F.posexplode("bands").alias("band", "h"))
+    keys = firsts.select("node", F.posexplode("bands").alias("band", "h"))
     shared = ws.save(keys.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
     held = keys.join(merging(shared), "h", "left_semi").groupBy("node").agg(
         F.collect_set(F.when(F.col("band") < BANDS, F.col("h"))).alias("a"), F.collect_set(F.when(F.col("band") >= BANDS, F.col("h"))).alias("b")
@@ -191,7 +200,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     table = ws.save(held.select("node", F.explode("a").alias("a"), "b").select("node", "a", F.explode("b").alias("b")).select(F.xxhash64("a", "b").alias("key"), "node"), "tables")
     buckets = ws.save(table.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub"), "buckets")
     members = ws.save(table.join(merging(buckets), "key"), "members")
-    ws.drop(table, buckets, shared)
+    ws.drop(table, buckets, shared, firsts)
 
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     sets = ws.save(docs.join(merging(wanted), "doc_id", "left_semi").mapInArrow(_sets(k), "node long, shingles array<long>"), "sets")
@@ -225,7 +234,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
         component = connected_components(ws, links)
 
     ws.drop(sets, members)
-    copies = ws.save(groups.where("node < most").select("h1", "h2", "node"), "copies")
     own = signed.select("doc_id", "h1", "h2", "n_shingles")
     named = own.join(merging(copies), ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("node", "doc_id")).otherwise(F.col("doc_id")).alias("node"))
     return named.join(merging(component), "node", "left").select(
