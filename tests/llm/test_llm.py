@@ -102,6 +102,48 @@ def test_an_open_head_ends_at_the_body():
     assert extract.main_text("<article><p>a b<select><option>c<option>d<p>e f<svg/>g<svg><svg></svg>h</svg> i</article>") == "a b e f g i"
 
 
+def test_frames_of_a_page_without_an_article_element_go():
+    long = "the committee met on tuesday and agreed that new rules for small boats should apply from next spring after a long debate"
+    frame = "".join(f"<{tag}><p>{long} {long}</p><p>{long}</p></{tag.split()[0]}>" for tag in ("div class='cookie-notice'", "div class='comments'", "footer", "aside", "div id='sideBar'", "div class='site-footer'", "form"))
+    assert extract.main_text(f"<body><h1>Small boats</h1><div>{long}</div><div>{long}.</div>{frame}</body>") == f"Small boats {long} {long}."
+
+
+def test_names_count_as_a_whole_and_elements_before_them():
+    page = "<article><p class='social-policy'>One two.</p><div id='legal-history'>Three.</div><div class='register'>Four five.</div><div class='comments'>I object.</div></article>"
+    assert extract.main_text(page) == "One two. Three. Four five."
+    assert extract.main_text("<main><h1>Title here</h1></main><article class='response'><p>One two.</p></article>") == "Title here One two."
+
+
+def test_attribute_names_are_read_at_their_boundaries():
+    page = "<article><p title='a hidden gem'>One.</p><p data-hidden=\"false\">Two.</p><p hidden>No.</p><p data-class='ad' class=\"x\">Three.</p><p style='display: none'>No.</p><p title=\"x class='ad' y\">Four.</p></article>"
+    assert extract.main_text(page) == "One. Two. Three. Four."
+
+
+def test_the_tree_uses_neighbours_and_tells_frames_from_the_unknown():
+    shown = extract.shown(extract.model())
+    assert all(name in shown for name in ("words_before", "words_after", "link_density_before", "role <= -0.5", "hint"))
+    right = total = 0
+    for page in extract.labelled_pages(60, seed=5):  # pages that the tree was not grown on
+        found = extract.blocks(page)
+        said = [extract._decide(extract.model(), row) >= 0.5 for row in extract.features(found).tolist()]
+        right, total = right + sum(a == ("§" in b[0]) for a, b in zip(said, found, strict=True)), total + len(found)
+    assert right / total > 0.98
+    # the same short block between long texts and between short lines
+    long = " ".join(["word"] * 40)
+    between = f"<p>{long}</p><p>Nobody did.</p><p>{long}</p>"
+    assert "Nobody did." in extract.main_text(f"<body>{between}</body>") and "Nobody did." not in extract.main_text(f"<body><p>Log in</p><p>Nobody did.</p><p>Search</p>{between.replace('<p>Nobody did.</p>', '')}</body>")
+
+
+def test_unclosed_tags_take_linear_time():
+    import time
+
+    began = time.time()
+    for piece in ("<a ", '<a "', "<a '\"'>", "<p>", "<!-- ", "<script ", "<b title='"):
+        extract.main_text(piece * 60_000)
+    assert time.time() - began < 10
+    assert extract.main_text("<article><p>One two three.</p><p>Four<a hre") == "One two three. Four"
+
+
 def test_extraction_keeps_rows(spark):
     frame = spark.createDataFrame([(1, "u", None, 3), (1, "u", None, 3), (2, None, "<article>x</article>", 4)], "page_id long, url string, html string, n_chars int")
     assert sorted(tuple(r) for r in extract.extract(spark, frame).fillna("-").collect()) == [(1, "u", "", 0), (1, "u", "", 0), (2, "-", "x", 1)]
