@@ -183,6 +183,71 @@ def test_skip_chain_labels_repeats_and_leaves_clean_texts_alone(spark):
     assert pii.find(spark, frame.limit(0)).count() == 0
 
 
+def enumerated(field, d):
+    """Marginals by summing over all labellings."""
+    from itertools import product
+
+    n = len(pii.KINDS) + 1
+    score = d.x @ field.weights
+    out = np.zeros((len(d.tokens), n))
+    for labels in product(range(n), repeat=len(d.tokens)):
+        if any(o >= 0 and o != k for o, k in zip(d.observed, labels, strict=True)):
+            continue
+        z = sum(score[i, k] for i, k in enumerate(labels) if d.observed[i] < 0) + sum(field.links[kind, labels[i]] for i, j, kind in d.links if labels[i] == labels[j])
+        for i, k in enumerate(labels):
+            out[i, k] += np.exp(z)
+    return out / out.sum(1, keepdims=True)
+
+
+def test_marginals_equal_enumeration():
+    rng = np.random.default_rng(41)
+    field = pii.Field([])
+    for loop in (False, True):
+        for _ in range(20):
+            d = pii.Candidates("", [])
+            d.tokens, d.x = [(n, n) for n in range(6)], rng.normal(size=(6, 12))
+            d.observed = [2, -1, -1, -1, 0, -1]
+            # a chain of four, one skip to an observed token far off and, for a loop, one that closes it
+            d.links = [(0, 1, 0), (1, 2, 0), (2, 3, 0), (1, 4, 1), (3, 5, 2)] + [(1, 3, 3)] * loop
+            field.weights, field.links = rng.normal(size=(12, 5)) * 0.4, np.abs(rng.normal(size=(5, 5))) * (0.5 if loop else 2)
+            assert np.allclose(field.beliefs(d), enumerated(field, d), atol=0.03 if loop else 1e-5)
+
+
+def test_skip_links_change_what_is_named():
+    card = "4845168114407329"
+    learned = pii.Field([pii.Candidates(t, pii.base_spans(t)) for n in range(60) for t in [f"pay {card[n % 7 :]}{card[: n % 7]} or a{n}@b.cd now +1 (555) 555-{1000 + n} and {card[n % 7 :]}{card[: n % 7]} then a{n}@b.cd"]])
+    text = f"pay {card} now, not 7536784127813050 {card} or so; call +1 (555) 555-0100 or 15555550100"
+    base = pii.base_spans(text)
+    named = {text[a:b] for a, _, b in learned.more_spans(text, base)}
+    assert named == {card, "15555550100"}
+    learned.links[1:] = 0.0
+    assert card not in {text[a:b] for a, _, b in learned.more_spans(text, base)}
+    assert pii.Candidates("mail ab.cd@ef.gh or ab.cb@ef.gh", []).links == [(0, 1, 3)]
+
+
+BASE_SQL = r"""
+WITH p AS (SELECT * FROM (VALUES (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), (1, 'ip', '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), (2, 'card', '[0-9]([ -]?[0-9])+'), (3, 'phone', '\+[0-9][ ().0-9-]+[0-9]')) AS v(k, kind, pattern)),
+m AS (SELECT doc_id, k, kind, regexp_extract_all(coalesce(text, ''), pattern) AS found, string_split_regex(coalesce(text, ''), pattern) AS between FROM documents, p),
+o AS (SELECT doc_id, k, kind, unnest(found) AS hit, unnest(list_transform(range(1, len(found) + 1), lambda i: list_sum(list_transform(between[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0))) AS a FROM m WHERE len(found) > 0),
+d AS (SELECT *, list_reverse(list_transform(regexp_extract_all(hit, '[0-9]'), lambda x: CAST(x AS INT))) AS digits FROM o),
+g AS (SELECT doc_id, k, kind, CAST(a AS BIGINT) AS a, CAST(a + length(hit) AS BIGINT) AS b FROM d WHERE CASE k WHEN 0 THEN true WHEN 1 THEN list_aggregate(list_transform(string_split(hit, '.'), lambda x: CAST(x AS HUGEINT)), 'max') <= 255
+ WHEN 2 THEN len(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(digits, lambda x, i: CASE WHEN i % 2 = 1 THEN x WHEN x > 4 THEN 2 * x - 9 ELSE 2 * x END)) % 10 = 0 ELSE len(digits) BETWEEN 10 AND 15 END)
+SELECT documents.doc_id, count(CASE WHEN k = 0 THEN 1 END), count(CASE WHEN k = 1 THEN 1 END), count(CASE WHEN k = 2 THEN 1 END), count(CASE WHEN k = 3 THEN 1 END), sha256(coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k), ''))
+FROM documents LEFT JOIN g ON g.doc_id = documents.doc_id GROUP BY documents.doc_id
+"""
+
+
+def test_counts_and_hashes_of_base_spans_equal_sql(spark):
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet')")
+    want = {r[0]: r[1:] for r in con.sql(BASE_SQL).fetchall()}
+    got = {r["doc_id"]: (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) for r in pii.find(spark, spark.read.parquet(f"{folder}/documents.parquet")).collect()}
+    assert got == want and sum(r[0] for r in want.values()) > 10
+
+
 # --- 3 language
 
 
