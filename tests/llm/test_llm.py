@@ -333,6 +333,46 @@ def test_identity_swaps_do_not_move_scores():
     assert fair.score("an idiot") > 0.7 > fair.score("a friend")
 
 
+def test_gradient_equals_finite_differences():
+    rng = np.random.default_rng(51)
+    w, b, y = rng.normal(size=7), 0.3, rng.integers(0, 2, 12).astype(float)
+    rows, plus, minus = (toxicity._pack([sorted(set(rng.integers(0, 7, 3).tolist())) for _ in range(n)]) for n in (12, 5, 5))
+    _, g, gb = toxicity.objective(w, b, y, rows, plus, minus, 5)
+
+    def loss(step, shift=0.0):
+        return toxicity.objective(w + step, b + shift, y, rows, plus, minus, 5)[0]
+
+    h = 1e-6
+    assert np.allclose(g, [(loss(h * e) - loss(-h * e)) / (2 * h) for e in np.eye(7)], atol=1e-5)
+    assert abs(gb - (loss(0, h) - loss(0, -h)) / (2 * h)) < 1e-5
+
+
+def test_every_swap_of_a_line_is_tried():
+    assert toxicity.swaps("The women, here") == ["the men, here", "the girls, here", "the boys, here"]
+    assert len(toxicity.swaps("women and muslims")) == 5 and toxicity.swaps("nobody") == []
+
+
+def test_penalty_lowers_false_positives_on_neutral_mentions(monkeypatch):
+    """Toxic labelled texts lean on one group; neutral held-out mentions of it must score as any other's."""
+    rng = np.random.default_rng(53)
+    texts, labels = [], []
+    for n in range(600):
+        toxic = n % 3 == 0
+        group = "muslims" if rng.random() < (0.95 if toxic else 0.05) else "christians"
+        insult = "vermin" if toxic and rng.random() < 0.6 else "people"
+        texts.append(f"those {group} are {insult} w{rng.integers(0, 30)}")
+        labels.append(int(toxic))
+    neutral = [f"the {g} met for lunch w{n}" for n in range(20) for g in ("muslims", "christians", "jews", "hindus")]
+    fair = toxicity.Classifier(texts, labels)
+    monkeypatch.setattr(toxicity, "COUNTERFACTUAL", 0.0)
+    plain = toxicity.Classifier(texts, labels)
+    assert fair.pairs == 5 * len(texts)
+    assert sum(plain.score(t) >= 0.7 for t in neutral) >= 20 > sum(fair.score(t) >= 0.7 for t in neutral) == 0
+    assert fair.score("those vermin") > 0.7
+    with pytest.warns(UserWarning, match="identity"):
+        assert toxicity.Classifier(["a b", "c d"] * 5, [0, 1] * 5).pairs == 0
+
+
 def test_toxicity_of_held_out_documents(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = toxicity.score(spark, docs, labels).toPandas().merge(labels.toPandas(), on="doc_id")

@@ -2,14 +2,16 @@
 
 A text's features are its distinct words and their beginnings.  The classifier
 is a logistic regression; besides a quadratic penalty it pays for every labelled
-sentence whose score moves when an identity term in it is swapped for another
-one of its language: the squared difference of both scores.  Neutral mentions of
-a group therefore gain or lose nothing by the group that they mention.
+sentence whose score moves when the identity terms in it are swapped for others
+of their lines, each swap in turn: the squared difference of both scores.
+Neutral mentions of a group therefore gain or lose nothing by the group that
+they mention.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,19 +56,21 @@ def text_features(text: str) -> set[str]:
     return {f for token in set(text.lower().split()) for f in word_features(token)}
 
 
-_SWAP = {term: line[(n + 1) % len(line)] for line in IDENTITY for n, term in enumerate(line)}
+_LINE = {term: (line, n) for line in IDENTITY for n, term in enumerate(line)}
 
 
-def swapped(text: str) -> str | None:
-    """The text with each identity term replaced by the next of its line; None if it has none."""
+def swaps(text: str) -> list[str]:
+    """The text under every swap: the r-th one puts for each identity term the one r places on in its line, as long as some line has as many."""
     tokens = text.lower().split()
-    found = False
-    for n, token in enumerate(tokens):
-        word = _EDGE.sub("", token)
-        if word in _SWAP:
-            tokens[n] = token.replace(word, _SWAP[word])
-            found = True
-    return " ".join(tokens) if found else None
+    at = [(n, word) for n, token in enumerate(tokens) if (word := _EDGE.sub("", token)) in _LINE]
+    out = []
+    for r in range(1, max((len(_LINE[word][0]) for _, word in at), default=1)):
+        other = list(tokens)
+        for n, word in at:
+            line, place = _LINE[word]
+            other[n] = tokens[n].replace(word, line[(place + r) % len(line)])
+        out.append(" ".join(other))
+    return out
 
 
 def _pack(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,11 +78,26 @@ def _pack(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([f for r in rows for f in r], np.int64), np.repeat(np.arange(len(rows)), sizes)
 
 
+def objective(w: np.ndarray, b: float, y: np.ndarray, rows: tuple, plus: tuple, minus: tuple, pairs: int) -> tuple[float, np.ndarray, float]:
+    """(loss, gradient by weight, gradient by intercept): mean log loss, ridge, and COUNTERFACTUAL times the mean squared move of the linear score."""
+    index, row = rows
+    z = np.bincount(row, w[index], len(y)) + b
+    loss = float(np.mean(np.logaddexp(0, z) - y * z)) + RIDGE / 2 * float(w @ w)
+    error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
+    g = np.bincount(index, error[row], len(w)) + RIDGE * w
+    if pairs:
+        move = np.bincount(plus[1], w[plus[0]], pairs) - np.bincount(minus[1], w[minus[0]], pairs)
+        loss += COUNTERFACTUAL / pairs * float(move @ move)
+        g += 2 * COUNTERFACTUAL / pairs * (np.bincount(plus[0], move[plus[1]], len(w)) - np.bincount(minus[0], move[minus[1]], len(w)))
+    return loss, g, float(error.sum())
+
+
 class Classifier:
-    """Weights by feature; ``score`` of a text without features is the intercept's."""
+    """Weights by feature; ``score`` of a text without features is the intercept's.  ``pairs`` counts the swapped texts that the penalty saw."""
 
     def __init__(self, texts: list[str], labels: list[int], steps: int = 400) -> None:
         self.weights: dict[str, float] = {}
+        self.pairs = 0
         y = np.array(labels, float)
         self.intercept = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else -2.0
         self._cache: dict[str, tuple[str, ...]] = {}
@@ -99,20 +118,17 @@ class Classifier:
         strength = {f: z for f, (n, p) in seen.items() if n + p >= 3 and (z := z_score(n, p)) >= LEAST_Z}
         names = sorted(sorted(strength, key=lambda f: (-strength[f], f))[:FEATURES])
         at = {f: n for n, f in enumerate(names)}
-        index, row = _pack([[at[f] for f in sorted(r) if f in at] for r in rows])
-        pairs = [(r, text_features(s)) for r, t in zip(rows, texts, strict=True) if (s := swapped(t)) is not None]
-        plus, plus_row = _pack([[at[f] for f in sorted(r - s) if f in at] for r, s in pairs])
-        minus, minus_row = _pack([[at[f] for f in sorted(s - r) if f in at] for r, s in pairs])
+        packed = _pack([[at[f] for f in sorted(r) if f in at] for r in rows])
+        pairs = [(r, text_features(s)) for r, t in zip(rows, texts, strict=True) for s in swaps(t)]
+        self.pairs = len(pairs)
+        if not pairs:
+            warnings.warn("no labelled text holds an identity term: the counterfactual penalty has nothing to act on", stacklevel=2)
+        plus = _pack([[at[f] for f in sorted(r - s) if f in at] for r, s in pairs])
+        minus = _pack([[at[f] for f in sorted(s - r) if f in at] for r, s in pairs])
         w, b = np.zeros(len(names)), self.intercept
         m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
         for step in range(1, steps + 1):  # Adam on all rows
-            z = np.bincount(row, w[index], len(y)) + b
-            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-            g = np.bincount(index, error[row], len(w)) + RIDGE * w
-            if pairs:
-                shift = np.bincount(plus_row, w[plus], len(pairs)) - np.bincount(minus_row, w[minus], len(pairs))
-                g += 2 * COUNTERFACTUAL / len(pairs) * (np.bincount(plus, shift[plus_row], len(w)) - np.bincount(minus, shift[minus_row], len(w)))
-            gb = error.sum()
+            _, g, gb = objective(w, b, y, packed, plus, minus, len(pairs))
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
             rate = 0.1 / (1 + step / 200)
@@ -121,7 +137,7 @@ class Classifier:
         self.weights, self.intercept = {f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-4}, float(b)
 
     def __getstate__(self) -> dict:
-        return {"weights": self.weights, "intercept": self.intercept, "_cache": {}}
+        return {"weights": self.weights, "intercept": self.intercept, "pairs": self.pairs, "_cache": {}}
 
     def score(self, text: str) -> float:
         cache, found = self._cache, set()
@@ -150,7 +166,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Classifier
     chosen = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(span)) < F.when(F.col("toxic") == 1, F.lit(limit.get(1, 0))).otherwise(F.lit(limit.get(0, 0)))).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # the sample's ids are bounded by its documented size, so they may be broadcast
-    rows = texts.join(F.broadcast(chosen), "doc_id").toArrow().to_pylist()
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toArrow().to_pylist()
     rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["text"]))
     return Classifier([r["text"] for r in rows], [r["toxic"] for r in rows])
 
@@ -161,7 +177,8 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     Defined cases: null and empty texts get the intercept's score; without
     labels of both classes every text gets the intercept's; labels that are null
     or neither 0 nor 1 are ignored; a document labelled twice is learned from
-    once for each distinct label; repeated rows are scored alike; further
+    once for each distinct label, and of rows that share a doc_id the least text
+    counts; repeated rows are scored alike; further
     columns are ignored.
     """
     prepare(spark)
