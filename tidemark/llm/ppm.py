@@ -193,18 +193,22 @@ def _held_out(column: str = "doc_id"):
 
 
 def train(spark: SparkSession, docs: DataFrame) -> Model:
-    """A model from documents that are not held out; the sample is bounded by SAMPLE_ROWS and SAMPLE_BYTES."""
+    """A model from the distinct texts of documents that are not held out.
+
+    The sample is bounded by SAMPLE_ROWS and SAMPLE_BYTES a language; the counts
+    by language are one row for each of the languages, which are taken to be few.
+    """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "") & ~_held_out())
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model({})
     span = 1 << 30
-    rank = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(span))
+    rank = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(span))  # copies are one candidate
     limits = [F.when((F.col("lang") == lang) & (rank < int(min(1.0, 1.5 * SAMPLE_ROWS / n) * span)), True) for lang, n in counts.items()]
-    sample = usable.where(F.coalesce(*limits, F.lit(False))).select("lang", rank.alias("rank"), "doc_id", F.col("text").cast("binary").alias("text")).toArrow().to_pylist()
+    sample = usable.where(F.coalesce(*limits, F.lit(False))).select("lang", rank.alias("rank"), F.col("text").cast("binary").alias("text")).distinct().toArrow().to_pylist()
     texts: dict[str, list[bytes]] = {lang: [] for lang in counts}
     size = dict.fromkeys(counts, 0)
-    for row in sorted(sample, key=lambda r: (r["rank"], r["doc_id"] or 0, r["text"])):
+    for row in sorted(sample, key=lambda r: (r["rank"], r["lang"], r["text"])):
         own = texts[row["lang"]]
         if len(own) < SAMPLE_ROWS and (size[row["lang"]] < SAMPLE_BYTES or not own):
             own.append(row["text"])
@@ -253,7 +257,13 @@ def predict(spark: SparkSession, docs: DataFrame, training: DataFrame | None = N
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with all its columns, without the rows whose language is rejected (und, or no majority)."""
+    """``docs`` with all its columns, without the rows whose language is rejected (und, or a score under REJECT_BELOW).
+
+    Defined cases: null, empty and letterless texts are rejected; without any
+    training row every row is; repeated rows stay or go together; ties go to the
+    language that sorts first; an empty table stays empty; further columns, of
+    whatever name, pass through.
+    """
     prepare(spark)
     model = spark.sparkContext.broadcast(train(spark, docs))
     column = docs.columns.index("text")
