@@ -8,8 +8,9 @@ diagonal is verified: document and item are laid side by side and some run of
 positions must hold enough words, nearly all of them equal.  The best scoring
 run is taken if it does, or else the passing run with the most equal words.
 
-The benchmark is broadcast in blocks of bounded size; a benchmark of any size
-is handled by as many passes over the documents as it has blocks.
+The benchmark is broadcast in blocks of bounded size, one block at a time; a
+benchmark of any size is handled by as many passes over the documents as it has
+blocks.
 """
 
 from __future__ import annotations
@@ -23,14 +24,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytescan
-from tidemark.llm.store import prepare
+from tidemark.llm.store import Workspace, prepare
 
-MASKS = ("111111", "11011011", "1110010011", "10110010101")  #: six counted positions each
+MASKS = ("1011111", "101110011", "1111001001", "1100001111")  #: six counted positions each; together they hit 82 % of ten-word runs with two inner substitutions, and all with one
+LEAST_ITEM = 3  #: items of fewer words are no passage and match nothing
 MIN_WORDS = 10  #: a verified overlap has at least this many words, or the whole of a shorter item
 IDENTITY = 0.8  #: share of its words that are equal
 MISMATCH = -2.5  #: score of a differing word against 1 for an equal one
 BLOCK_BYTES = 4 << 20  #: benchmark text broadcast at once
 _BITS = 22
+_EXPAND = 1 << 20  #: pairs of windows that are expanded at once
 
 
 @dataclass
@@ -50,7 +53,7 @@ class SeedIndex:
         lengths = np.diff(w.offsets)
         tables = []
         shortest = min(len(m) for m in MASKS)
-        short = ["1" * int(n) for n in np.unique(lengths[(lengths > 0) & (lengths < shortest)])]
+        short = ["1" * int(n) for n in np.unique(lengths[(lengths >= LEAST_ITEM) & (lengths < shortest)])]
         for mask in (*MASKS, *short):
             at = tuple(i for i, c in enumerate(mask) if c == "1")
             own = lengths == len(mask) if len(mask) < shortest else lengths >= len(mask)
@@ -108,9 +111,18 @@ class SeedIndex:
             hi = np.searchsorted(keys, h[likely], "right")
             doc = np.searchsorted(w.offsets, likely, "right") - 1
             inside = (hi > lo) & (likely + at[-1] < w.offsets[doc + 1])
-            for p, d, a, b in zip(likely[inside].tolist(), doc[inside].tolist(), lo[inside].tolist(), hi[inside].tolist(), strict=True):
-                p -= int(w.offsets[d])
-                found.update((d, int(items[x]), p - int(positions[x])) for x in range(a, b))
+            at_doc, lo, hi = doc[inside], lo[inside], hi[inside]
+            first = likely[inside] - w.offsets[at_doc]
+            ends = np.cumsum(hi - lo)
+            # windows that recur in a text and in an item are a product: in bounded pieces, of which only distinct diagonals stay
+            begin = 0
+            while begin < len(ends):
+                stop = max(int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + _EXPAND, "right")), begin + 1)
+                n = hi[begin:stop] - lo[begin:stop]
+                x = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[begin:stop], n)
+                triples = np.stack([np.repeat(at_doc[begin:stop], n), items[x], np.repeat(first[begin:stop], n) - positions[x]], 1)
+                found.update(map(tuple, np.unique(triples, axis=0).tolist()))
+                begin = stop
         by_doc: dict[int, list[tuple[int, int]]] = {}
         for d, item, diagonal in sorted(found):
             by_doc.setdefault(d, []).append((item, diagonal))
@@ -142,18 +154,20 @@ def _windows(hashes: np.ndarray, at: tuple[int, ...]) -> np.ndarray:
     return bytescan.mix(h + np.uint64(len(at)))
 
 
-def _blocks(spark: SparkSession, benchmark: DataFrame) -> list:
-    """Broadcast seed indexes, each of a block of about BLOCK_BYTES of benchmark text."""
+def _blocks(spark: SparkSession, benchmark: DataFrame) -> tuple[int, Iterator]:
+    """How many blocks of about BLOCK_BYTES of benchmark text there are, and their seed indexes, broadcast one at a time."""
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).collect()[0]["n"]
     count = max(1, -(-size // BLOCK_BYTES))
-    out = []
-    for block in range(count):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == block).toArrow().to_pylist()
-        rows.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
-        if rows:
-            out.append(spark.sparkContext.broadcast(SeedIndex.build([r["item_id"] for r in rows], [r["text"] for r in rows])))
-    return out
+
+    def each() -> Iterator:
+        for block in range(count):
+            rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == block).toArrow().to_pylist()
+            rows.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
+            if rows:
+                yield spark.sparkContext.broadcast(SeedIndex.build([r["item_id"] for r in rows], [r["text"] for r in rows]))
+
+    return count, each()
 
 
 def overlaps(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -164,7 +178,8 @@ def overlaps(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Data
     per document row and item, for its best overlap.
 
     Defined cases: null or empty texts overlap with nothing; items shorter than
-    a mask must occur whole; of equally good overlaps the first diagonal wins;
+    a mask must occur whole, those of fewer than LEAST_ITEM words match nothing;
+    of equally good overlaps the first diagonal wins;
     repeated documents or items each give their rows; an item
     of null item_id counts as any other and is reported with a null; an empty table gives none.
     """
@@ -172,7 +187,9 @@ def overlaps(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Data
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, overlap_words long, equal_words long, first_word long"
     out = None
-    for block in _blocks(spark, benchmark):
+    count, blocks = _blocks(spark, benchmark)
+    ws = Workspace(spark, "overlaps")
+    for block in blocks:
 
         def run(batches: Iterator[pa.RecordBatch], index=block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -183,16 +200,26 @@ def overlaps(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Data
                         yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(d)), index.value.item_ids.take(pa.array(item)), *(pa.array(x) for x in rest)], names=["doc_id", "item_id", "overlap_words", "equal_words", "first_word"])
 
         part_rows = source.mapInArrow(run, schema)
+        if count > 1:  # written, so that a block's index can go before the next one comes
+            part_rows = ws.save(part_rows, "block")
+            block.destroy()
         out = part_rows if out is None else out.unionByName(part_rows)
     return spark.createDataFrame([], schema) if out is None else out
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with all its columns, without the documents that overlap with a benchmark item."""
+    """``docs`` with all its columns, without the documents that overlap with a benchmark item.
+
+    Defined cases: as for ``overlaps``; null and empty texts stay; repeated rows
+    stay or go together; an empty benchmark takes nothing away; further columns,
+    of whatever name, pass through.
+    """
     prepare(spark)
     column = docs.columns.index("text")
     out = docs
-    for block in _blocks(spark, benchmark):
+    count, blocks = _blocks(spark, benchmark)
+    ws = Workspace(spark, "clean")
+    for block in blocks:
 
         def run(batches: Iterator[pa.RecordBatch], index=block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -201,5 +228,10 @@ def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Da
                     keep[[x[0] for x in index.value.search(part, bounds)]] = False
                     yield batch.slice(i, j - i).filter(pa.array(keep))
 
-        out = out.mapInArrow(run, docs.schema)
+        before, out = out, out.mapInArrow(run, docs.schema)
+        if count > 1:
+            out = ws.save(out, "block")
+            if before is not docs:
+                ws.drop(before)
+            block.destroy()
     return out
