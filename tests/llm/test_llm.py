@@ -467,6 +467,9 @@ def test_mix_comes_near_its_targets(spark):
     key = ["source", "doc_id", "rep"]
     again = mixing.mix(spark, frame.repartition(7)).toPandas().sort_values(key).reset_index(drop=True)
     assert again["taken"].equals(got.sort_values(key).reset_index(drop=True)["taken"])
+    clash = frame.select("*", *[F.lit("kept").alias(c) for c in ("_id", "_copies", "_copy", "_size", "_rep", "id", "copies", "copy", "size", "rep", "source_of", "size_of")])
+    for rows in (clash, clash.where("doc_id <> 5")):
+        assert {tuple(r)[7:] for r in mixing.take(spark, rows).select(rows.columns).collect()} == {("kept",) * 12}
     taken = mixing.take(spark, frame)
     assert taken.columns == frame.columns and taken.count() == got["copies"].sum()
     assert mixing.mix(spark, frame.limit(0)).count() == 0
@@ -516,6 +519,50 @@ def test_passing_runs_equal_brute_force():
         assert got is None or (got[0], got[0] + got[1]) in ends and got[2] == equal[got[0] : got[0] + got[1]].sum()
 
 
+def test_masks_hit_what_they_say():
+    def hit(length, bad):
+        return any(all(s + i not in bad for i, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for s in range(length - len(m) + 1))
+
+    assert all("0" in m.strip("1") or "0" in m for m in decontaminate.MASKS) and all(m.count("1") == 6 for m in decontaminate.MASKS)
+    assert all(hit(10, {a}) for a in range(1, 9))
+    two = [hit(10, set(x)) for x in combinations(range(1, 9), 2)]
+    assert sum(two) / len(two) > 0.82 and all(hit(12, set(x)) for x in combinations(range(1, 11), 2))
+
+
+def test_overlaps_against_every_diagonal(spark):
+    """What a look at every diagonal of every document and item finds; the seeds' recall is at least 0.99 of it, and nothing else is found."""
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "benchmark"))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(spark, docs, bench).collect()}
+
+    def hashed(rows):
+        texts = [(r[0], (r[1] or "").encode()) for r in rows]
+        bounds = np.concatenate([[0], np.cumsum([len(t) for _, t in texts])])
+        w = bytescan.words(np.frombuffer(b"".join(t for _, t in texts), np.uint8), bounds, marks_too=True)
+        return [(i, w.hashes[w.offsets[n] : w.offsets[n + 1]]) for n, (i, _) in enumerate(texts)]
+
+    items = hashed(bench.select("item_id", "text").collect())
+    index = decontaminate.SeedIndex(None, np.concatenate([[0], np.cumsum([len(h) for _, h in items])]), np.concatenate([h for _, h in items]), [])
+    own_item = np.repeat(np.arange(len(items)), np.diff(index.starts))
+    order = np.argsort(index.words, kind="stable")
+    sorted_words = index.words[order]
+    want = set()
+    for doc, h in hashed(docs.select("doc_id", "text").collect()):
+        lo, hi = np.searchsorted(sorted_words, h, "left"), np.searchsorted(sorted_words, h, "right")
+        at = np.repeat(np.arange(len(h)), hi - lo)
+        hit = order[np.arange(len(at)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)]
+        diagonals, equal = np.unique(np.stack([own_item[hit], at - (hit - index.starts[own_item[hit]])], 1), axis=0, return_counts=True)
+        full = np.diff(index.starts)[diagonals[:, 0]] if len(diagonals) else np.zeros(0)
+        likely = diagonals[(equal >= 8) | (equal >= 0.8 * full)]
+        want |= {(doc, items[i][0]) for i in index.overlaps(h, [tuple(x) for x in likely.tolist()])}
+    assert got <= want and len(got) >= 0.99 * len(want) > 10
+
+
+def test_repetitive_texts_and_words_as_items(spark):
+    bench = spark.createDataFrame([(1, "la " * 300), (2, "the"), (3, "of the"), (4, "one two three four five")], "item_id long, text string")
+    frame = awkward(spark, ["la " * 20_000, "the end of the line", "so one two three four five it is"])
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(spark, frame, bench).collect()) == [(0, 1), (2, 4)]
+
+
 def test_many_blocks_find_the_same(spark, monkeypatch):
     docs, bench = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
     whole = {tuple(r) for r in decontaminate.overlaps(spark, docs, bench).collect()}

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.store import Workspace, merging, prepare
+from tidemark.llm.store import Workspace, fresh, merging, prepare
 
 WEIGHTS = (5, 2, 1)  #: repeated over the sources in code point order, null last
 MOST_COPIES = 3
@@ -142,18 +142,24 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS
 
 
 def take(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, name: str = "mix") -> DataFrame:
-    """``docs`` with all its columns, each row as often as the mix takes it (not at all for 0 copies)."""
+    """``docs`` with all its columns, each row as often as the mix takes it (not at all for 0 copies).
+
+    Defined cases: as for ``mix``; rows that share doc_id, source and size are
+    told apart in the order of their texts, equal ones at will; further columns,
+    of whatever name, pass through; an empty table stays empty.
+    """
     ws = Workspace(spark, f"{name}-take")
     mixed = ws.save(mix(spark, docs, weights, most, ws=ws).select("doc_id", "source", "size", "rep", "copies"), "copies")
     ws.clear(mixed)
     counts = mixed.groupBy("doc_id").agg(F.count("*").alias("c")).agg(F.coalesce(F.max("c"), F.lit(0)).alias("most"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).collect()[0]
     names = docs.columns
+    ident, copies, size, rep, source, size_, copy = (fresh(x, names) for x in ("id", "copies", "size", "rep", "source_of", "size_of", "copy"))
+    rep_ = fresh("rep_of", names)
+    chosen = mixed.where("copies > 0").select(F.col("doc_id").alias(ident), F.col("source").alias(source), F.col("size").alias(size_), F.col("rep").alias(rep_), F.col("copies").alias(copies))
     if counts["most"] <= 1 and not counts["nulls"]:
-        chosen = mixed.where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"))
-        joined = docs.join(merging(chosen), docs["doc_id"].cast("long") == chosen["_id"])
+        joined = docs.join(merging(chosen.select(ident, copies)), F.col("doc_id").cast("long") == F.col(ident))
     else:
-        size = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long")
-        own = docs.withColumn("_size", size).withColumn("_rep", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy("text")))
-        chosen = mixed.where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_s"), F.col("rep").alias("_r"), F.col("copies").alias("_copies"))
-        joined = own.join(merging(chosen), own["doc_id"].eqNullSafe(F.col("_id")) & own["source"].eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_s")) & (F.col("_rep") == F.col("_r")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in names])
+        words = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long")
+        own = docs.withColumn(size, words).withColumn(rep, F.row_number().over(Window.partitionBy("doc_id", "source", size).orderBy("text")))
+        joined = own.join(merging(chosen), F.col("doc_id").cast("long").eqNullSafe(F.col(ident)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(size) == F.col(size_)) & (F.col(rep) == F.col(rep_)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*[F.col(f"`{c}`") for c in names])

@@ -7,26 +7,28 @@ is read again from the shared folder, never recomputed from the input.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import LongType, StructField, StructType
 
-#: Used only where the session names no shared folder (tests on one machine).
+#: Used only where the session names no shared folder and runs in one JVM, as in tests.
 LOCAL_DEFAULT = "/tmp/checkpoints"
 _FREES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, or a local default where it is unset."""
+    """spark.checkpoint.dir of the session; where it is unset a local default, which only a local master may use."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known.rsplit("/", 1)[0]
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = f"{LOCAL_DEFAULT}/{os.getpid()}"
     if not os.path.isdir(own):
         os.makedirs(own)
@@ -34,13 +36,31 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+_left: set[str] = set()  #: folders of this process, removed when it ends
+
+
+def _remove_left() -> None:
+    """A query's last tables are read when its result is, so they can only go with the process."""
+    from pyspark import SparkContext
+
+    jvm = SparkContext._jvm
+    for root in list(_left) if jvm is not None else ():
+        with contextlib.suppress(Exception):  # the JVM may have gone first
+            path = jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+
+
+atexit.register(_remove_left)
+
+
 class Workspace:
-    """One operator run's own folder below the shared one."""
+    """One operator run's own folder below the shared one; it is removed when the process ends."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._serial = 0
+        _left.add(self.root)
 
     def path(self, name: str) -> str:
         self._serial += 1
@@ -91,8 +111,12 @@ def local_path(uri: str) -> str:
     return uri
 
 
-def ids(*names: str) -> StructType:
-    return StructType([StructField(n, LongType()) for n in names])
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that none of ``columns`` bears, in any case."""
+    known = {c.lower() for c in columns}
+    while name.lower() in known:
+        name += "_"
+    return name
 
 
 def merging(side: DataFrame) -> DataFrame:
