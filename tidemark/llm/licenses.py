@@ -25,6 +25,7 @@ from tidemark.llm.store import Workspace, prepare
 SHINGLE = 5
 CONTAINMENT = 0.8
 BANDS = 16
+PART = 8192  #: words of a part of a long text
 
 #: Short notices as their publishers word them.
 TEMPLATES = (
@@ -91,33 +92,38 @@ def scan(spark: SparkSession, docs: DataFrame, templates: tuple[tuple[str, str],
     prepare(spark)
     rows = []
     marks: dict[int, set[str]] = {}
-    for name, text in templates:
+    for license_id, text in templates:
         words = template_words(text)
         own = anchors(words, ("licensed", "license", "permission", "redistribution"))
-        rows.append((name, len(words), " ".join(words)))
+        rows.append((license_id, len(words), " ".join(words)))
         marks.setdefault(len(words), set()).update(own)
     table = spark.createDataFrame(rows, "license_id string, width int, words string")
     table = table.withColumn("words", F.split("words", " ")).withColumn("theirs", _shingles(F.col("words")))
     table = table.select("license_id", "width", "theirs", F.posexplode(_bands(F.col("theirs"))).alias("band", "value"))
 
     every = sorted({w for own in marks.values() for w in own})
+    steps = {width: max(1, (width - SHINGLE + 1) // 4) for width in marks}
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
     likely = source.where(_any([F.contains("text", F.lit(w)) for w in every]))
-    # written, so that no later expression computes the words again
+    # written, so that no later expression computes the words again; a long text becomes parts, each with what its last window needs
     ws = Workspace(spark, name)
-    likely = ws.save(likely.select("doc_id", _words(F.col("text")).alias("words")), "likely")
+    overlap = max(width + step for width, step in steps.items())
+    words = likely.select("doc_id", _words(F.col("text")).alias("words"))
+    begins = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(PART))
+    parts = words.select("doc_id", F.explode(F.transform(begins, lambda s: F.struct(s.alias("base"), F.slice("words", s + 1, PART + overlap).alias("words")))).alias("p"))
+    likely = ws.save(parts.select("doc_id", "p.base", "p.words"), "likely")
     likely = likely.withColumn("at", F.filter(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0))), lambda i: F.coalesce(F.get("words", i).isin(*every), F.lit(False))))
     likely = likely.where(F.size("at") > 0)
 
     def windows(width: int, own: set[str]):
-        step = max(1, (width - SHINGLE + 1) // 4)
+        step = steps[width]
         hit = F.filter("at", lambda i: F.get("words", i).isin(*sorted(own)))
-        # a window beginning at s holds words s to s + width + step - 1
+        # a window beginning at s holds words s to s + width + step - 1; those that begin beyond the part are the next part's
         starts = F.array_distinct(F.flatten(F.transform(hit, lambda i: F.transform(F.sequence(F.floor(F.greatest(i - width - step + 1, F.lit(0)) / step), F.floor(i / step)), lambda k: (k * step).cast("int")))))
-        return F.transform(starts, lambda s: F.struct(F.lit(width).alias("width"), s.alias("start"), F.slice("words", s + 1, width + step).alias("words")))
+        return F.transform(F.filter(starts, lambda s: s < PART), lambda s: F.struct(F.lit(width).alias("width"), s.alias("start"), F.slice("words", s + 1, width + step).alias("words")))
 
-    cut = likely.select("doc_id", F.explode(F.flatten(F.array(*[windows(width, own) for width, own in sorted(marks.items())]))).alias("w"))
-    cut = ws.save(cut, "windows").select("doc_id", "w.width", "w.start", _shingles(F.col("w.words")).alias("own"))
+    cut = likely.select("doc_id", "base", F.explode(F.flatten(F.array(*[windows(width, own) for width, own in sorted(marks.items())]))).alias("w"))
+    cut = ws.save(cut, "windows").select("doc_id", "w.width", (F.col("base") + F.col("w.start")).alias("start"), _shingles(F.col("w.words")).alias("own"))
     cut = ws.save(cut, "shingles")
     banded = cut.select("doc_id", "width", "start", "own", F.posexplode(_bands(F.col("own"))).alias("band", "value"))
     # the templates are constants of this module or of the caller: a few rows
