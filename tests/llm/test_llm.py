@@ -308,16 +308,28 @@ def test_token_files_round_trip(spark):
     ws = Workspace(spark, "t")
     folder = ws.path("ids")
     shards = tokens.write(spark, frame, folder, tokens.tokenizer_path(), rows_per_shard=3)
-    got = sorted((r for r in tokens.read(spark, folder, shards).collect()), key=lambda r: r["start"])
-    at, expected = 0, []
-    for doc, text in sorted([(-1, "null id")] + [(n, x or "") for n, x in enumerate(texts)] * 2):
+    got = [tuple(r) for r in sorted(tokens.read(spark, folder, shards).collect(), key=lambda r: r["start"])]
+    rows, at = [(None, "null id")] + [(n, x or "") for n, x in enumerate(texts) for _ in range(2)], 0
+    assert [r[0] for r in got] == [doc for doc, _ in rows] and shards.count() > 1
+    files = tokens.TokenFiles(folder)
+    assert len(files) == len(rows)
+    for n, (doc, text) in enumerate(rows):
         ids = [*t.encode(text, add_special_tokens=False).ids, 1]
-        expected.append((None if doc < 0 else doc, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        assert got[n] == (doc, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        found = files[n]  # without the session
+        assert found[:2] == (doc, at) and found[2].tolist() == ids
         at += len(ids)
-    assert [tuple(r) for r in got] == expected and shards.count() > 1
     assert tokens.round_trip(spark, frame.limit(0)).count() == 0
 
 
+def test_one_repeated_id_is_dealt_over_tasks(spark):
+    frame = spark.createDataFrame([(7, f"text number {n}") for n in range(60)] + [(n, "x") for n in range(5)], "doc_id long, text string")
+    folder = Workspace(spark, "t").path("ids")
+    shards = tokens.write(spark, frame, folder, tokens.tokenizer_path(), rows_per_shard=10)
+    assert len({r["name"].split("-")[0] for r in shards.collect()}) > 3
+    assert [r["doc_id"] for r in tokens.read(spark, folder, shards).orderBy("start").collect()] == [0, 1, 2, 3, 4] + [7] * 60
+
+
 # --- 5 toxicity
 
 
@@ -615,7 +627,9 @@ def test_anchors_cover_every_match():
         assert len([s for s in spans if not s & chosen]) < 0.2 * len(spans)
 
 
-def test_license_scan_equals_brute_force(spark):
+@pytest.mark.parametrize("part", [8192, 37])
+def test_license_scan_equals_brute_force(spark, monkeypatch, part):
+    monkeypatch.setattr(licenses, "PART", part)
     named = dict(licenses.TEMPLATES)
     cut = named["MIT-grant"].split()
     cut[20] = "OTHER"
@@ -634,6 +648,13 @@ def test_license_scan_equals_brute_force(spark):
     assert licenses.scan(spark, awkward(spark, texts).limit(0)).count() == 0
 
 
+def test_the_first_window_of_a_very_long_text(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "PART", 1000)
+    text = "word " * 250_000 + dict(licenses.TEMPLATES)["MIT-grant"] + " word" * 5
+    rows = licenses.scan(spark, awkward(spark, [text])).collect()
+    assert [(r["license_id"], r["containment"]) for r in rows] == [("MIT-grant", 1.0)] and 249_980 <= rows[0]["first_word"] <= 250_000
+
+
 # --- the pipeline
 
 

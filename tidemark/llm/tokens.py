@@ -1,13 +1,15 @@
 """Token ids in flat binary files.
 
-Format.  A run writes numbered shards.  Shard s has ``s.ids``, the ids of its
-documents laid end to end as little-endian unsigned integers (16 bits where the
-vocabulary allows, else 32), and ``s.off``, unsigned 64-bit offsets: document d
-of the shard owns ids off[d] to off[d + 1].  ``s.doc`` holds the documents'
-integer ids.  Shards cover ascending, disjoint ranges of doc_id and documents
-ascend within a shard, so the shards read in order are the whole corpus in
-ascending doc_id order; a shard's base, the ids of all shards before it, is the
-prefix sum of the shards' sizes.  Readers memory-map the files.
+Format.  A run writes shards.  Shard s has ``s.ids``, the ids of its documents
+laid end to end as little-endian unsigned integers (16 bits where the vocabulary
+allows, else 32), and ``s.off``, unsigned 64-bit offsets: document d of the
+shard owns ids off[d] to off[d + 1].  ``s.doc`` holds the documents' integer
+ids.  Shards cover ascending ranges of doc_id in the order of their names and
+documents ascend within a shard, so the shards read in order are the whole
+corpus in ascending doc_id order.  ``manifest`` is a Parquet table of one row a
+shard: its name, documents, ids, width in bytes and base, the ids of all shards
+before it, which is a prefix sum of the shards' sizes.  Readers memory-map the
+files; ``TokenFiles`` does so without Spark.
 
 A task writes its shard under a name of its own and renames it at the end, so a
 task that is lost or runs twice leaves whole files only.
@@ -24,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.store import Workspace, local_path, prepare
 
@@ -110,73 +113,91 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _bounds(docs: DataFrame, shards: int) -> list[int]:
-    """Ascending doc_id values that split the rows into about equal shards."""
-    if shards <= 1:
-        return []
-    at = docs.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 20_000).alias("p")).collect()[0]["p"]
-    return sorted(set(at or []))
-
-
 def write(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str, rows_per_shard: int = SHARD_ROWS) -> DataFrame:
-    """Write ``docs`` (doc_id, text) below ``folder``; one row a shard: shard, name, documents, ids, base, width."""
+    """Write ``docs`` (doc_id, text) and their manifest below ``folder``; the manifest's rows: name, documents, ids, width, base.
+
+    Tasks take ranges of (doc_id, hash of the text), so one repeated doc_id is
+    dealt over several; each cuts its range into shards of ``rows_per_shard``.
+    """
     prepare(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = source.count()
-    shards = max(1, -(-rows // rows_per_shard))
-    cuts = _bounds(source.select("doc_id"), shards)
-    shard = F.lit(0)
-    if cuts:
-        # the number of cuts at or below doc_id, by bisection of a literal array
-        steps = F.array(*[F.lit(c) for c in cuts])
-        shard = F.aggregate(F.array(*[F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))]), F.lit(0), lambda low, jump: F.when((low + jump <= len(cuts)) & (F.element_at(steps, F.least(low + jump, F.lit(len(cuts)))) <= F.col("doc_id")), low + jump).otherwise(low))
+    parts = max(1, -(-source.count() // rows_per_shard))
     target = local_path(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         os.makedirs(target, exist_ok=True)
         encoder = _encoder(tokenizer)
         end = np.array([END_ID], encoder.dtype).tobytes()
-        current, ids, docs_file, offsets, tmp, documents = None, None, None, [], "", []
+        task, number, ids, tmp = TaskContext.get().partitionId(), 0, None, ""
+        offsets, documents = [0], []
 
-        def close():
-            nonlocal ids
-            if ids is None:
-                return None
+        def close() -> pa.RecordBatch:
+            nonlocal ids, number, offsets, documents
             ids.close()
-            name = f"{current:06d}"
+            name = f"{task:08d}-{number:06d}"
             np.array(offsets, "<u8").tofile(f"{tmp}.off")
             np.array(documents, "<i8").tofile(f"{tmp}.doc")
             for kind in ("off", "doc", "ids"):
                 os.replace(f"{tmp}.{kind}", f"{target}/{name}.{kind}")
-            ids = None
-            return (current, name, len(offsets) - 1, offsets[-1], encoder.dtype.itemsize)
+            row = pa.RecordBatch.from_arrays([pa.array(x) for x in ([name], [len(documents)], [offsets[-1]], [encoder.dtype.itemsize])], names=["name", "documents", "ids", "width"])
+            ids, number, offsets, documents = None, number + 1, [0], []
+            return row
 
-        done = []
         for batch in batches:
-            for number, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if number != current:
-                    if (row := close()) is not None:
-                        done.append(row)
-                    current, offsets, documents = number, [0], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if ids is None:
                     tmp = f"{target}/.{uuid.uuid4().hex}"
                     ids = open(f"{tmp}.ids", "wb")  # noqa: SIM115
                 raw = encoder.encode(text.as_py()) + end
                 ids.write(raw)
                 offsets.append(offsets[-1] + len(raw) // encoder.dtype.itemsize)
                 documents.append(-(1 << 63) if doc is None else doc)
-        if (row := close()) is not None:
-            done.append(row)
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], names=["shard", "name", "documents", "ids", "width"])
+                if len(documents) == rows_per_shard:
+                    yield close()
+        if ids is not None:
+            yield close()
+
+    order = F.col("doc_id").asc_nulls_first()
+    placed = source.withColumn("h", F.xxhash64("text")).repartitionByRange(parts, order, "h").sortWithinPartitions(order, "h", "text")
+    sizes = f"{folder}/sizes"
+    placed.select("doc_id", "text").mapInArrow(run, "name string, documents long, ids long, width long").write.mode("overwrite").parquet(sizes)
+    # one row a shard: names ascend as doc_ids do, and a base is the prefix sum of the sizes before
+    before = F.sum("ids").over(Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1))
+    manifest = spark.read.parquet(sizes).withColumn("base", F.coalesce(before, F.lit(0)))
+    manifest.coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
+    return spark.read.parquet(f"{folder}/manifest")
+
+
+class TokenFiles:
+    """Written token files, opened without a Spark session: ``documents`` and their ids by place in ascending doc_id order."""
+
+    def __init__(self, folder: str) -> None:
+        import pyarrow.parquet as pq
+
+        self.folder = local_path(folder)
+        self.shards = pq.read_table(f"{self.folder}/manifest").sort_by("name").to_pylist()
+        self.firsts = np.cumsum([0] + [s["documents"] for s in self.shards])
+
+    def __len__(self) -> int:
+        return int(self.firsts[-1])
+
+    def __getitem__(self, at: int) -> tuple[int | None, int, np.ndarray]:
+        """(doc_id, ids of all documents before it, its ids) of one document."""
+        if not 0 <= at < len(self):
+            raise IndexError(at)
+        n = int(np.searchsorted(self.firsts, at, "right")) - 1
+        documents, offsets, ids = mapped(self.folder, self.shards[n])
+        k = at - int(self.firsts[n])
+        doc = int(documents[k])
+        return None if doc == -(1 << 63) else doc, self.shards[n]["base"] + int(offsets[k]), ids[int(offsets[k]) : int(offsets[k + 1])]
+
 
-    placed = source.withColumn("shard", F.coalesce(shard, F.lit(0)).cast("int")).select("shard", "doc_id", "text")
-    placed = placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "text")
-    written = sorted(placed.mapInArrow(run, "shard long, name string, documents long, ids long, width long").collect())
-    base, out = 0, []
-    for row in written:  # one row a shard: the prefix sum of their sizes
-        out.append((*row, base))
-        base += row["ids"]
-    return spark.createDataFrame(out, "shard long, name string, documents long, ids long, width long, base long")
+def mapped(folder: str, shard: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(documents, offsets, ids) of one shard, mapped."""
+    stem = f"{folder}/{shard['name']}"
+    return np.memmap(f"{stem}.doc", "<i8", "r"), np.memmap(f"{stem}.off", "<u8", "r"), np.memmap(f"{stem}.ids", f"<u{shard['width']}", "r")
 
 
 def read(spark: SparkSession, folder: str, shards: DataFrame) -> DataFrame:
@@ -187,21 +208,22 @@ def read(spark: SparkSession, folder: str, shards: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                stem = f"{target}/{row['name']}"
-                offsets = np.fromfile(f"{stem}.off", "<u8").astype(np.int64)
-                documents = np.fromfile(f"{stem}.doc", "<i8")
-                ids = np.memmap(f"{stem}.ids", f"<u{row['width']}", "r")
+                documents, offsets, ids = mapped(target, row)
+                documents, offsets = np.array(documents), offsets.astype(np.int64)
                 crc = np.fromiter((zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)), np.int64, len(documents))
                 yield pa.RecordBatch.from_arrays([pa.array(documents, mask=documents == -(1 << 63)), pa.array(row["base"] + offsets[:-1]), pa.array(np.diff(offsets)), pa.array(crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # one row a shard: dealt out, so that each task maps a few
+    spread = max(1, min(shards.count(), 4 * spark.sparkContext.defaultParallelism))
+    return shards.repartition(spread).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, name: str = "tokens") -> DataFrame:
     """Write ``docs`` as token ids and return what the files say of each document.
 
     Defined cases: null and empty texts hold the end id alone; a null doc_id
-    sorts first; rows that repeat a doc_id follow each other, ordered by text;
+    sorts first; rows that repeat a doc_id follow each other, ordered by the hash
+    of their text;
     an empty table gives no files and no rows; further columns are ignored.
     """
     ws = Workspace(spark, name)
