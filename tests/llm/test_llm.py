@@ -680,3 +680,45 @@ def test_pipeline_stages_take_effect(spark):
         if name != "token_ids":
             assert docs.columns == before.columns
     assert counts[-1] == counts[-2]
+
+
+def test_pipeline_stages_on_awkward_rows(spark):
+    import corpus_pipeline as cp
+
+    docs = table(spark, "documents").where("text is not null").orderBy("doc_id").limit(60)
+    text = docs.first()["text"]
+    names = ("_kept", "kept", "_id", "_copies", "_copy", "_size", "row", "component_id")
+    odd = [(None, text, "en", "a", 1), (None, text, "en", None, 1), (None, None, None, None, None), (5_000_001, "", "en", "a", 0), (5_000_002, "Only here are these few words told, and twice over.", "en", "a", 2), (5_000_002, "Only here are these few words told, and twice over.", "en", "b", 1), (5_000_002, "The second text that bears the same number as another.", "en", "b", 1)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema)).select("*", *[F.lit("mine").alias(n) for n in names])
+    ws = Workspace(spark, "t")
+    for rows in (docs, docs.limit(0)):
+        for name, stage in cp.STAGES:
+            before, rows = rows, ws.save(stage(spark, rows, SF), name)
+            if name == "token_ids":
+                assert rows.count() == before.count()
+                continue
+            assert rows.columns == before.columns and {tuple(r) for r in rows.select(*names).distinct().collect()} <= {("mine",) * len(names)}
+            if name == "near_duplicates" and before.count():
+                own = sorted((r["text"], r["source"]) for r in rows.where("doc_id = 5000002").collect())
+                assert own == [("Only here are these few words told, and twice over.", "a"), ("The second text that bears the same number as another.", "b")]
+                assert rows.where("doc_id is null").count() == before.where("doc_id is null").count()
+
+
+def test_pipeline_equals_brute_force(spark):
+    """Near-duplicates and leaks of the whole table decided by looking at every pair."""
+    import corpus_pipeline as cp
+
+    docs = table(spark, "documents")
+    first = {r["doc_id"]: r["text"] for r in ppm.keep_identified(spark, docs).collect()}
+    sets = {}
+    for n, t in first.items():
+        w = words_of(t)
+        sets[n] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    links = [(a, b) for a, b in combinations(sets, 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    component = least_reachable(sets, links)
+    clean = {r["doc_id"] for r in docs.join(decontaminate.overlaps(spark, docs, table(spark, "benchmark")), "doc_id", "left_anti").collect()}
+    kept = {n for n in sets if component[n] == n and n in clean}
+    mixed = mixing.mix(spark, docs.where(F.col("doc_id").isin(sorted(kept)))).toPandas()
+    want = sorted(n for n, c in zip(mixed["doc_id"], mixed["copies"], strict=True) for _ in range(int(c)))
+    got = cp.run(spark, SF).orderBy("start").toPandas()
+    assert got["doc_id"].tolist() == want and got["start"].tolist() == [0, *got["n_tokens"].cumsum().tolist()[:-1]]
