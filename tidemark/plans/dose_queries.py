@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import dose as D
 from tidemark.operators import effects as E
 from tidemark.operators import exposure as O
-from tidemark.plans.panel_queries import _ar, _round, _windows
+from tidemark.operators.settle import settled
+from tidemark.plans.panel_queries import _ar, _fits, _round
 from tidemark.plans.registry import query
 from tidemark.sources import fixtures as X
 from tidemark.sources.fixtures import cte
@@ -19,7 +20,8 @@ def _exposure(spark, folder):
 
 def _dose(spark, folder):
     car = E.car(_ar(spark, folder), 0, 1)
-    return car.join(_exposure(spark, folder), ["event_id", "unit_id"]).select("event_id", "unit_id", "direction", "car", "exposure")
+    # at most one row an event and unit, which every later sum reads
+    return settled(car.join(_exposure(spark, folder), ["event_id", "unit_id"]).select("event_id", "unit_id", "direction", "car", "exposure"))
 
 
 @query("attributes_withheld_counts", cte("attr", "ann") + "SELECT event_id, CAST(count(CASE WHEN knowable < CAST(ts AS DATE) THEN 1 END) AS BIGINT) AS knowable, CAST(count(CASE WHEN knowable >= CAST(ts AS DATE) THEN 1 END) AS BIGINT) AS withheld FROM attr CROSS JOIN ann GROUP BY 1")
@@ -94,11 +96,12 @@ cp AS (SELECT grid.unit_id, grid.event_id, car, exposure, CASE WHEN r IS NOT NUL
 
 
 def _car_panel(spark, folder):
-    windows = _windows(spark, folder)
-    units = X.weekly_prices(spark, folder).select("unit_id").distinct()
+    prices = settled(X.weekly_prices(spark, folder))
+    panel, windows, fits = _fits(spark, folder, prices)
+    units = prices.select("unit_id").distinct()
     # the task grid itself: every unit with every event, each with a row or a reason
     grid = units.crossJoin(windows.select("event_id", F.col("reason").alias("r")))
-    out = grid.join(_exposure(spark, folder).drop("direction"), ["unit_id", "event_id"], "left").join(E.car(_ar(spark, folder), 0, 1), ["unit_id", "event_id"], "left")
+    out = grid.join(_exposure(spark, folder).drop("direction"), ["unit_id", "event_id"], "left").join(E.car(E.abnormal_returns(panel, fits, windows), 0, 1), ["unit_id", "event_id"], "left")
     reason = F.when(F.col("r").isNotNull(), F.concat(F.lit("window: "), "r")).when(F.col("exposure").isNull(), "no exposure row").when(F.col("car").isNull(), "gaps: estimation window")
     return out.withColumn("reason", reason)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import effects as E
 from tidemark.operators import panel as P
 from tidemark.operators import timing as T
+from tidemark.operators.settle import settled
 from tidemark.plans.registry import query
 from tidemark.sources import fixtures as X
 from tidemark.sources.fixtures import ESTIMATION, GAP, HORIZON, cte
@@ -17,18 +18,20 @@ def _round(df, digits: int, *names: str):
     return df.withColumns({n: F.round(n, digits) + F.lit(0.0) for n in names})
 
 
-def _panel(spark, folder):
-    prices = X.weekly_prices(spark, folder)
+def _panel(spark, folder, prices=None):
+    prices = X.weekly_prices(spark, folder) if prices is None else prices
     return P.align(P.point_in_time_returns(prices), P.market_spine(prices))
 
 
-def _windows(spark, folder):
+def _windows(spark, folder, prices=None):
     events = X.announcements(spark).withColumn("dt", F.to_date("ts"))
-    return T.resolve_windows(events, P.market_spine(X.weekly_prices(spark, folder)), ESTIMATION, GAP, HORIZON)
+    return T.resolve_windows(events, P.market_spine(X.weekly_prices(spark, folder) if prices is None else prices), ESTIMATION, GAP, HORIZON)
 
 
-def _fits(spark, folder):
-    panel, windows = _panel(spark, folder), _windows(spark, folder)
+def _fits(spark, folder, prices=None):
+    # returns, calendar, units and windows all come from the weekly table, and fits and effects from the panel: each is written once
+    prices = settled(X.weekly_prices(spark, folder)) if prices is None else prices
+    panel, windows = settled(_panel(spark, folder, prices)), settled(_windows(spark, folder, prices))
     return panel, windows, E.fit_market_model(panel, windows, ESTIMATION)
 
 
