@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.tails import inverse_normal, normal_two_sided, t_two_sided
-from tidemark.operators import checks, dose, kernels, reporting, timing
+from tidemark.operators import checks, dose, kernels, reporting, resampling, timing
 from tidemark.sources import readers, sinks
 from tidemark.streaming.bars import windowed_counts
 
@@ -50,7 +50,7 @@ def test_fixed_effects_slope_equals_dummies(spark):
     scores = np.stack([(design * e[:, None])[d[:, k] == 1].sum(0) for k in range(5)])
     v = 5 / 4 * (len(y) - 1) / (len(y) - 6) * g @ (scores.T @ scores) @ g
     assert got["beta"] == pytest.approx(beta[0], rel=1e-9) and got["se"] == pytest.approx(math.sqrt(v[0, 0]), rel=1e-9)
-    again = dose.wild_bootstrap(frame, "webb", draws=200).collect()[0]
+    again = resampling.wild_bootstrap(frame, "webb", draws=200).collect()[0]
     assert again["p_wild"] < 0.05 and again["p_floor"] == pytest.approx(max(2 / 6**5, 1 / 201))
     with pytest.raises(dose.NotIdentified):
         dose.check_identified(frame.withColumn("exposure", F.lit(1.0)))
@@ -78,7 +78,7 @@ def test_guards_refuse(spark):
     with pytest.raises(reporting.MissingInfluence):
         reporting.dose_section(estimates, None)
     with pytest.raises(ValueError):
-        dose.wild_bootstrap(estimates, "normal")
+        resampling.wild_bootstrap(estimates, "normal")
 
 
 def test_csv_keeps_blanks_and_checks_columns(spark, tmp_path):
@@ -115,6 +115,7 @@ def test_partition_check_and_markdown(spark):
     assert {tuple(r) for r in bad.collect()} == {("a", "repeated"), ("c", "missing")}
     assert sinks.markdown(spark.createDataFrame([(1.5, None)], "x double, y string")).endswith("| 1.5000 | — |")
     assert sinks.markdown(wanted.limit(0)) == "_(no rows)_"
+    assert sinks.markdown(spark.range(5).toDF("x"), 3).endswith("_(2 more rows)_")
 
 
 def test_stream_counts_equal_batch(spark, tmp_path):

@@ -79,7 +79,7 @@ MONTHS = "January|February|March|April|May|June|July|August|September|October|No
 
 def month_year(x: Column) -> Column:
     """The first 'Month yyyy' of a sentence, or null."""
-    return F.nullif(F.regexp_extract(x, rf"(?:{MONTHS}) (?:19|20)\d\d", 0), F.lit(""))
+    return F.nullif(F.regexp_replace(F.regexp_extract(x, rf"\b((?:{MONTHS})\s+(?:19|20)\d\d)", 1), r"\s+", " "), F.lit(""))
 
 
 def has_any(x: Column, words: tuple[str, ...]) -> Column:

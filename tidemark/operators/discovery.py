@@ -8,8 +8,42 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import scalars as S
 
-#: Words that mark a policy instrument.
-INSTRUMENTS = ("scheme", "regulation", "levy", "obligation", "grant", "standard", "directive", "consultation", "white paper", "act", "order", "subsidy", "tariff", "target", "ban", "mandate")
+# Words, patterns and markers that the results hang on.
+INSTRUMENTS = (
+    "consultation", "consulted", "regulations", "standard", "scheme", "strategy", "announced", "announcement", "laid before", "published", "response", "came into force",
+    "launched", "closed", "extended", "amended", "uplift", "target", "commitment", "phase out", "phased out", "delayed", "scrapped",
+)
+FALSE_FRIENDS = ("industrial strategy", "department for business, energy", "energy and industrial")
+CITATIONS = (
+    r"\bPQ\s*\d", r"\bHC\s+Deb\b", r"\bHL\s+Deb\b", r"\bop\.?\s*cit\b", r"\bibid\b", r"https?://", r"\[subscription required\]", r"\bDeposited paper\b",
+    r"^\s*\d{1,3}\s+[A-Z][a-z]+.{0,40},", r"\b(?:Financial Times|The Times|The Guardian|BBC News|Telegraph|Reuters)\b",
+)
+CONTENTS = (r"(?:\b\d{1,2}\.\d\b.*){3,}", r"(?:\s\d{1,3}\s){4,}", r"^\s*\d{1,3}\s+\d{1,2}\.\d", r"^\s*[A-Z][a-z]+ [A-Z][a-z]+ \d{1,3} Commons Library")
+STAGES = (
+    ("consultation_launch", ("consultation on", "consulted on", "sought views")),
+    ("consultation_outcome", ("consultation response", "response to the consultation", "government response")),
+    ("strategy", ("strategy", "roadmap", "plan")),
+    ("regulations_laid", ("regulations", "laid before", "came into force", "statutory instrument")),
+    ("scheme_launch", ("launched", "opened", "introduced", "came into effect")),
+    ("scheme_amendment", ("amended", "uplift", "increased", "raised", "changed")),
+    ("scheme_extension", ("extended", "extension")),
+    ("scheme_closure", ("closed", "scrapped", "cancelled", "ended", "withdrawn")),
+    ("target_change", ("target", "phase out", "phased out", "delayed", "pushed back", "commitment")),
+    ("review", ("review", "evaluation", "reported on")),
+)
+NEWSWORTHY = ("consultation_outcome", "strategy", "scheme_launch", "scheme_amendment", "scheme_closure", "target_change")
+STAGE_DIRECTION = {"scheme_launch": "tighten", "scheme_extension": "tighten", "scheme_amendment": "tighten", "strategy": "tighten", "scheme_closure": "loosen"}
+LOOSEN = ("delay", "delayed", "scrap", "cancel", "clos", "withdraw", "push back", "pushed back", "rolled back", "roll back", "weaken", "exempt", "axe")
+TIGHTEN = ("brought forward", "raise", "raised", "increase", "increased", "uplift", "extend", "extended", "strengthen", "mandate", "require")
+DEFERRALS = (
+    "delay", "delayed", "postpone", "postponed", "pushed back", "put back", "deferred", "defer", "scrapped", "scrap", "cancelled", "cancel", "abandoned", "dropped", "rolled back", "roll back",
+    "watered down", "weakened", "exempt", "exemption", "no longer", "will not proceed", "not proceed", "shelved", "paused", "axed", "reversed", "u-turn", "moved back", "extended the deadline", "relaxed",
+)
+ANNOUNCEMENT_TYPES = ("press_release", "news_story", "speech", "written_statement", "oral_statement", "consultation_outcome", "policy_paper")
+NOT_A_DECISION = (
+    "applications surge", "applications up", "grant applications", "in demand", "demand for heat pumps", "reasons to get", "explained", "what you need to know", "case study", "statistics show",
+    "research reveals", "satisfaction among",
+)
 
 
 def pages(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -23,10 +57,67 @@ def sentence_rows(documents: DataFrame, key: str, text: str, least: int = 40, mo
 
 
 def is_apparatus(x: Column) -> Column:
-    """Citations, contents lines and tables rather than prose."""
-    citation = x.rlike(r"(?i)\bhc deb\b|\bibid\b|\bop\.? ?cit\b|\bisbn\b|\bcm \d{3,}|https?://|\bvol\.? ?\d|\bpp?\. ?\d|\bcc? ?\d+-\d+|\baccessed\b")
-    contents = x.rlike(r"\.{4,}|^(?i)contents\b|^(?i)(table|figure|chart) \d|^\d{1,3} [A-Z]")
-    return citation | contents | (S.digit_density(x) > 0.12)
+    """Citations, contents lines, page furniture and tables rather than prose."""
+    out = S.has_any(x, FALSE_FRIENDS)
+    for pattern in CITATIONS:
+        out = out | x.rlike(f"(?im){pattern}")
+    for pattern in CONTENTS:
+        out = out | x.rlike(pattern)
+    return out | x.rlike(r"^\s*\d{1,3}\s+[A-Z]") | (S.digit_density(x) > 0.12)
+
+
+def stages(x: Column) -> Column:
+    """The stages whose markers a text holds, in their fixed order."""
+    return F.array_compact(F.array(*[F.when(S.has_any(x, markers), stage) for stage, markers in STAGES]))
+
+
+def inferred_stage(found: Column) -> Column:
+    """The first newsworthy stage, else the first; empty without any."""
+    news = F.filter(found, lambda s: s.isin(*NEWSWORTHY))
+    return F.coalesce(F.get(news, F.lit(0)), F.get(found, F.lit(0)), F.lit(""))
+
+
+def proposed_direction(x: Column, stage: Column) -> Column:
+    """loosen or tighten by marker words if only one kind occurs, else what the stage implies; empty if nothing does."""
+    base = F.lit("")
+    for name, direction in STAGE_DIRECTION.items():
+        base = F.when(stage == name, direction).otherwise(base)
+    loosen, tighten = S.has_any(x, LOOSEN), S.has_any(x, TIGHTEN)
+    return F.when(loosen & ~tighten, "loosen").when(tighten & ~loosen, F.coalesce(F.nullif(base, F.lit("")), F.lit("tighten"))).otherwise(base)
+
+
+def candidates(sentences: DataFrame, key: str) -> DataFrame:
+    """(key, stages, stage, direction, evidence) over each key's clean sentences; the evidence is the longest, ties by text."""
+    clean = sentences.where(~is_apparatus(F.col("sentence")))
+    # whether any sentence holds a marker is what the joined text says, so flags meet in a partial aggregate and sentences never do
+    flags = [F.bool_or(S.has_any(F.col("sentence"), markers)).alias(f"_s{n}") for n, (_, markers) in enumerate(STAGES)]
+    a = clean.groupBy(key).agg(*flags, F.bool_or(S.has_any(F.col("sentence"), LOOSEN)).alias("_l"), F.bool_or(S.has_any(F.col("sentence"), TIGHTEN)).alias("_t"), F.max_by("sentence", F.struct(F.length("sentence"), "sentence")).alias("evidence"))
+    a = a.withColumn("stages", F.array_compact(F.array(*[F.when(F.col(f"_s{n}"), stage) for n, (stage, _) in enumerate(STAGES)]))).withColumn("stage", inferred_stage(F.col("stages")))
+    base = F.lit("")
+    for name, direction in STAGE_DIRECTION.items():
+        base = F.when(F.col("stage") == name, direction).otherwise(base)
+    direction = F.when(F.col("_l") & ~F.col("_t"), "loosen").when(F.col("_t") & ~F.col("_l"), F.coalesce(F.nullif(base, F.lit("")), F.lit("tighten"))).otherwise(base)
+    return a.select(key, "stages", "stage", direction.alias("direction"), "evidence")
+
+
+def deferrals(sentences: DataFrame, families: tuple[tuple[str, tuple[str, ...]], ...]) -> DataFrame:
+    """(..., family): clean sentences of a deferral that name a year, under the first family whose terms they hold, else _unattributed; undated ones have family null."""
+    x = F.col("sentence")
+    family = F.lit("_unattributed")
+    for name, terms in reversed(families):
+        family = F.when(S.has_any(x, terms), name).otherwise(family)
+    rows = sentences.where(S.has_any(x, DEFERRALS) & ~is_apparatus(x))
+    return rows.withColumn("family", F.when(x.rlike(r"\b(?:19|20)\d{2}\b"), family))
+
+
+def announcement_reason(kind: Column, published: Column, title: Column, since: str = "2013-01-01") -> Column:
+    """Why a document is no dated decision: its type, its date, or its title; null if it may be one."""
+    return F.when(~F.coalesce(kind.isin(*ANNOUNCEMENT_TYPES), F.lit(False)), "type").when(F.coalesce(published < F.lit(since).cast("date"), F.lit(True)), "date").when(F.coalesce(S.has_any(title, NOT_A_DECISION), F.lit(False)), "title")
+
+
+def redating_gap(search: Column, first: Column) -> Column:
+    """Whole days between the search stamp and the first publication."""
+    return F.floor((F.unix_seconds(search) - F.unix_seconds(first)) / 86400)
 
 
 def dated_references(sentences: DataFrame, key: str) -> DataFrame:
@@ -37,10 +128,10 @@ def dated_references(sentences: DataFrame, key: str) -> DataFrame:
 
 
 def coverage(sentences: DataFrame, families: dict[str, tuple[str, ...]]) -> DataFrame:
-    """(family, mentions, clean, share): how often each family's terms occur, and outside apparatus, in one pass."""
+    """(family, mentions, clean, dated, share): how often each family's terms occur, outside apparatus, and there with a month, in one pass."""
     flags = [F.struct(F.lit(k).alias("family"), S.has_any(F.col("sentence"), terms).alias("hit")) for k, terms in sorted(families.items())]
-    rows = sentences.select(is_apparatus(F.col("sentence")).alias("apparatus"), F.explode(F.array(*flags)).alias("f"))
-    a = rows.groupBy(F.col("f.family").alias("family")).agg(F.count(F.when(F.col("f.hit"), 1)).alias("mentions"), F.count(F.when(F.col("f.hit") & ~F.col("apparatus"), 1)).alias("clean"))
+    rows = sentences.select(is_apparatus(F.col("sentence")).alias("apparatus"), S.month_year(F.col("sentence")).isNotNull().alias("dated"), F.explode(F.array(*flags)).alias("f"))
+    a = rows.groupBy(F.col("f.family").alias("family")).agg(F.count(F.when(F.col("f.hit"), 1)).alias("mentions"), F.count(F.when(F.col("f.hit") & ~F.col("apparatus"), 1)).alias("clean"), F.count(F.when(F.col("f.hit") & ~F.col("apparatus") & F.col("dated"), 1)).alias("dated"))
     return a.withColumn("share", F.coalesce(F.col("clean") / F.nullif("mentions", F.lit(0)), F.lit(0.0)))
 
 
@@ -51,9 +142,15 @@ def grid(hits: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
     return rows.crossJoin(columns).join(counts, ["row", "col"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def round_robin(items: DataFrame, family: str, order: list[Column], most: int) -> DataFrame:
-    """Items picked one a family and round until ``most``: (columns, round, place)."""
-    ranked = items.withColumn("round", F.row_number().over(Window.partitionBy(family).orderBy(*order)))
+def round_robin(items: DataFrame, family: str, order: list[str], most: int) -> DataFrame:
+    """Items picked one a family and round until ``most``, each family in the order of some columns: (columns, round, place).
+
+    No family gives more than ``most``, so buckets of each are cut to that many
+    before the families are ranked.
+    """
+    bucket = items.withColumn("_b", F.pmod(F.xxhash64(*items.columns), F.lit(1024)))
+    few = bucket.withColumn("_r", F.row_number().over(Window.partitionBy(family, "_b").orderBy(*order))).where(F.col("_r") <= most).drop("_r", "_b")
+    ranked = few.withColumn("round", F.row_number().over(Window.partitionBy(family).orderBy(*order))).where(F.col("round") <= most)
     top = ranked.orderBy("round", family).limit(most)
     return top.withColumn("place", F.row_number().over(Window.orderBy("round", family)))
 

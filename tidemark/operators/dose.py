@@ -2,21 +2,18 @@
 
 The fixed-effects estimate needs no design matrix: demeaning within events
 leaves a small Gram matrix of sums (Frisch-Waugh-Lovell), which one grouped
-aggregate gives at any size; only its inverse is computed on the driver.
-Resampling runs on the demeaned rows in Arrow functions keyed by draw.
+aggregate gives at any size.  Controls, clusters by group and resampling are in
+``regression`` and ``resampling``.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.tails import inverse_normal, t_two_sided
+from tidemark.functions.tails import inverse_normal
 
 
 class NotIdentified(ValueError):
@@ -89,79 +86,6 @@ def p_floor(clusters: int, draws: int, points: int = 2) -> float:
 WEIGHTS = {"rademacher": (-1.0, 1.0), "webb": (-math.sqrt(1.5), -1.0, -math.sqrt(0.5), math.sqrt(0.5), 1.0, math.sqrt(1.5))}
 
 
-def _driver_rows(rows: DataFrame, columns: list[str], most: int) -> pd.DataFrame:
-    """The estimation rows for resampling, refused beyond ``most``: every draw needs all of them."""
-    found = rows.select(*columns).limit(most + 1).toPandas()
-    if len(found) > most:
-        raise ValueError(f"resampling takes at most {most} rows; aggregate the panel first")
-    return found.sort_values(columns[:2]).reset_index(drop=True)
-
-
-def _sandwich(x: np.ndarray, y: np.ndarray, cluster: np.ndarray, events: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slopes and errors of many outcome columns on one demeaned exposure."""
-    sxx = float(x @ x)
-    beta = x @ y / sxx
-    g = int(cluster.max()) + 1
-    scores = np.zeros((g, y.shape[1]))
-    np.add.at(scores, cluster, x[:, None] * (y - x[:, None] * beta))
-    factor = g / max(g - 1, 1) * (len(x) - 1) / max(len(x) - events - 1, 1)
-    return beta, np.sqrt(factor * (scores**2).sum(0)) / sxx
-
-
-def wild_bootstrap(rows: DataFrame, weights: str, draws: int = 2000, seed: int = 20260815, most: int = 2_000_000) -> DataFrame:
-    """(beta, t, p_cluster, p_wild, p_floor, p_random, draws): cluster wild bootstrap under no effect, and permutation within events.
-
-    ``weights`` (rademacher or webb) is never defaulted.  p_wild is (1 + extreme)
-    / (draws + 1); p_random the plain share, which may be 0.  Draws are dealt
-    over the cluster; each chunk has its own seeded stream.
-    """
-    if weights not in WEIGHTS:
-        raise ValueError(f"weights are one of {sorted(WEIGHTS)}")
-    check_identified(rows)
-    spark = rows.sparkSession
-    frame = _driver_rows(complete_cases(rows, "car", "exposure"), ["event_id", "unit_id", "car", "exposure"], most)
-    event = frame["event_id"].astype("category").cat.codes.to_numpy().astype(np.int64)
-
-    def centred(v: np.ndarray) -> np.ndarray:
-        counts = np.bincount(event)
-        total = np.zeros((len(counts), *v.shape[1:]))
-        np.add.at(total, event, v)
-        return v - (total / counts.reshape(-1, *[1] * (v.ndim - 1)))[event]
-
-    x, y = centred(frame["exposure"].to_numpy(float)), centred(frame["car"].to_numpy(float))
-    beta, se = _sandwich(x, y[:, None], event, event.max() + 1)
-    shared = spark.sparkContext.broadcast((x, y, event, frame["exposure"].to_numpy(float)))
-    points, t0, b0 = np.array(WEIGHTS[weights]), float(beta[0] / se[0]) if se[0] > 0 else float("nan"), float(beta[0])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, y, event, raw = shared.value
-        groups = [np.flatnonzero(event == g) for g in range(event.max() + 1)]
-        for chunk in frames:
-            for number, size in zip(chunk["chunk"], chunk["size"], strict=True):
-                rng = np.random.default_rng([seed, int(number)])
-                w = points[rng.integers(0, len(points), (len(groups), int(size)))]
-                drawn = centred(y[:, None] * w[event])  # y is the restricted residual: no effect, events removed
-                b, s = _sandwich(x, drawn, event, len(groups))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    t = b / s
-                extreme = 0
-                for _ in range(int(size)):
-                    moved = raw.copy()
-                    for rows_ in groups:
-                        moved[rows_] = raw[rng.permutation(rows_)]
-                    m = centred(moved)
-                    extreme += abs(float(m @ y) / float(m @ m)) >= abs(b0)
-                finite = np.isfinite(t)
-                yield pd.DataFrame({"finite": [int(finite.sum())], "wild": [int((np.abs(t[finite]) >= abs(t0)).sum())], "random": [extreme], "size": [int(size)]})
-
-    step = 100
-    tasks = spark.createDataFrame([(n, min(step, draws - n * step)) for n in range(-(-draws // step))], "chunk int, size int").repartition(max(1, min(64, -(-draws // step))))
-    found = tasks.mapInPandas(run, "finite long, wild long, random long, size long").agg(F.sum("finite").alias("f"), F.sum("wild").alias("w"), F.sum("random").alias("r"), F.sum("size").alias("n"))
-    clusters = int(event.max()) + 1
-    constants = {"beta": b0, "t": t0, "p_cluster": t_two_sided(t0, clusters - 1), "p_floor": p_floor(clusters, draws, len(points))}
-    return found.select(*[F.lit(v).alias(k) for k, v in constants.items()], ((1 + F.col("w")) / (F.col("f") + 1)).alias("p_wild"), (F.col("r") / F.col("n")).alias("p_random"), F.col("n").alias("draws"))
-
-
 def minimum_detectable(error: DataFrame, alpha: float = 0.05, power: float = 0.8, inflation: float = 1.0) -> DataFrame:
     """(se, mde): the slope that is found with the given power, from the cluster-robust error."""
     z = inverse_normal(1 - alpha / 2) + inverse_normal(power)

@@ -6,7 +6,10 @@ pre-trends and power are projections of its rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from statistics import NormalDist
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -92,7 +95,8 @@ def placebo_p_values(effects: DataFrame) -> DataFrame:
 def placebo_ladder(ratios: DataFrame, cutoffs: tuple[float, ...] = (float("inf"), 20.0, 5.0, 2.0)) -> DataFrame:
     """(event_id, unit_id, cutoff, placebos, p_ratio): placebos whose fit before is within a multiple of the unit's own.
 
-    Counted with a running number over the sorted pre-fit within an event, one pass a cutoff.
+    Each unit meets the others of its event, the square of an event's units; a
+    count over two orders at once has no windowed form.
     """
     a = ratios.select("event_id", "unit_id", "pre_rmspe", "ratio")
     b = a.select("event_id", F.col("unit_id").alias("other"), F.col("pre_rmspe").alias("pre_o"), F.col("ratio").alias("ratio_o"))
@@ -173,3 +177,76 @@ def in_time_placebos(panel: DataFrame, windows: DataFrame, offsets: DataFrame, e
     joined = parts.where("k >= 0").join(real, ["event_id", "unit_id"])
     out = joined.groupBy("event_id", "unit_id", "tau").agg(F.count("*").alias("placebos"), F.count(F.when(F.abs("car") >= F.abs("tau"), 1)).alias("extreme"))
     return out.select("event_id", "unit_id", "tau", "placebos", ((1 + F.col("extreme")) / (1 + F.col("placebos"))).alias("p_value"))
+
+
+def directional_p(effects: DataFrame) -> DataFrame:
+    """(event_id, unit_id, placebos, p_directional, p_two_sided, p_floor) of effects (..., tau, expected).
+
+    At most the effect counts where ``expected`` is negative, at least where it
+    is positive, both sides where it is ambiguous.
+    """
+    whole = F.count("*").over(Window.partitionBy("event_id"))
+    side = Window.partitionBy("event_id")
+    upto = Window.unboundedPreceding
+
+    def reached(order) -> Column:
+        return F.count("*").over(side.orderBy(order).rangeBetween(upto, 0))
+
+    two = reached(F.abs("tau").desc())
+    one = F.when(F.col("expected") == "negative", reached(F.col("tau").asc())).when(F.col("expected") == "positive", reached(F.col("tau").desc())).otherwise(two)
+    return effects.select("event_id", "unit_id", (whole - 1).alias("placebos"), (one / whole).alias("p_directional"), (two / whole).alias("p_two_sided"), (F.lit(1.0) / whole).alias("p_floor"))
+
+
+def normal_two_sided(z: Column) -> Column:
+    """P(|Z| >= |z|) by the series of the error function, whose terms are all positive."""
+    x = F.abs(z) / F.sqrt(F.lit(2.0))
+    start = F.struct(x.alias("term"), x.alias("sum"))
+
+    def step(acc, n):
+        term = acc["term"] * 2.0 * x * x / (2.0 * n + 1)
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(150)), start, step)["sum"]
+    return F.when(x > 8, 0.0).otherwise(F.greatest(1 - 2 / F.sqrt(F.lit(math.pi)) * F.exp(-x * x) * series, F.lit(0.0)))
+
+
+def caar_three_tests(ar: DataFrame, effects: DataFrame, gap: int, horizon: int) -> DataFrame:
+    """(event_id, test, n, caar, statistic, p_value) of events with two units or more.
+
+    naive: the cross-section's own error, normal; portfolio: the error of the
+    equal-weighted portfolio before the event times the root of the steps after,
+    normal; standardised: CARs over their errors, t with n - 1 degrees.
+    """
+    from tidemark.operators.regression import t_two_sided
+
+    members = ar.join(effects.select("event_id", "unit_id"), ["event_id", "unit_id"], "left_semi")
+    portfolio = members.where(F.col("rel") < -gap).groupBy("event_id", "rel").agg(F.avg("ar").alias("p")).groupBy("event_id").agg(F.stddev_samp("p").alias("sd"))
+    z = F.col("tau") / F.nullif("se_car", F.lit(0.0))
+    a = effects.groupBy("event_id").agg(F.count("*").alias("n"), F.avg("tau").alias("caar"), F.stddev_samp("tau").alias("st"), F.avg(z).alias("mz"), F.stddev_samp(z).alias("sz")).where("n >= 2").join(portfolio, "event_id")
+    root = F.sqrt(F.col("n").cast("double"))
+    tests = F.array(
+        F.struct(F.lit("naive").alias("test"), (F.col("caar") / F.nullif(F.col("st") / root, F.lit(0.0))).alias("statistic")),
+        F.struct(F.lit("portfolio").alias("test"), (F.col("caar") / F.nullif(F.col("sd") * F.sqrt(F.lit(horizon + 1.0)), F.lit(0.0))).alias("statistic")),
+        F.struct(F.lit("standardised").alias("test"), (F.col("mz") * root / F.nullif("sz", F.lit(0.0))).alias("statistic")),
+    )
+    out = a.select("event_id", "n", "caar", F.explode(tests).alias("t")).select("event_id", "t.test", "n", "caar", "t.statistic")
+    p = F.when(F.col("test") == "standardised", t_two_sided(F.col("statistic"), F.col("n") - 1)).otherwise(normal_two_sided(F.col("statistic")))
+    return out.withColumn("p_value", p)
+
+
+def power_verdicts(effects: DataFrame, powers: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """(event_id, unit_id, analytic_mde, feasible, observed_over_mde): the market model's own detectable effect, whether the placebos are enough for the level, and the effect as a multiple of what they detect."""
+    z = NormalDist().inv_cdf(1 - alpha / 2)
+    rows = effects.join(powers.select("event_id", (F.col("n") - 1).alias("_j"), "mde"), "event_id")
+    return rows.select("event_id", "unit_id", (F.col("se_car") * z).alias("analytic_mde"), (1.0 / (1 + F.col("_j")) <= alpha).alias("feasible"), (F.abs("tau") / F.nullif(F.abs("mde"), F.lit(0.0))).alias("observed_over_mde"))
+
+
+def combined(space: DataFrame, time: DataFrame) -> DataFrame:
+    """(event_id, unit_id, placebo, p_value): both kinds of placebo side by side, never combined into one figure."""
+    return space.select("event_id", "unit_id", F.lit("in space").alias("placebo"), "p_value").unionByName(time.select("event_id", "unit_id", F.lit("in time").alias("placebo"), "p_value"))
+
+
+def first_difference(path: DataFrame, column: str) -> DataFrame:
+    """(..., diff): change of a path from step to step; the first step is its own."""
+    before = F.lag(column).over(Window.partitionBy("event_id", "unit_id").orderBy("rel"))
+    return path.withColumn("diff", F.coalesce(F.col(column) - before, F.col(column)))

@@ -34,17 +34,81 @@ def event_exposure(attributes: DataFrame, events: DataFrame) -> DataFrame:
     return known.groupBy("event_id", "direction", "unit_id").agg(F.max_by("value", F.struct("knowable", "as_of")).alias("exposure"))
 
 
+def band_place(band: Column) -> Column:
+    """1 for the best band; a band that is none is an error, never taken as good."""
+    place = F.array_position(F.array(*map(F.lit, BANDS)), band)
+    return F.when(place > 0, place).otherwise(F.raise_error(F.concat(F.lit("unknown band: "), F.coalesce(band.cast("string"), F.lit("null")))).cast("long"))
+
+
 def share_below(bands: DataFrame, floor: str) -> DataFrame:
-    """(unit_id, magnitude): share of the stock in bands strictly worse than ``floor``; negative counts are 0, an empty stock gives 0."""
-    place = F.array_position(F.array(*map(F.lit, BANDS)), F.col("band"))
+    """(unit_id, magnitude): share of the stock in bands strictly worse than ``floor``; negative counts are 0, an empty stock gives 0, an unknown band is refused."""
+    if floor not in BANDS:
+        raise ValueError(f"unknown band: {floor}")
     n = F.greatest(F.col("n"), F.lit(0))
-    worse = F.sum(F.when(place > BANDS.index(floor) + 1, n).otherwise(0))
+    worse = F.sum(F.when(band_place(F.col("band")) > BANDS.index(floor) + 1, n).otherwise(0))
     return bands.groupBy("unit_id").agg(F.coalesce(worse / F.nullif(F.sum(n), F.lit(0)), F.lit(0.0)).alias("magnitude"))
 
 
+#: The tenures whose stock a target's scope reaches.
+SCOPES = {"domestic_prs": ("dwellings_prs_",), "social_rented": ("dwellings_social_",), "all_domestic": ("dwellings_", "dwellings_prs_", "dwellings_social_")}
+
+
+def stock_channel(attributes: DataFrame, targets: DataFrame) -> DataFrame:
+    """(unit_id, target_id, magnitude): dose of landlords, the share of the stock in scope that is worse than the target's band.
+
+    ``attributes`` unit_id, attribute (a prefix of the tenure and a band letter),
+    value; ``targets`` target_id, scope, band.  A unit without stock of the
+    tenure has no row: the channel does not apply, which is not a dose of zero.
+    """
+    tenure = F.regexp_extract("attribute", "^(dwellings_(?:prs_|social_)?)band_([A-Z])$", 1)
+    stock = attributes.withColumn("prefix", tenure).where("prefix <> ''").withColumn("own", F.regexp_extract("attribute", "([A-Z])$", 1))
+    reach = F.coalesce(*[F.when(F.col("scope") == s, F.array(*map(F.lit, p))) for s, p in SCOPES.items()])
+    wanted = targets.withColumn("prefix", F.explode(reach)).select("target_id", "prefix", "band")
+    met = stock.join(wanted, "prefix")
+    n = F.greatest(F.col("value"), F.lit(0.0))
+    worse = F.sum(F.when(band_place(F.col("own")) > band_place(F.col("band")), n).otherwise(0.0))
+    return met.groupBy("unit_id", "target_id").agg(F.coalesce(worse / F.nullif(F.sum(n), F.lit(0.0)), F.lit(0.0)).alias("magnitude"))
+
+
+def delivered_channel(attributes: DataFrame, targets: DataFrame) -> DataFrame:
+    """(unit_id, target_id, magnitude): dose of builders for new-build targets, 0 where their own standard already meets the band.
+
+    The build standard is an attribute of its own, the place of a band from 1.
+    """
+    delivered = attributes.withColumn("own", F.nullif(F.regexp_extract("attribute", "^delivered_units_band_([A-Z])$", 1), F.lit("")))
+    standard = attributes.where("attribute = 'build_standard_band'").groupBy("unit_id").agg(F.max("value").alias("standard"))
+    met = delivered.where("own is not null").crossJoin(targets.where("scope = 'new_build'").select("target_id", "band"))  # targets are a curated few
+    n = F.greatest(F.col("value"), F.lit(0.0))
+    worse = F.sum(F.when(band_place(F.col("own")) > band_place(F.col("band")), n).otherwise(0.0))
+    a = met.groupBy("unit_id", "target_id", "band").agg(F.coalesce(worse / F.nullif(F.sum(n), F.lit(0.0)), F.lit(0.0)).alias("m"))
+    meets = F.coalesce(F.col("standard") <= band_place(F.col("band")), F.lit(False))
+    return a.join(standard, "unit_id", "left").select("unit_id", "target_id", F.when(meets, 0.0).otherwise(F.col("m")).alias("magnitude"))
+
+
+def supply_channel(value: Column) -> Column:
+    """Domestic supply share within 0 and 1; null where it is not disclosed."""
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)))
+
+
+def product_dose(attributes: DataFrame, targets: DataFrame) -> DataFrame:
+    """(unit_id, target_id, magnitude): share of revenue in the target's categories, at most 1, times the domestic share.
+
+    ``targets`` target_id, categories (an array).  A unit with revenue shares but
+    none in the categories has dose 0; one whose domestic share is unknown has
+    no row, as 1 would be an assumption.
+    """
+    shares = attributes.where(F.col("attribute").startswith("revenue_share_")).withColumn("category", F.lower(F.substring("attribute", len("revenue_share_") + 1, 1 << 20)))
+    wanted = targets.select("target_id", F.transform("categories", lambda c: F.lower(F.trim(c))).alias("categories"))
+    inside = F.array_contains("categories", F.col("category"))
+    a = shares.crossJoin(wanted).groupBy("unit_id", "target_id").agg(F.sum(F.when(inside, F.greatest(F.col("value"), F.lit(0.0)))).alias("total"))  # targets are a curated few
+    home = attributes.where("attribute = 'uk_revenue_share'").groupBy("unit_id").agg(F.max("value").alias("home"))
+    m = F.when(F.col("total").isNull(), 0.0).otherwise(product_channel(F.col("total"), F.col("home")))
+    return a.join(home, "unit_id", "left").select("unit_id", "target_id", m.alias("magnitude")).where("magnitude is not null")
+
+
 def product_channel(shares: Column, domestic: Column) -> Column:
-    """Share of products in scope, at most 1, times the domestic share within 0 and 1."""
-    return F.least(shares, F.lit(1.0)) * F.least(F.greatest(domestic, F.lit(0.0)), F.lit(1.0))
+    """Share of products in scope, at most 1, times the domestic share within 0 and 1; null where either is unknown."""
+    return F.when(shares.isNotNull() & domestic.isNotNull(), F.least(shares, F.lit(1.0)) * F.least(F.greatest(domestic, F.lit(0.0)), F.lit(1.0)))
 
 
 def score(candidates: DataFrame, channels: tuple[str, ...], signs: dict[str, int]) -> DataFrame:

@@ -35,10 +35,10 @@ def prefit_verdict(ratio):
 
 
 def influence_verdict(concentrated: bool, survives: bool, agrees: bool) -> str:
-    """FRAGILE if the drop path breaks the slope, CAUTION if leverage is concentrated or forms disagree, else ROBUST."""
-    if not survives:
+    """FRAGILE if the drop path breaks the slope or its forms disagree, CAUTION if leverage is concentrated, else ROBUST."""
+    if not survives or not agrees:
         return "FRAGILE"
-    return "CAUTION" if concentrated or not agrees else "ROBUST"
+    return "CAUTION" if concentrated else "ROBUST"
 
 
 def survives_drop_path(path: DataFrame) -> bool:

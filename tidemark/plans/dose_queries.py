@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import dose as D
 from tidemark.operators import effects as E
 from tidemark.operators import exposure as O
+from tidemark.operators import resampling as G
 from tidemark.operators.settle import settled
 from tidemark.plans.panel_queries import _ar, _fits, _round
 from tidemark.plans.registry import query
@@ -201,9 +202,10 @@ def design_limits(spark, folder):
 
 @query("wild_bootstrap_p")
 def wild_bootstrap_p(spark, folder):
-    return D.wild_bootstrap(_dose(spark, folder), "webb")
+    return G.wild_bootstrap(_dose(spark, folder), "webb")
 
 
-@query("minimum_detectable_slope")
+@query("minimum_detectable_slope", _DM + "SELECT CAST(printf('%.7e', se) AS DOUBLE) AS se, CAST(printf('%.7e', se * 2.8015852181465855) AS DOUBLE) AS mde FROM (SELECT sqrt(count(*) / CAST(greatest(count(*) - 1, 1) AS DOUBLE) * (any_value(b.n) - 1) / greatest(any_value(b.n) - count(*) - 1, 1) * sum(score * score)) / nullif(any_value(sxx), 0) AS se FROM sc, b)")
 def minimum_detectable_slope(spark, folder):
-    return D.minimum_detectable(D.cluster_error(_dose(spark, folder)))
+    out = D.minimum_detectable(D.cluster_error(_dose(spark, folder)))
+    return out.withColumns({n: F.format_string("%.7e", F.col(n)).cast("double") for n in ("se", "mde")})

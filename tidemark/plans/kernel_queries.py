@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import kernels as K
+from tidemark.operators.settle import settled
 from tidemark.plans.dose_queries import _dose
 from tidemark.plans.panel_queries import _ar, _panel, _round, _windows
 from tidemark.plans.registry import query
-from tidemark.sources.fixtures import GAP, HORIZON, cte
+from tidemark.sources import fixtures as X
+from tidemark.sources.fixtures import ESTIMATION, GAP, HORIZON, cte
 
 
 def _tasks(spark, folder):
-    """(event_id, treated, unit_id, rel, ret): each fitting event with every unit of full data as treated in turn."""
-    spans = _windows(spark, folder).where("reason is null").select("event_id", "t0", F.explode(F.sequence("pre_start", "post_end")).alias("pos"))
-    rows = _panel(spark, folder).join(spans, "pos").select("event_id", "unit_id", (F.col("pos") - F.col("t0")).alias("rel"), "ret")
+    """(event_id, unit_id, rel, ret) of the units of full data of each event whose windows fit."""
+    prices = settled(X.weekly_prices(spark, folder))
+    spans = _windows(spark, folder, prices).where("reason is null").select("event_id", "t0", F.explode(F.sequence("pre_start", "post_end")).alias("pos"))
+    rows = settled(_panel(spark, folder, prices).join(spans, "pos").select("event_id", "unit_id", (F.col("pos") - F.col("t0")).alias("rel"), "ret"))
     whole = rows.groupBy("event_id", "unit_id").agg(F.count("ret").alias("n"), F.count("*").alias("m")).where("n = m")
-    treated = whole.select("event_id", F.col("unit_id").alias("treated"))
-    return rows.join(whole.select("event_id", "unit_id"), ["event_id", "unit_id"]).join(treated, "event_id")
+    return rows.join(whole.select("event_id", "unit_id"), ["event_id", "unit_id"])
 
 
 @query("synthetic_control")
@@ -25,16 +27,40 @@ def synthetic_control(spark, folder):
     return K.synthetic_control(_tasks(spark, folder), GAP)
 
 
+@query("synthetic_control_placebos")
+def synthetic_control_placebos(spark, folder):
+    return K.estimator_placebos(settled(K.synthetic_control(_tasks(spark, folder), GAP)))
+
+
 @query("synthetic_difference_in_differences")
 def synthetic_difference_in_differences(spark, folder):
     return K.difference_in_differences(_tasks(spark, folder), GAP)
 
 
+_ZETA = cte("panel", "ev") + f""", w AS (SELECT event_id, unit_id, pos - t0 AS rel, ret FROM panel JOIN ev ON pos BETWEEN pre_start AND post_end WHERE reason IS NULL),
+full_ AS (SELECT event_id, unit_id FROM w GROUP BY 1, 2 HAVING count(ret) = count(*)),
+p AS (SELECT w.event_id, w.unit_id, rel, ret FROM w JOIN full_ f ON f.event_id = w.event_id AND f.unit_id = w.unit_id WHERE rel < -{GAP}),
+d AS (SELECT event_id, unit_id, ret AS step FROM p WHERE rel > -{GAP + ESTIMATION}),
+s AS (SELECT event_id, count(*) AS n, sum(step) AS a, sum(step * step) AS b FROM d GROUP BY 1), o AS (SELECT event_id, unit_id, count(*) AS n, sum(step) AS a, sum(step * step) AS b FROM d GROUP BY 1, 2)
+SELECT o.event_id, o.unit_id AS treated, round(pow({HORIZON + 1}, 0.25) * sqrt(((s.b - o.b) - (s.a - o.a) * (s.a - o.a) / (s.n - o.n)) / (s.n - o.n - 1)), 9) AS zeta FROM o JOIN s ON s.event_id = o.event_id WHERE s.n > 2 * o.n
+"""
+
+
+@query("regularisation_constants", _ZETA)
+def regularisation_constants(spark, folder):
+    return _round(K.difference_in_differences(_tasks(spark, folder), GAP).select("event_id", "treated", "zeta"), 9, "zeta")
+
+
 @query("leave_one_donor_out")
 def leave_one_donor_out(spark, folder):
     return K.leave_one_donor_out(_tasks(spark, folder), GAP)
 
 
+@query("leave_one_out_summary")
+def leave_one_out_summary(spark, folder):
+    return K.leave_one_out_summary(K.leave_one_donor_out(_tasks(spark, folder), GAP))
+
+
 @query("block_bootstrap_car")
 def block_bootstrap_car(spark, folder):
     return K.block_bootstrap(_ar(spark, folder), GAP, HORIZON)

@@ -32,7 +32,7 @@ def pretrend_slope_hac(spark, folder):
 
 @query(
     "in_time_placebo_p_values",
-    cte("panel", "ev") + """, k AS (SELECT CAST(range AS INT) - 1 AS k FROM range(0, 4)), d AS (SELECT event_id, k, CASE WHEN k = -1 THEN t0 ELSE t0 - 9 - k * 6 END AS p FROM ev, k), dd AS (SELECT * FROM d WHERE p >= 130),
+    cte("panel", "ev") + """, k AS (SELECT CAST(range AS INT) - 1 AS k FROM range(0, 13)), d AS (SELECT event_id, k, CASE WHEN k = -1 THEN t0 ELSE t0 - 9 - k * 6 END AS p FROM ev, k), dd AS (SELECT * FROM d WHERE p >= 130),
 f AS (SELECT event_id, k, unit_id, p, regr_slope(ret, mkt) AS b, regr_intercept(ret, mkt) AS a FROM panel JOIN dd ON pos >= p - 130 AND pos < p - 10 GROUP BY 1, 2, 3, 4 HAVING count(ret) = 120),
 c AS (SELECT f.event_id, k, f.unit_id, sum(ret - a - b * mkt) AS car FROM f JOIN panel ON panel.unit_id = f.unit_id AND pos BETWEEN p AND p + 5 GROUP BY 1, 2, 3 HAVING count(ret) = 6)
 SELECT x.event_id, x.unit_id, round(x.car, 5) + 0.0 AS tau, CAST(count(*) AS BIGINT) AS placebos, round((1 + count(CASE WHEN abs(y.car) >= abs(x.car) THEN 1 END)) / CAST(1 + count(*) AS DOUBLE), 6) AS p_value
@@ -40,7 +40,7 @@ FROM c x JOIN c y ON x.event_id = y.event_id AND x.unit_id = y.unit_id AND y.k >
 )
 def in_time_placebo_p_values(spark, folder):
     windows = _windows(spark, folder)
-    offsets = T.placebo_offsets(windows, 120, 10, 5, buffer=3, most=3)
+    offsets = T.placebo_offsets(windows, 120, 10, 5, buffer=3, most=12)
     return _round(_round(E.in_time_placebos(_panel(spark, folder), windows, offsets, 120, 10, 5), 5, "tau"), 6, "p_value")
 
 

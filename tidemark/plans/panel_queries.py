@@ -150,10 +150,10 @@ def event_window_rejections(spark, folder):
 
 @query(
     "placebo_offsets",
-    cte("ev") + ", k AS (SELECT CAST(range AS INT) AS k FROM range(0, 3)) SELECT event_id, k, CAST(t0 - 3 - 6 - k * 6 AS INT) AS pos FROM ev, k WHERE t0 - 3 - 6 - k * 6 >= 130",
+    cte("ev") + ", k AS (SELECT CAST(range AS INT) AS k FROM range(0, 12)) SELECT event_id, k, CAST(t0 - 3 - 6 - k * 6 AS INT) AS pos FROM ev, k WHERE t0 - 3 - 6 - k * 6 >= 130",
 )
 def placebo_offsets(spark, folder):
-    return T.placebo_offsets(_windows(spark, folder), 120, 10, 5, buffer=3, most=3)
+    return T.placebo_offsets(_windows(spark, folder), 120, 10, 5, buffer=3, most=12)
 
 
 _GROUPS = cte("ann") + """, g AS (SELECT event_id, ts, CASE WHEN floor((epoch(ts) - epoch(lag(ts) OVER (ORDER BY ts, event_id))) / 86400) < 14 THEN 0 ELSE 1 END AS n FROM ann),

@@ -8,6 +8,7 @@ from tidemark.operators import effects as E
 from tidemark.operators import exposure as O
 from tidemark.operators import panel as P
 from tidemark.operators import regression as R
+from tidemark.operators import resampling as G
 from tidemark.operators import timing as T
 from tidemark.operators.settle import settled
 from tidemark.plans.dose_queries import _exposure
@@ -184,3 +185,8 @@ SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT event_id) AS BIGINT
 )
 def identifying_structure(spark, folder):
     return R.structure(kept(spark, folder))
+
+
+@query("wild_bootstrap_with_controls")
+def wild_bootstrap_with_controls(spark, folder):
+    return G.verdicts(G.wild_bootstrap(kept(spark, folder), "webb", controls=R.CONTROLS))

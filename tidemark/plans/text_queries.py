@@ -26,7 +26,13 @@ def sentences_extracted(spark, folder):
     return _sentences(spark, folder).groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum(F.length("sentence")).alias("chars"), F.min("sentence").alias("first"), F.max("sentence").alias("last"))
 
 
-_APPARATUS = "(regexp_matches(sentence, '(?i)\\bhc deb\\b|\\bibid\\b|\\bop\\.? ?cit\\b|\\bisbn\\b|\\bcm \\d{3,}|https?://|\\bvol\\.? ?\\d|\\bpp?\\. ?\\d|\\bcc? ?\\d+-\\d+|\\baccessed\\b') OR regexp_matches(sentence, '\\.{4,}|^(?i:contents)\\b|^(?i:table|figure|chart) \\d|^\\d{1,3} [A-Z]') OR length(regexp_replace(sentence, '[^0-9]', '', 'g')) / CAST(greatest(length(sentence), 1) AS DOUBLE) > 0.12)"
+_APPARATUS = (
+    "(contains(lower(sentence), 'industrial strategy') OR contains(lower(sentence), 'department for business, energy') OR contains(lower(sentence), 'energy and industrial')"
+    r" OR regexp_matches(sentence, '(?im)\bPQ\s*\d|\bHC\s+Deb\b|\bHL\s+Deb\b|\bop\.?\s*cit\b|\bibid\b|https?://|\[subscription required\]|\bDeposited paper\b|^\s*\d{1,3}\s+[A-Z][a-z]+.{0,40},|\b(?:Financial Times|The Times|The Guardian|BBC News|Telegraph|Reuters)\b')"
+    r" OR regexp_matches(sentence, '(?:\b\d{1,2}\.\d\b.*){3,}|(?:\s\d{1,3}\s){4,}|^\s*\d{1,3}\s+\d{1,2}\.\d|^\s*[A-Z][a-z]+ [A-Z][a-z]+ \d{1,3} Commons Library|^\s*\d{1,3}\s+[A-Z]')"
+    r" OR length(regexp_replace(sentence, '[^0-9]', '', 'g')) / CAST(greatest(length(sentence), 1) AS DOUBLE) > 0.12)"
+)
+_MONTH = r"regexp_matches(sentence, '\b(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+(?:19|20)\d\d')"
 
 
 @query("apparatus_flags", _SENT + f"SELECT doc_id, CAST(count(CASE WHEN {_APPARATUS} THEN 1 END) AS BIGINT) AS apparatus, CAST(count(*) AS BIGINT) AS sentences FROM s GROUP BY doc_id")
@@ -37,7 +43,7 @@ def apparatus_flags(spark, folder):
 _FAMILIES = {"licence": ("license", "licensed"), "tion": ("tion", "ción"), "ing": ("ing ",), "none": ("zzzz",)}
 
 
-@query("coverage_by_family", _SENT + ", f AS (SELECT * FROM (VALUES ('licence', 'license'), ('licence', 'licensed'), ('tion', 'tion'), ('tion', 'ción'), ('ing', 'ing '), ('none', 'zzzz')) AS v(family, term)), h AS (SELECT family, sentence, bool_or(contains(lower(sentence), term)) AS hit FROM (SELECT row_number() OVER () AS id, sentence FROM s) x, f GROUP BY family, id, sentence)" + f" SELECT family, CAST(count(CASE WHEN hit THEN 1 END) AS BIGINT) AS mentions, CAST(count(CASE WHEN hit AND NOT {_APPARATUS} THEN 1 END) AS BIGINT) AS clean, round(coalesce(count(CASE WHEN hit AND NOT {_APPARATUS} THEN 1 END) / CAST(nullif(count(CASE WHEN hit THEN 1 END), 0) AS DOUBLE), 0.0), 6) AS share FROM h GROUP BY family")
+@query("coverage_by_family", _SENT + ", f AS (SELECT * FROM (VALUES ('licence', 'license'), ('licence', 'licensed'), ('tion', 'tion'), ('tion', 'ción'), ('ing', 'ing '), ('none', 'zzzz')) AS v(family, term)), h AS (SELECT family, sentence, bool_or(contains(lower(sentence), term)) AS hit FROM (SELECT row_number() OVER () AS id, sentence FROM s) x, f GROUP BY family, id, sentence)" + f" SELECT family, CAST(count(CASE WHEN hit THEN 1 END) AS BIGINT) AS mentions, CAST(count(CASE WHEN hit AND NOT {_APPARATUS} THEN 1 END) AS BIGINT) AS clean, CAST(count(CASE WHEN hit AND NOT {_APPARATUS} AND {_MONTH} THEN 1 END) AS BIGINT) AS dated, round(coalesce(count(CASE WHEN hit AND NOT {_APPARATUS} THEN 1 END) / CAST(nullif(count(CASE WHEN hit THEN 1 END), 0) AS DOUBLE), 0.0), 6) AS share FROM h GROUP BY family")
 def coverage_by_family(spark, folder):
     return V.coverage(_sentences(spark, folder), _FAMILIES).withColumn("share", F.round("share", 6))
 
@@ -85,7 +91,7 @@ def first_publication(spark, folder):
 @query("stratified_shortlist", "WITH r AS (SELECT o_orderpriority AS family, o_orderkey AS id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS round FROM orders), t AS (SELECT *, row_number() OVER (ORDER BY round, family) AS place FROM r) SELECT family, id, CAST(round AS INT) AS round, CAST(place AS INT) AS place FROM t WHERE place <= 25")
 def stratified_shortlist(spark, folder):
     rows = X.table(spark, folder, "orders").select(F.col("o_orderpriority").alias("family"), F.col("o_orderkey").alias("id"), "o_orderdate")
-    return V.round_robin(rows, "family", [F.col("o_orderdate"), F.col("id")], 25).select("family", "id", "round", "place")
+    return V.round_robin(rows, "family", ["o_orderdate", "id"], 25).select("family", "id", "round", "place")
 
 
 @query("shortlist_rejections", "SELECT coalesce(reason, 'kept') AS reason, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN o_orderstatus = 'P' THEN 'stage' WHEN o_totalprice < 1000 THEN 'not newsworthy' WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN 'too early' WHEN o_orderpriority LIKE '5%' THEN 'fiscal' END AS reason FROM orders) GROUP BY 1")
@@ -184,3 +190,50 @@ def markdown_tables(spark, folder):
     lines = ["# Title", "", "## Levies", "| --- | --- |", "| a | 1 |", "| b | 2 |", "text", "## Bans", "|:--|--:|", "| c | 3 |"]
     frame = spark.createDataFrame([("f", n, line) for n, line in enumerate(lines)], "file string, n int, line string")
     return V.carry_headings(frame, "file").withColumn("cells", F.array_join("cells", "|"))
+
+
+_STAGED = [(stage, markers) for stage, markers in V.STAGES]
+
+
+def _any(words, x="sentence"):
+    return "(" + " OR ".join(f"contains(lower({x}), '{w}')" for w in words) + ")"
+
+
+_CANDIDATES = _SENT + f""", c AS (SELECT * FROM s WHERE NOT {_APPARATUS}),
+b AS (SELECT doc_id, {', '.join(f"bool_or({_any(m)}) AS s{n}" for n, (_, m) in enumerate(_STAGED))}, bool_or({_any(V.LOOSEN)}) AS l, bool_or({_any(V.TIGHTEN)}) AS t, arg_max(sentence, struct_pack(a := length(sentence), b := sentence)) AS evidence FROM c GROUP BY doc_id),
+g AS (SELECT *, list_filter([{', '.join(f"CASE WHEN s{n} THEN '{stage}' END" for n, (stage, _) in enumerate(_STAGED))}], lambda x: x IS NOT NULL) AS stages FROM b),
+i AS (SELECT *, coalesce(list_filter(stages, lambda x: x IN ({', '.join(f"'{x}'" for x in V.NEWSWORTHY)}))[1], stages[1], '') AS stage FROM g),
+d AS (SELECT *, CASE stage {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in V.STAGE_DIRECTION.items())} ELSE '' END AS base FROM i)
+"""
+
+
+@query("candidate_stages", _CANDIDATES + "SELECT doc_id, list_aggregate(stages, 'string_agg', '|') AS stages, stage, CASE WHEN l AND NOT t THEN 'loosen' WHEN t AND NOT l THEN CASE WHEN base = '' THEN 'tighten' ELSE base END ELSE base END AS direction, evidence FROM d WHERE len(stages) > 0")
+def candidate_stages(spark, folder):
+    out = V.candidates(_sentences(spark, folder), "doc_id").where(F.size("stages") > 0)
+    return out.withColumn("stages", F.array_join("stages", "|"))
+
+
+_DEFER = (("scheme", ("scheme", "tion")), ("target", ("target", "ing ")), ("rest", ("es ",)))
+_YEARED = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN sentence || ' It was delayed in 2015.' WHEN doc_id % 3 = 1 THEN sentence || ' It is shelved.' ELSE sentence END AS sentence FROM s"
+
+
+@query("deferral_counts", _SENT + f", y AS ({_YEARED}), k AS (SELECT sentence FROM y WHERE {_any(V.DEFERRALS)} AND NOT {_APPARATUS}) SELECT coalesce(family, 'undated') AS family, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN NOT regexp_matches(sentence, '\\b(?:19|20)\\d{{2}}\\b') THEN NULL {' '.join(f'WHEN {_any(t)} THEN {chr(39)}{n}{chr(39)}' for n, t in _DEFER)} ELSE '_unattributed' END AS family FROM k) GROUP BY 1")
+def deferral_counts(spark, folder):
+    rows = _sentences(spark, folder)
+    tail = F.when(F.col("doc_id") % 3 == 0, " It was delayed in 2015.").when(F.col("doc_id") % 3 == 1, " It is shelved.").otherwise("")
+    return V.deferrals(rows.withColumn("sentence", F.concat("sentence", tail)), _DEFER).groupBy(F.coalesce("family", F.lit("undated")).alias("family")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "announcement_filter",
+    "SELECT coalesce(reason, 'kept') AS reason, CAST(count(*) AS BIGINT) AS n, CAST(min(gap) AS BIGINT) AS least_gap, CAST(max(gap) AS BIGINT) AS most_gap FROM (SELECT CASE WHEN kind NOT IN ('press_release', 'news_story', 'speech') THEN 'type' WHEN day < DATE '2013-01-01' THEN 'date' WHEN regexp_matches(title, 'explained|in demand') THEN 'title' END AS reason, doc_id % 97 AS gap FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'press_release' WHEN 1 THEN 'news_story' WHEN 2 THEN 'guidance' ELSE 'speech' END AS kind, CAST(DATE '2012-01-01' + CAST(doc_id % 3000 AS INT) AS DATE) AS day, CASE doc_id % 5 WHEN 0 THEN 'boilers in demand' WHEN 1 THEN 'the rules explained' ELSE 'a decision' END AS title FROM documents)) GROUP BY 1",
+)
+def announcement_filter(spark, folder):
+    docs = X.table(spark, folder, "documents").select("doc_id")
+    kind = F.element_at(F.array(*map(F.lit, ("press_release", "news_story", "guidance", "speech"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    title = F.when(F.col("doc_id") % 5 == 0, "Boilers IN demand").when(F.col("doc_id") % 5 == 1, "The rules explained").otherwise("A decision")
+    day = F.date_add(F.lit("2012-01-01").cast("date"), (F.col("doc_id") % 3000).cast("int"))
+    first = F.lit("2020-01-01 00:00:00").cast("timestamp")
+    gap = V.redating_gap(F.timestamp_seconds(F.unix_seconds(first) + F.col("doc_id") % 97 * 86400 + 3600), first)
+    rows = docs.select(V.announcement_reason(kind, day, title).alias("reason"), gap.alias("gap"))
+    return rows.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"), F.min("gap").alias("least_gap"), F.max("gap").alias("most_gap"))

@@ -35,8 +35,8 @@ def write_template(path: str, columns: tuple[str, ...], overwrite: bool = False)
 
 
 def markdown(rows: DataFrame, most: int = 200) -> str:
-    """A Markdown table of the first rows of a report: four decimals, a dash for missing, a note if empty."""
-    found = rows.limit(most).collect()
+    """A Markdown table of the first rows of a report: four decimals, a dash for missing, a note if empty, and how many rows were left out."""
+    found = rows.limit(most + 1).collect()
     if not found:
         return "_(no rows)_"
 
@@ -46,4 +46,13 @@ def markdown(rows: DataFrame, most: int = 200) -> str:
         return f"{v:.4f}" if isinstance(v, float) else str(v)
 
     lines = ["| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns)]
-    return "\n".join([*lines, *("| " + " | ".join(map(cell, r)) + " |" for r in found)])
+    lines += ["| " + " | ".join(map(cell, r)) + " |" for r in found[:most]]
+    if len(found) > most:
+        lines += ["", f"_({rows.count() - most} more rows)_"]
+    return "\n".join(lines)
+
+
+def ensure_folders(*paths: str) -> None:
+    """Folders that reports and tables are written to, made where they are missing."""
+    for path in paths:
+        os.makedirs(path, exist_ok=True)
