@@ -9,7 +9,7 @@ from tidemark.operators import effects as E
 from tidemark.operators import exposure as O
 from tidemark.operators import resampling as G
 from tidemark.operators.settle import settled
-from tidemark.plans.panel_queries import _ar, _fits, _round
+from tidemark.plans.panel_queries import _ar, _fits, _round, _sig
 from tidemark.plans.registry import query
 from tidemark.sources import fixtures as X
 from tidemark.sources.fixtures import cte
@@ -127,9 +127,9 @@ def identification_structure(spark, folder):
     return _dose(spark, folder).agg(F.count("*").alias("rows"), F.count_distinct("event_id").alias("events"), F.count_distinct("unit_id").alias("units"), F.count(exposed).alias("nonzero"), F.count_distinct(exposed).alias("exposed_units"))
 
 
-@query("dose_response_beta", _DM + "SELECT n, round(beta, 3) + 0.0 AS beta FROM b")
+@query("dose_response_beta", _DM + "SELECT n, CAST(printf('%.7e', beta) AS DOUBLE) AS beta FROM b")
 def dose_response_beta(spark, folder):
-    return _round(D.slope(_dose(spark, folder)), 3, "beta")
+    return _sig(D.slope(_dose(spark, folder)), "beta")
 
 
 @query("cluster_scores", _DM + "SELECT event_id, round(score, 5) + 0.0 AS score, round(exx, 7) AS sxx, CAST(n AS BIGINT) AS n FROM sc")
@@ -138,24 +138,24 @@ def cluster_scores(spark, folder):
     return _round(_round(D.cluster_scores(rows, D.slope(rows)), 5, "score"), 7, "sxx")
 
 
-@query("cluster_robust_error", _DM + "SELECT CAST(n AS BIGINT) AS n, CAST(g AS BIGINT) AS clusters, round(beta, 3) + 0.0 AS beta, round(se, 3) AS se, round(beta / nullif(se, 0), 3) + 0.0 AS t FROM (SELECT any_value(b.n) AS n, count(*) AS g, any_value(beta) AS beta, sqrt(count(*) / CAST(greatest(count(*) - 1, 1) AS DOUBLE) * (any_value(b.n) - 1) / greatest(any_value(b.n) - count(*) - 1, 1) * sum(score * score)) / nullif(any_value(sxx), 0) AS se FROM sc, b)")
+@query("cluster_robust_error", _DM + "SELECT CAST(n AS BIGINT) AS n, CAST(g AS BIGINT) AS clusters, CAST(printf('%.7e', beta) AS DOUBLE) AS beta, CAST(printf('%.7e', se) AS DOUBLE) AS se, CAST(printf('%.7e', beta / nullif(se, 0)) AS DOUBLE) AS t FROM (SELECT any_value(b.n) AS n, count(*) AS g, any_value(beta) AS beta, sqrt(count(*) / CAST(greatest(count(*) - 1, 1) AS DOUBLE) * (any_value(b.n) - 1) / greatest(any_value(b.n) - count(*) - 1, 1) * sum(score * score)) / nullif(any_value(sxx), 0) AS se FROM sc, b)")
 def cluster_robust_error(spark, folder):
-    return _round(D.cluster_error(_dose(spark, folder)), 3, "beta", "se", "t")
+    return _sig(D.cluster_error(_dose(spark, folder)), "beta", "se", "t")
 
 
-@query("direction_subsample_betas", _DM + "SELECT direction, CAST(count(*) AS BIGINT) AS n, round(sum(x * y) / nullif(sum(x * x), 0), 3) + 0.0 AS beta FROM dm GROUP BY direction")
+@query("direction_subsample_betas", _DM + "SELECT direction, CAST(count(*) AS BIGINT) AS n, CAST(printf('%.7e', sum(x * y) / nullif(sum(x * x), 0)) AS DOUBLE) AS beta FROM dm GROUP BY direction")
 def direction_subsample_betas(spark, folder):
-    return _round(D.slope(_dose(spark, folder), "exposure", "direction"), 3, "beta")
+    return _sig(D.slope(_dose(spark, folder), "exposure", "direction"), "beta")
 
 
-@query("leave_one_event_out", _DM + "SELECT a.event_id AS left_out, CAST(count(*) AS BIGINT) AS n, round(sum(x * y) / nullif(sum(x * x), 0), 3) + 0.0 AS beta FROM (SELECT DISTINCT event_id FROM dm) a JOIN dm ON dm.event_id <> a.event_id GROUP BY 1")
+@query("leave_one_event_out", _DM + "SELECT a.event_id AS left_out, CAST(count(*) AS BIGINT) AS n, CAST(printf('%.7e', sum(x * y) / nullif(sum(x * x), 0)) AS DOUBLE) AS beta FROM (SELECT DISTINCT event_id FROM dm) a JOIN dm ON dm.event_id <> a.event_id GROUP BY 1")
 def leave_one_event_out(spark, folder):
     # sums by event, then the total less each event's own: no row is read twice
     d = D.demean(_dose(spark, folder), "event_id", "car", "exposure")
     s = d.groupBy("event_id").agg(F.sum(F.col("exposure_d") * F.col("car_d")).alias("xy"), F.sum(F.col("exposure_d") * F.col("exposure_d")).alias("xx"), F.count("*").alias("n"))
     total = s.agg(F.sum("xy").alias("txy"), F.sum("xx").alias("txx"), F.sum("n").alias("tn"))
     out = s.crossJoin(total).select(F.col("event_id").alias("left_out"), (F.col("tn") - F.col("n")).alias("n"), ((F.col("txy") - F.col("xy")) / F.nullif(F.col("txx") - F.col("xx"), F.lit(0.0))).alias("beta"))
-    return _round(out, 3, "beta")
+    return _sig(out, "beta")
 
 
 _FW = _DM[:-1] + ", fw AS (SELECT event_id, unit_id, x * x / sum(x * x) OVER () AS weight FROM dm)\n"

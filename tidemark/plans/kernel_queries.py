@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import kernels as K
 from tidemark.operators.settle import settled
 from tidemark.plans.dose_queries import _dose
-from tidemark.plans.panel_queries import _ar, _panel, _round, _windows
+from tidemark.plans.panel_queries import _ar, _panel, _round, _sig, _windows
 from tidemark.plans.registry import query
 from tidemark.sources import fixtures as X
 from tidemark.sources.fixtures import ESTIMATION, GAP, HORIZON, cte
@@ -81,7 +81,7 @@ def leverage_and_cooks_distance(spark, folder):
     "drop_path",
     cte("dose") + """, top AS (SELECT unit_id, row_number() OVER (ORDER BY max(abs(exposure)) DESC, unit_id) AS place FROM dose GROUP BY unit_id), k AS (SELECT CAST(v AS INT) AS k FROM (VALUES (0), (1), (2), (3), (5)) AS t(v)),
 g AS (SELECT k, event_id, exposure - avg(exposure) OVER (PARTITION BY k, event_id) AS x, car - avg(car) OVER (PARTITION BY k, event_id) AS y FROM dose JOIN top ON top.unit_id = dose.unit_id JOIN k ON place > k)
-SELECT k, CAST(count(*) AS BIGINT) AS n, round(sum(x * y) / nullif(sum(x * x), 0), 3) + 0.0 AS beta FROM g GROUP BY k""",
+SELECT k, CAST(count(*) AS BIGINT) AS n, CAST(printf('%.7e', sum(x * y) / nullif(sum(x * x), 0)) AS DOUBLE) AS beta FROM g GROUP BY k""",
 )
 def drop_path(spark, folder):
-    return _round(K.drop_path(_dose(spark, folder)), 3, "beta")
+    return _sig(K.drop_path(_dose(spark, folder)), "beta")

@@ -10,7 +10,7 @@ from tidemark.operators import effects as E
 from tidemark.operators import exposure as O
 from tidemark.operators import timing as T
 from tidemark.plans.dose_queries import _dose
-from tidemark.plans.panel_queries import _ar, _panel, _round, _windows
+from tidemark.plans.panel_queries import _ar, _panel, _round, _sig, _windows
 from tidemark.plans.registry import query
 from tidemark.sources import fixtures as X
 from tidemark.sources.fixtures import GAP, cte
@@ -51,7 +51,7 @@ w AS (SELECT dose.event_id, car, 'winsorised' AS form, greatest(least(exposure,
  UNION ALL SELECT event_id, car, 'continuous', exposure FROM dose
  UNION ALL SELECT event_id, car, 'rank', ceil(round((rank() OVER (PARTITION BY event_id ORDER BY exposure) + (count(*) OVER (PARTITION BY event_id, exposure) - 1) / 2.0) / count(*) OVER (PARTITION BY event_id) * 10, 9)) / 10 FROM dose),
 d AS (SELECT form, x - avg(x) OVER (PARTITION BY form, event_id) AS x, car - avg(car) OVER (PARTITION BY form, event_id) AS y FROM w)
-SELECT form, CAST(count(*) AS BIGINT) AS n, round(sum(x * y) / nullif(sum(x * x), 0), 3) + 0.0 AS beta FROM d GROUP BY form""",
+SELECT form, CAST(count(*) AS BIGINT) AS n, CAST(printf('%.7e', sum(x * y) / nullif(sum(x * x), 0)) AS DOUBLE) AS beta FROM d GROUP BY form""",
 )
 def winsorised_and_rank_betas(spark, folder):
     rows = _dose(spark, folder)
@@ -60,7 +60,7 @@ def winsorised_and_rank_betas(spark, folder):
     for name, frame in forms.items():
         one = D.slope(frame).select(F.lit(name).alias("form"), "n", "beta")
         out = one if out is None else out.unionByName(one)
-    return _round(out, 3, "beta")
+    return _sig(out, "beta")
 
 
 @query(

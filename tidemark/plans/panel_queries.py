@@ -18,6 +18,11 @@ def _round(df, digits: int, *names: str):
     return df.withColumns({n: F.round(n, digits) + F.lit(0.0) for n in names})
 
 
+def _sig(df, *names: str):
+    """Figures at eight significant digits."""
+    return df.withColumns({n: F.when(F.col(n).isNotNull(), F.format_string("%.7e", F.col(n)).cast("double")) for n in names})
+
+
 def _panel(spark, folder, prices=None):
     prices = X.weekly_prices(spark, folder) if prices is None else prices
     return P.align(P.point_in_time_returns(prices), P.market_spine(prices))

@@ -13,6 +13,7 @@ from tidemark.operators import timing as T
 from tidemark.operators.settle import settled
 from tidemark.plans.dose_queries import _exposure
 from tidemark.plans.panel_queries import _fits, _GROUPS
+from tidemark.plans.panel_queries import _sig as sig
 from tidemark.plans.registry import query
 from tidemark.sources import fixtures as X
 from tidemark.sources.fixtures import cte
@@ -21,11 +22,6 @@ MOMENTUM, SKIP = 52, 8
 CLOSED, REGION = "2000-12-31", 3  # units of one region are listed until that day
 
 
-def sig(df, *names: str):
-    """Figures at eight significant digits."""
-    return df.withColumns({n: F.when(F.col(n).isNotNull(), F.format_string("%.7e", F.col(n)).cast("double")) for n in names})
-
-
 def s(x: str) -> str:
     return f"CAST(printf('%.7e', {x}) AS DOUBLE)"
 
