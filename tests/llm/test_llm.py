@@ -57,6 +57,18 @@ def test_word_hashes_know_boundaries():
     assert got == [[bytescan.word_hash(x.lower().encode() if x.isascii() else x.encode()) for x in t.split()] for t in texts]
 
 
+@pytest.mark.parametrize("marks", [False, True])
+def test_long_texts_are_scanned_in_pieces(monkeypatch, marks):
+    rng = np.random.default_rng(61)
+    raw = bytes(rng.choice(list(b"abAB ,.\t\n\xc3\xa9"), 4000).tolist()) + b"x" * 900 + b" y"
+    bounds = np.array([0, 0, 37, 1200, 1200, 3333, len(raw)])
+    part = np.frombuffer(raw, np.uint8)
+    whole = bytescan.words(part, bounds, marks)
+    monkeypatch.setattr(bytescan, "CHUNK", 100)
+    cut = bytescan.words(part, bounds, marks)
+    assert all((getattr(whole, a) == getattr(cut, a)).all() for a in ("hashes", "offsets", "starts", "ends")) and len(whole.hashes) > 500
+
+
 def test_components_of_paths_stars_and_noise(spark):
     rng = np.random.default_rng(3)
     links = [(i, i + 1) for i in range(100, 160)] + [(200, 200 + i) for i in range(1, 50)] + [(int(a), int(b)) for a, b in rng.integers(300, 400, (90, 2))] + [(5, 5), (8, 7), (7, 8)]

@@ -105,6 +105,13 @@ def words(part: np.ndarray, bounds: np.ndarray, marks_too: bool = False) -> Word
 
     ``marks_too``: ASCII punctuation and control bytes separate words as well.
     """
+    n = len(part)
+    if n > 2 * CHUNK:
+        return _long_words(part, bounds, marks_too)
+    return _bounded_words(part, bounds, marks_too)
+
+
+def _bounded_words(part: np.ndarray, bounds: np.ndarray, marks_too: bool) -> Words:
     n = len(part)
     if not n:
         return Words(np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -129,6 +136,28 @@ def words(part: np.ndarray, bounds: np.ndarray, marks_too: bool = False) -> Word
     return Words(mix(hashes), np.searchsorted(starts, bounds).astype(np.int64), starts, ends)
 
 
+def _long_words(part: np.ndarray, bounds: np.ndarray, marks_too: bool) -> Words:
+    """``words`` of a very long text in pieces that end between words, so that tables and intermediate arrays stay small.
+
+    A word's hash does not hang on its place.  Only a single word of more than a
+    piece makes a longer piece.
+    """
+    apart = _MARKS if marks_too else _SPACE
+    found: list[Words] = []
+    edges = set(bounds.tolist())
+    begin = 0
+    while begin < len(part):
+        end = min(begin + CHUNK, len(part))
+        while end < len(part) and not apart[part[end]] and end not in edges:
+            end += 1
+        inner = bounds[(bounds > begin) & (bounds < end)] - begin
+        w = _bounded_words(part[begin:end], np.concatenate([[0], inner, [end - begin]]), marks_too)
+        found.append(Words(w.hashes, w.offsets, w.starts + begin, w.ends + begin))
+        begin = end
+    starts = np.concatenate([w.starts for w in found])
+    return Words(np.concatenate([w.hashes for w in found]), np.searchsorted(starts, bounds).astype(np.int64), starts, np.concatenate([w.ends for w in found]))
+
+
 def word_hash(word: bytes) -> int:
     """The hash that ``words`` gives to one word."""
     part = np.frombuffer(word, np.uint8)
