@@ -131,12 +131,35 @@ def test_stream_counts_equal_batch(spark, tmp_path):
 def test_every_unit_of_full_data_is_treated(spark):
     from tidemark.plans import kernel_queries as Q
 
-    tasks = Q._tasks(spark, "/root/testdata/sf0.01").select("event_id", "treated", "unit_id").distinct().collect()
-    units, treated = {}, {}
-    for r in tasks:
-        units.setdefault(r["event_id"], set()).add(r["unit_id"])
-        treated.setdefault(r["event_id"], set()).add(r["treated"])
-    assert units == treated and max(map(len, units.values())) > 3
+    rows = Q._tasks(spark, "/root/testdata/sf0.01")
+    units = {tuple(r) for r in rows.select("event_id", "unit_id").distinct().collect()}
+    tasks = kernels.treat_in_turn(rows)
+    treated = [tuple(r) for r in tasks.where("own = task").select("event_id", "unit_id").distinct().collect()]
+    assert sorted(treated) == sorted(units) and len(units) > 20
+    whole = tasks.groupBy("event_id", "task").agg(F.count_distinct("unit_id").alias("n")).join(rows.groupBy("event_id").agg(F.count_distinct("unit_id").alias("m")), "event_id")
+    assert whole.where("n <> m").count() == 0  # each task holds its event whole
+    assert {tuple(r) for r in kernels.synthetic_control(rows, 30).select("event_id", "treated").collect()} == units
+
+
+def test_many_units_are_dealt_over_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(71)
+    rows = spark.createDataFrame([("e", f"u{u}", r, float(rng.normal())) for u in range(12) for r in range(-20, 5)], "event_id string, unit_id string, rel int, ret double")
+    whole = {tuple(r) for r in kernels.synthetic_control(rows, 2).collect()}
+    refits = {(r["treated"], r["left_out"]) for r in kernels.leave_one_donor_out(rows, 2).collect()}
+    monkeypatch.setattr(kernels, "TREATED", 3)
+    assert {tuple(r) for r in kernels.synthetic_control(rows, 2).collect()} == whole and len(whole) == 12
+    assert {(r["treated"], r["left_out"]) for r in kernels.leave_one_donor_out(rows, 2).collect()} == refits
+    assert kernels.difference_in_differences(rows, 2).count() == 12
+
+
+def test_synthetic_weights_equal_a_grid_search():
+    rng = np.random.default_rng(73)
+    for _ in range(10):
+        x, y = rng.normal(size=(9, 3)), rng.normal(size=9)
+        w, _ = kernels.simplex_least_squares(y, x)
+        grid = np.array([(a, b, 100 - a - b) for a in range(101) for b in range(101 - a)]) / 100
+        best = ((y[:, None] - x @ grid.T) ** 2).sum(0)
+        assert ((y - x @ w) ** 2).sum() <= best.min() + 1e-9 and np.abs(grid[best.argmin()] - w).max() < 0.011
 
 
 def test_registered_bootstraps_draw_as_often_as_the_floor_says(spark):
