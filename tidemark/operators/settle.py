@@ -8,17 +8,35 @@ that later steps scan it; a lost executor reads it again from there.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
-import shutil
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame
 
 #: Used only where the session names no shared folder and runs in one JVM, as in tests.
 LOCAL_DEFAULT = "/tmp/checkpoints"
 
 
+_folders: set[str] = set()  #: checkpoint folders of this process's contexts, which no other process reads
+
+
+def _remove() -> None:
+    jvm = SparkContext._jvm
+    for folder in list(_folders) if jvm is not None else ():
+        with contextlib.suppress(Exception):  # the JVM may have gone first
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+
+
+atexit.register(_remove)
+
+
 def settled(table: DataFrame) -> DataFrame:
-    """``table`` written to spark.checkpoint.dir; a local default stands in only for a local master."""
+    """``table`` written to spark.checkpoint.dir; a local default stands in only for a local master.
+
+    The files go with the process.
+    """
     spark = table.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
@@ -27,6 +45,6 @@ def settled(table: DataFrame) -> DataFrame:
             if context.master.split("[")[0] != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = f"{LOCAL_DEFAULT}/settled-{os.getpid()}"
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
+    _folders.add(context.getCheckpointDir())
     return table.checkpoint()
