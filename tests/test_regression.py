@@ -189,3 +189,29 @@ def test_stages_and_directions(spark):
     x = F.col("t")
     rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string").orderBy("n").select(discovery.stages(x).alias("s"), discovery.inferred_stage(discovery.stages(x)).alias("i"), discovery.proposed_direction(x, discovery.inferred_stage(discovery.stages(x))).alias("d")).collect()
     assert [tuple(r) for r in rows] == [(["consultation_outcome", "scheme_closure"], "consultation_outcome", "loosen"), (["regulations_laid"], "regulations_laid", ""), (["target_change"], "target_change", "tighten"), ([], "", "")]
+
+
+def test_average_ranks_equal_plain_ones(spark):
+    rng = np.random.default_rng(81)
+    values = [float(v) for v in rng.integers(0, 30, 200)] + [None, 5.5]
+    rows = spark.createDataFrame([(n, v) for n, v in enumerate(values)], "n int, v double")
+    got = {r["n"]: r["r"] for r in exposure.average_rank(rows, "v", "r", buckets=7).collect()}
+    known = np.array([v for v in values if v is not None])
+    assert got == {n: None if v is None else float((known < v).sum() + ((known == v).sum() + 1) / 2) for n, v in enumerate(values)}
+
+
+def test_correlation_blocks_equal_plain_ones(spark, monkeypatch):
+    monkeypatch.setattr(effects, "UNITS", 3)
+    rng = np.random.default_rng(83)
+    x = rng.normal(size=(10, 25))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[4] = 1.0  # no variance, no correlation
+    rows = spark.createDataFrame([(f"u{u}", p, None if np.isnan(x[u, p]) else float(x[u, p])) for u in range(10) for p in range(25)], "unit_id string, pos int, ret double")
+    rho = []
+    for a in range(10):
+        for b in range(a):
+            both = ~np.isnan(x[a]) & ~np.isnan(x[b])
+            if 4 not in (a, b):
+                rho.append(np.corrcoef(x[a][both], x[b][both])[0, 1])
+    got = effects.effective_units(rows).first()
+    assert got["units"] == 10 and got["mean_correlation"] == pytest.approx(np.mean(rho))

@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -133,13 +135,45 @@ def power_curve(effects: DataFrame, sizes: tuple[float, ...], alpha: float = 0.0
     return grid.groupBy("event_id", "effect").agg(F.avg(F.when(F.abs(F.col("tau") + F.col("effect")) >= F.col("critical"), 1.0).otherwise(0.0)).alias("detected"))
 
 
+UNITS = 256  #: units of a block of the correlation matrix
+
+
+def _correlations(tile: pd.DataFrame) -> pd.DataFrame:
+    """(total, pairs) of the correlations between a tile's two sides, each pair over the steps that both have."""
+    i, j = int(tile["i"].iloc[0]), int(tile["j"].iloc[0])
+    width = max(len(p) and max(p) for p in tile["pos"]) + 1
+
+    def side(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        x, m = np.zeros((len(rows), width)), np.zeros((len(rows), width))
+        for n, (pos, ret) in enumerate(zip(rows["pos"], rows["ret"], strict=True)):
+            x[n, pos], m[n, pos] = ret, 1.0
+        return x, m
+
+    tile = tile.sort_values("unit_id", kind="stable")
+    (x, mx), (y, my) = side(tile[tile["block"] == i]), side(tile[tile["block"] == j])
+    n = mx @ my.T
+    sx, sy = x @ my.T, mx @ y.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rho = (n * (x @ y.T) - sx * sy) / np.sqrt((n * ((x * x) @ my.T) - sx * sx) * (n * (mx @ (y * y).T) - sy * sy))
+    if i == j:
+        rho = rho[np.triu_indices(len(rho), 1)]
+    rho = rho[np.isfinite(rho)]
+    return pd.DataFrame({"total": [float(rho.sum())], "pairs": [rho.size]})
+
+
 def effective_units(panel: DataFrame) -> DataFrame:
-    """(units, mean_correlation, effective): pairwise correlations of the units' returns and N / (1 + (N - 1) rho)."""
-    a = panel.where("ret is not null").select("pos", "unit_id", "ret")
-    b = a.select("pos", F.col("unit_id").alias("other"), F.col("ret").alias("ret_o"))
-    pairs = a.join(b, "pos").where("unit_id < other").groupBy("unit_id", "other").agg(F.corr("ret", "ret_o").alias("rho"))
-    n = a.select("unit_id").distinct().agg(F.count("*").alias("units"))
-    mean = pairs.agg(F.avg("rho").alias("mean_correlation")).crossJoin(n)
+    """(units, mean_correlation, effective): pairwise correlations of the units' returns and N / (1 + (N - 1) rho).
+
+    Each unit's series is one row; blocks of units meet in tiles of the
+    correlation matrix, each a few matrix products.
+    """
+    series = panel.where("ret is not null").groupBy("unit_id").agg(F.collect_list("pos").alias("pos"), F.collect_list("ret").alias("ret"))
+    units = series.agg(F.count("*").alias("units"))
+    blocks = F.greatest(F.ceil(F.col("units") / UNITS), F.lit(1)).cast("int")
+    placed = series.crossJoin(units).withColumn("block", F.pmod(F.xxhash64("unit_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    tiles = placed.select("unit_id", "block", "pos", "ret", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    sums = tiles.groupBy("i", "j").applyInPandas(_correlations, "total double, pairs long").agg((F.sum("total") / F.nullif(F.sum("pairs"), F.lit(0))).alias("mean_correlation"))
+    mean = sums.crossJoin(units)
     width = 1 + (F.col("units") - 1) * F.col("mean_correlation")
     return mean.select("units", "mean_correlation", F.when(width <= 0, F.col("units").cast("double")).otherwise(F.col("units") / F.nullif(width, F.lit(0.0))).alias("effective"))
 

@@ -137,6 +137,23 @@ def standardise(rows: DataFrame, column: str, by: str, into: str) -> DataFrame:
     return rows.join(s, by).withColumn(into, z).drop("_m", "_s")
 
 
+def average_rank(rows: DataFrame, column: str, name: str, buckets: int = 64) -> DataFrame:
+    """(..., name): rank from 1 among all rows that have the column, ties sharing their mean; null where it is null.
+
+    Values are counted and dealt over ranges between approximate quantiles, so
+    that no task orders all of them; only the ranges' totals, ``buckets`` rows,
+    are summed in one place.
+    """
+    cuts = sorted(set(rows.select(F.col(column).cast("double").alias("v")).where("v is not null").approxQuantile("v", [i / buckets for i in range(1, buckets)], 0.005)))
+    bucket = sum((F.when(F.col("_v") > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_c")).withColumn("_b", bucket)
+    own = counts.withColumn("_own", F.sum("_c").over(Window.partitionBy("_b").orderBy("_v")))
+    before = counts.groupBy("_b").agg(F.sum("_c").alias("_t"))
+    before = before.select("_b", (F.sum("_t").over(Window.orderBy("_b")) - F.col("_t")).alias("_before"))
+    rank = own.join(before, "_b").select("_v", (F.col("_before") + F.col("_own") - F.col("_c") + (F.col("_c") + 1) / 2).alias(name))
+    return rows.join(rank, F.col(column) == F.col("_v"), "left").drop("_v")
+
+
 def rank_buckets(rows: DataFrame, column: str, by: str, buckets: int, into: str) -> DataFrame:
     """Average-tie rank over the group's size, in ``buckets`` steps, as a share: ceil(rank / n * buckets) / buckets."""
     order = Window.partitionBy(by).orderBy(column)

@@ -27,7 +27,14 @@ def resolve(events: DataFrame, units: DataFrame, overrides: DataFrame, exclusion
     end, why.  Not available, then excluded, then contradictory overrides
     (status error), then an override, then the default decide.
     """
-    hits = overrides.withColumnRenamed("status", "o").withColumnRenamed("tags", "otags").join(events, override_matches(F.col("tags"), F.col("event_id"), F.col("otags"), F.col("ids")))
+    def keyed(rows: DataFrame, tags: Column, ids: Column, *keep: Column) -> DataFrame:
+        low = F.transform(tags, lambda t: F.struct(F.lit("tag").alias("kind"), F.lower(F.trim(t)).alias("key")))
+        own = F.transform(ids, lambda i: F.struct(F.lit("id").alias("kind"), i.alias("key")))
+        return rows.select(*keep, F.explode(F.concat(low, own)).alias("k")).select("*", "k.kind", "k.key").drop("k").distinct()
+
+    # an override meets an event by a tag or an id that both have: an equi-join, where override_matches would be a loop
+    wanted = keyed(overrides, F.coalesce("tags", F.array()), F.coalesce("ids", F.array()), F.col("unit_id"), F.col("status").alias("o"))
+    hits = wanted.join(keyed(events, F.coalesce("tags", F.array()), F.array("event_id"), F.col("event_id")), ["kind", "key"])
     forced = hits.groupBy("event_id", "unit_id").agg(F.count_distinct("o").alias("n"), F.min("o").alias("o"))
     shut = exclusions.join(events, F.col("day").between(F.col("start"), F.col("end"))).groupBy("event_id", "unit_id").agg(F.min("why").alias("why"))
     # the resolution table itself: every event with every unit

@@ -181,8 +181,7 @@ def topk_exposed_units(spark, folder):
 
 @query("spearman_of_forms", cte("dose") + ", r AS (SELECT rank() OVER (ORDER BY exposure) + (count(*) OVER (PARTITION BY exposure) - 1) / 2.0 AS a, rank() OVER (ORDER BY car) + (count(*) OVER (PARTITION BY car) - 1) / 2.0 AS b FROM dose) SELECT CAST(count(*) AS BIGINT) AS n, round(corr(a, b), 4) + 0.0 AS rho FROM r")
 def spearman_of_forms(spark, folder):
-    rows = O.rank_buckets(_dose(spark, folder).withColumn("all", F.lit(1)), "exposure", "all", 1_000_000_000, "a")
-    rows = O.rank_buckets(rows, "car", "all", 1_000_000_000, "b")
+    rows = O.average_rank(O.average_rank(_dose(spark, folder), "exposure", "a"), "car", "b")
     return _round(rows.agg(F.count("*").alias("n"), F.corr("a", "b").alias("rho")), 4, "rho")
 
 
