@@ -97,16 +97,27 @@ def placebo_p_values(effects: DataFrame) -> DataFrame:
 def placebo_ladder(ratios: DataFrame, cutoffs: tuple[float, ...] = (float("inf"), 20.0, 5.0, 2.0)) -> DataFrame:
     """(event_id, unit_id, cutoff, placebos, p_ratio): placebos whose fit before is within a multiple of the unit's own.
 
-    Each unit meets the others of its event, the square of an event's units; a
-    count over two orders at once has no windowed form.
+    One event's units are one group, compared in blocks of arrays; no pair of
+    units becomes a row.  A missing ratio is never as extreme as another.
     """
-    a = ratios.select("event_id", "unit_id", "pre_rmspe", "ratio")
-    b = a.select("event_id", F.col("unit_id").alias("other"), F.col("pre_rmspe").alias("pre_o"), F.col("ratio").alias("ratio_o"))
-    steps = F.explode(F.array(*[F.lit(c) for c in cutoffs]))
-    # placebo inference compares the units of one event with one another; cutoffs are a constant few
-    pairs = a.join(b, "event_id").where("unit_id <> other").withColumn("cutoff", steps).withColumn("inside", (F.col("cutoff") == float("inf")) | (F.col("pre_o") <= F.col("pre_rmspe") * F.col("cutoff")))
-    out = pairs.groupBy("event_id", "unit_id", "cutoff").agg(F.count(F.when(F.col("inside"), 1)).alias("placebos"), F.count(F.when(F.col("inside") & (F.col("ratio_o") >= F.col("ratio")), 1)).alias("extreme"))
-    return out.select("event_id", "unit_id", "cutoff", "placebos", ((1 + F.col("extreme")) / (1 + F.col("placebos"))).alias("p_ratio"))
+
+    def run(task: pd.DataFrame) -> pd.DataFrame:
+        task = task.sort_values("unit_id", kind="stable")
+        pre, ratio = task["pre_rmspe"].to_numpy(float), task["ratio"].to_numpy(float)
+        parts = []
+        for begin in range(0, len(task), 512):
+            rows = slice(begin, begin + 512)
+            extreme = ratio[None, :] >= ratio[rows, None]
+            extreme[np.arange(len(extreme)), np.arange(begin, begin + len(extreme))] = False
+            for cutoff in cutoffs:
+                inside = np.ones(extreme.shape, bool) if np.isinf(cutoff) else pre[None, :] <= pre[rows, None] * cutoff
+                inside[np.arange(len(extreme)), np.arange(begin, begin + len(extreme))] = False
+                n = inside.sum(1)
+                parts.append(pd.DataFrame({"event_id": task["event_id"].iloc[rows], "unit_id": task["unit_id"].iloc[rows], "cutoff": cutoff, "placebos": n, "p_ratio": (1 + (inside & extreme).sum(1)) / (1 + n)}))
+        out = pd.concat(parts, ignore_index=True)
+        return out if len(task) > 1 else out.iloc[:0]
+
+    return ratios.select("event_id", "unit_id", "pre_rmspe", "ratio").groupBy("event_id").applyInPandas(run, "event_id string, unit_id string, cutoff double, placebos long, p_ratio double")
 
 
 def pretrend(ar: DataFrame, gap: int) -> DataFrame:
