@@ -152,6 +152,25 @@ def test_many_units_are_dealt_over_tasks(spark, monkeypatch):
     assert kernels.difference_in_differences(rows, 2).count() == 12
 
 
+def test_active_set_equals_projected_gradient(monkeypatch):
+    rng = np.random.default_rng(79)
+    for n, rows, penalty, intercept in ((2, 30, 0.0, False), (8, 40, 1e-6, False), (24, 250, 1e-6, True), (40, 30, 0.3, True), (12, 12, 0.0, False)):
+        x = rng.normal(size=(rows, n)).cumsum(0)
+        y = x @ rng.dirichlet(np.full(n, 0.3)) + rng.normal(size=rows)
+        w, c = kernels.simplex_least_squares(y, x, penalty, intercept)
+        with monkeypatch.context() as m:
+            m.setattr(kernels, "_active_set", lambda *_: None)
+            v, d = kernels.simplex_least_squares(y, x, penalty, intercept, steps=200_000)
+
+        def loss(w, c):
+            return ((y - c - x @ w) ** 2).sum() + penalty * y.var() * (w @ w)
+
+        assert w.min() >= 0 and w.sum() == pytest.approx(1) and loss(w, c) <= loss(v, d) * (1 + 1e-9) and np.abs(w - v).max() < 1e-4
+        assert kernels._active_set(x.T @ x, x.T @ y) is not None
+    same = np.ones((5, 3))
+    assert kernels.simplex_least_squares(np.ones(5), same)[0].sum() == pytest.approx(1)  # equal donors
+
+
 def test_synthetic_weights_equal_a_grid_search():
     rng = np.random.default_rng(73)
     for _ in range(10):
