@@ -52,3 +52,10 @@ ds AS (SELECT DISTINCT doc_id, unnest(list_transform(generate_series(1, greatest
 h AS (SELECT doc_id, ts.name, count(*) AS k FROM ds JOIN ts ON ts.s = ds.s GROUP BY 1, 2)
 SELECT doc_id, h.name AS license_id, round(k / CAST(n AS DOUBLE), 6) AS containment FROM h JOIN tn ON tn.name = h.name WHERE k >= 0.8 * n
 """
+
+ARCHIVE = """
+WITH a AS (SELECT page_id, encode(coalesce(html, '')) AS p FROM pages),
+b AS (SELECT page_id, octet_length(p) AS n, sha1(p) AS d, max(page_id) OVER (PARTITION BY p) AS top FROM a)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to FROM b
+"""
