@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, extract, licenses, minhash, mixing, neighbours, pii, ppm, sql, tokens, toxicity, warc
+from tidemark.llm import decontaminate, extract, licenses, minhash, mixing, neighbours, pii, ppm, spelling, sql, tokens, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,10 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "license_id", "containment")  # what does not hang on how windows are cut
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(spark, _table(spark, folder, "documents"), name="op11")
+
+
 def op13_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(spark, _table(spark, folder, "pages"), name="op13")
 
@@ -73,6 +77,7 @@ def queries() -> dict[str, Query]:
         "op8_decontamination": op8_decontamination,
         "op9_minhash_dedup": op9_minhash_dedup,
         "op10_license_scan": op10_license_scan,
+        "op11_spelling_variants": op11_spelling_variants,
         "op13_warc": op13_warc,
     }
 
@@ -83,5 +88,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_embedding_dedup": sql.NEIGHBOURS,
         "op9_minhash_dedup": sql.NEAR_DUPLICATES,
         "op10_license_scan": sql.LICENCES,
+        "op11_spelling_variants": sql.SPELLING,
         "op13_warc": sql.ARCHIVE,
     }

@@ -53,6 +53,34 @@ h AS (SELECT doc_id, ts.name, count(*) AS k FROM ds JOIN ts ON ts.s = ds.s GROUP
 SELECT doc_id, h.name AS license_id, round(k / CAST(n AS DOUBLE), 6) AS containment FROM h JOIN tn ON tn.name = h.name WHERE k >= 0.8 * n
 """
 
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a string's UTF-8 bytes, bit by bit."""
+    raw = f"hex(encode({text}))"
+    bits = f"list_transform(range(4 * length({raw})), lambda i: ((('0x' || substr({raw}, CAST(1 + 2 * (i // 8) AS BIGINT), 2))::BIGINT >> (i % 8)) & 1)::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda a, b: xor(a >> 1, 3988292384 * (xor(a, b) & 1))))"
+
+
+SPELLING = f"""
+WITH RECURSIVE runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+lowered AS (SELECT doc, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM runs),
+counted AS (SELECT doc || ':' || run AS k, run, count(*) AS n FROM lowered GROUP BY ALL),
+drawn AS (SELECT run, n, CAST({_crc32("k")} AS BIGINT) AS h FROM counted),
+slipped AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM drawn),
+vocab AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+spots AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocab),
+cut AS (SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS s FROM spots),
+wild AS (SELECT word, n, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS s FROM spots),
+near AS (SELECT a.word, a.n, b.word AS other, b.n AS m FROM wild a JOIN wild b ON a.s = b.s AND a.word <> b.word
+  UNION ALL SELECT c.word, c.n, v.word, v.n FROM cut c JOIN vocab v ON c.s = v.word
+  UNION ALL SELECT v.word, v.n, c.word, c.n FROM cut c JOIN vocab v ON c.s = v.word),
+best AS (SELECT word, any_value(n) AS n, count(*) AS n_near, arg_min(other, (-m, other)) AS other, max(m) AS m FROM near GROUP BY word),
+formed AS (SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.m >= 5 * v.n THEN b.other END AS form, CASE WHEN b.m >= 5 * v.n THEN b.m END AS form_n FROM vocab v LEFT JOIN best b USING (word)),
+chain(word, root) AS (SELECT word, word FROM formed UNION SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL),
+roots AS (SELECT c.word, c.root FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM formed f JOIN roots r USING (word)
+"""
+
 ARCHIVE = """
 WITH a AS (SELECT page_id, encode(coalesce(html, '')) AS p FROM pages),
 b AS (SELECT page_id, octet_length(p) AS n, sha1(p) AS d, max(page_id) OVER (PARTITION BY p) AS top FROM a)
