@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, extract, licenses, minhash, mixing, neighbours, pii, ppm, spelling, sql, tokens, toxicity, warc
+from tidemark.llm import decontaminate, extract, licenses, minhash, mixing, neighbours, pii, ppm, prefixes, spelling, sql, tokens, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,10 @@ def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(spark, _table(spark, folder, "documents"), name="op11")
 
 
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefixes.trie(spark, _table(spark, folder, "conversations"), name="op12")
+
+
 def op13_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(spark, _table(spark, folder, "pages"), name="op13")
 
@@ -78,6 +82,7 @@ def queries() -> dict[str, Query]:
         "op9_minhash_dedup": op9_minhash_dedup,
         "op10_license_scan": op10_license_scan,
         "op11_spelling_variants": op11_spelling_variants,
+        "op12_prefix_trie": op12_prefix_trie,
         "op13_warc": op13_warc,
     }
 
@@ -89,5 +94,6 @@ def oracle_sql() -> dict[str, str]:
         "op9_minhash_dedup": sql.NEAR_DUPLICATES,
         "op10_license_scan": sql.LICENCES,
         "op11_spelling_variants": sql.SPELLING,
+        "op12_prefix_trie": sql.PREFIXES,
         "op13_warc": sql.ARCHIVE,
     }

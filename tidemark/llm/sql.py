@@ -81,6 +81,26 @@ roots AS (SELECT c.word, c.root FROM chain c JOIN formed f ON f.word = c.root WH
 SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM formed f JOIN roots r USING (word)
 """
 
+PREFIXES = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, max(pos) AS n, CAST(conv_id AS VARCHAR) AS k, conv_id - conv_id % 20 AS base FROM t GROUP BY conv_id),
+c AS (SELECT conv_id, n, base, {_crc32("k")} % 4 AS h FROM ids),
+e AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS got FROM c LEFT JOIN ids b ON b.conv_id = c.base),
+r AS (SELECT e.conv_id, t.pos AS depth, role, text FROM e JOIN t ON t.conv_id = e.base AND t.pos <= e.got
+  UNION ALL SELECT e.conv_id, e.got + t.pos - e.h, role, text FROM e JOIN t ON t.conv_id = e.conv_id AND t.pos > e.h),
+p AS (SELECT conv_id, depth, list([role, text]) OVER (PARTITION BY conv_id ORDER BY depth) AS path, count(*) OVER (PARTITION BY conv_id) AS whole, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words FROM r),
+m AS (SELECT conv_id, depth, min(conv_id) OVER g AS rep, count(*) OVER g AS n, words, depth = whole AS ends FROM p WINDOW g AS (PARTITION BY depth, path)
+  UNION ALL SELECT conv_id, 0, min(conv_id) OVER (), count(*) OVER (), 0, conv_id NOT IN (SELECT conv_id FROM r) FROM c),
+nodes AS (SELECT DISTINCT depth, rep, n, words FROM m),
+parents AS (SELECT a.depth, a.rep, b.rep AS parent FROM nodes a LEFT JOIN m b ON b.conv_id = a.rep AND b.depth = a.depth - 1),
+children AS (SELECT depth - 1 AS depth, parent AS rep, count(*) AS n FROM parents WHERE depth > 0 GROUP BY ALL),
+own AS (SELECT a.*, coalesce(children.n, 0) AS n_children FROM nodes a LEFT JOIN children USING (depth, rep)),
+sums AS (SELECT b.depth, b.rep, sum(CASE WHEN a.n_children = 0 THEN 1 ELSE 0 END) AS leaves, sum((a.n - 1) * a.words) AS saved FROM own a JOIN m b ON b.conv_id = a.rep AND b.depth <= a.depth GROUP BY ALL),
+ended AS (SELECT depth, rep, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM m WHERE ends GROUP BY ALL)
+SELECT own.rep AS conv_id, CAST(own.depth AS BIGINT) AS depth, parents.parent AS parent_conv_id, own.n AS n_convs, own.n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM own JOIN parents USING (depth, rep) JOIN sums USING (depth, rep) LEFT JOIN ended USING (depth, rep)
+"""
+
 ARCHIVE = """
 WITH a AS (SELECT page_id, encode(coalesce(html, '')) AS p FROM pages),
 b AS (SELECT page_id, octet_length(p) AS n, sha1(p) AS d, max(page_id) OVER (PARTITION BY p) AS top FROM a)
