@@ -128,30 +128,6 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     assert spark.table("counts").agg(F.sum("n")).collect()[0][0] == events.count()
 
 
-def test_every_unit_of_full_data_is_treated(spark):
-    from tidemark.plans import kernel_queries as Q
-
-    rows = Q._tasks(spark, "/root/testdata/sf0.01")
-    units = {tuple(r) for r in rows.select("event_id", "unit_id").distinct().collect()}
-    tasks = kernels.treat_in_turn(rows)
-    treated = [tuple(r) for r in tasks.where("own = task").select("event_id", "unit_id").distinct().collect()]
-    assert sorted(treated) == sorted(units) and len(units) > 20
-    whole = tasks.groupBy("event_id", "task").agg(F.count_distinct("unit_id").alias("n")).join(rows.groupBy("event_id").agg(F.count_distinct("unit_id").alias("m")), "event_id")
-    assert whole.where("n <> m").count() == 0  # each task holds its event whole
-    assert {tuple(r) for r in kernels.synthetic_control(rows, 30).select("event_id", "treated").collect()} == units
-
-
-def test_many_units_are_dealt_over_tasks(spark, monkeypatch):
-    rng = np.random.default_rng(71)
-    rows = spark.createDataFrame([("e", f"u{u}", r, float(rng.normal())) for u in range(12) for r in range(-20, 5)], "event_id string, unit_id string, rel int, ret double")
-    whole = {tuple(r) for r in kernels.synthetic_control(rows, 2).collect()}
-    refits = {(r["treated"], r["left_out"]) for r in kernels.leave_one_donor_out(rows, 2).collect()}
-    monkeypatch.setattr(kernels, "TREATED", 3)
-    assert {tuple(r) for r in kernels.synthetic_control(rows, 2).collect()} == whole and len(whole) == 12
-    assert {(r["treated"], r["left_out"]) for r in kernels.leave_one_donor_out(rows, 2).collect()} == refits
-    assert kernels.difference_in_differences(rows, 2).count() == 12
-
-
 def test_active_set_equals_projected_gradient(monkeypatch):
     rng = np.random.default_rng(79)
     for n, rows, penalty, intercept in ((2, 30, 0.0, False), (8, 40, 1e-6, False), (24, 250, 1e-6, True), (40, 30, 0.3, True), (12, 12, 0.0, False)):

@@ -72,11 +72,15 @@ def simplex_least_squares(y: np.ndarray, x: np.ndarray, penalty: float = 0.0, in
         w, _ = simplex_least_squares(y - my, x - mx, penalty * float(y.var()) / max(float((y - my).var()), 1e-300) if y.var() else penalty, False, steps)
         return w, my - float(mx @ w)
     ridge = penalty * float(y.var())
-    gram, target = x.T @ x + ridge * np.eye(x.shape[1]), x.T @ y
+    return simplex_from_gram(x.T @ x + ridge * np.eye(x.shape[1]), x.T @ y, steps), 0.0
+
+
+def simplex_from_gram(gram: np.ndarray, target: np.ndarray, steps: int = 4000) -> np.ndarray:
+    """The least of w'Gw / 2 - t'w on the simplex."""
     if (w := _active_set(gram, target)) is not None:
-        return w, 0.0
+        return w
     rate = 1 / max(float(np.linalg.eigvalsh(gram)[-1]), 1e-300)
-    w = momentum = np.full(x.shape[1], 1 / x.shape[1])
+    w = momentum = np.full(len(target), 1 / len(target))
     t = 1.0
     for _ in range(steps):
         new = simplex_projection(momentum - rate * (gram @ momentum - target))
@@ -90,116 +94,7 @@ def simplex_least_squares(y: np.ndarray, x: np.ndarray, penalty: float = 0.0, in
         if moved < 1e-12:
             break
     w = np.where(w < 1e-10, 0.0, w)
-    return w / w.sum(), 0.0
-
-
-TREATED = 16  #: units that one task treats in turn over one copy of its event's rows
-
-
-def treat_in_turn(rows: DataFrame) -> DataFrame:
-    """Tasks of ``rows`` (event_id, unit_id, rel, ret): each event's rows once for every TREATED units, which the task treats in turn.
-
-    (event_id, task, own, unit_id, rel, ret); a unit is treated in the task that is its own.
-    """
-    count = rows.groupBy("event_id").agg(F.ceil(F.count_distinct("unit_id") / TREATED).cast("int").alias("_n"))
-    placed = rows.join(count, "event_id").withColumn("own", F.pmod(F.xxhash64("unit_id"), F.col("_n")).cast("int"))
-    return placed.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
-
-
-def _wide(task: pd.DataFrame) -> tuple[str, pd.DataFrame, list[str]]:
-    """(event, cumulative returns by rel and unit, units to treat); units with gaps are left out."""
-    wide = task.pivot(index="rel", columns="unit_id", values="ret").sort_index().dropna(axis=1).cumsum()
-    mine = set(task.loc[task["own"] == task["task"], "unit_id"])
-    return task["event_id"].iloc[0], wide, [u for u in wide.columns if u in mine]
-
-
-def _synthetic(wide: pd.DataFrame, treated: str, gap: int, penalty: float = 1e-6, without: str | None = None):
-    donors = sorted(c for c in wide.columns if c not in (treated, without))
-    if len(donors) < 2:
-        return None
-    pre = wide.index < -gap
-    w, _ = simplex_least_squares(wide.loc[pre, treated].to_numpy(), wide.loc[pre, donors].to_numpy(), penalty)
-    distance = wide[treated].to_numpy() - wide[donors].to_numpy() @ w
-    base = distance[wide.index.get_loc(-1)]
-    post = distance[wide.index >= 0] - base
-    return donors, w, float(post[-1]), float(np.sqrt((distance[pre] ** 2).mean())), float(np.sqrt((post**2).mean()))
-
-
-_SC = "event_id string, treated string, tau double, pre_rmspe double, post_rmspe double, n_donors int, max_weight double, effective_donors double"
-_LOO = "event_id string, treated string, left_out string, tau double, shift double"
-_DID = "event_id string, treated string, tau double, zeta double, n_donors int, unit_effective double, time_effective double"
-
-
-def _columns(schema: str) -> list[str]:
-    return [c.split()[0] for c in schema.split(", ")]
-
-
-def synthetic_control(rows: DataFrame, gap: int) -> DataFrame:
-    """One row for each event and unit of ``rows`` (event_id, unit_id, rel, ret), treated in turn against the others: effect at the horizon and fit."""
-
-    def run(task: pd.DataFrame) -> pd.DataFrame:
-        event, wide, units = _wide(task)
-        out = [(event, u, f[2], f[3], f[4], len(f[0]), float(f[1].max()), float(1 / (f[1] ** 2).sum())) for u in units if (f := _synthetic(wide, u, gap)) is not None]
-        return pd.DataFrame(out, columns=_columns(_SC))
-
-    return treat_in_turn(rows).groupBy("event_id", "task").applyInPandas(run, _SC)
-
-
-def leave_one_donor_out(rows: DataFrame, gap: int, least: float = 1e-3) -> DataFrame:
-    """(event_id, treated, left_out, tau, shift): refits without each donor of some weight; the full fit has left_out null."""
-
-    def run(task: pd.DataFrame) -> pd.DataFrame:
-        event, wide, units = _wide(task)
-        out = []
-        for u in units:
-            if (full := _synthetic(wide, u, gap)) is None:
-                continue
-            out.append((event, u, None, full[2], 0.0))
-            for donor, w in zip(full[0], full[1], strict=True):
-                if w > least and (again := _synthetic(wide, u, gap, without=donor)) is not None:
-                    out.append((event, u, donor, again[2], again[2] - full[2]))
-        return pd.DataFrame(out, columns=_columns(_LOO))
-
-    return treat_in_turn(rows).groupBy("event_id", "task").applyInPandas(run, _LOO)
-
-
-def leave_one_out_summary(refits: DataFrame) -> DataFrame:
-    """(event_id, treated, tau, refits, low, high, most_influential, largest_shift, sign_kept) of ``leave_one_donor_out``."""
-    other = F.col("left_out").isNotNull()
-    a = refits.groupBy("event_id", "treated").agg(
-        F.max(F.when(~other, F.col("tau"))).alias("tau"), F.count(F.when(other, 1)).alias("refits"), F.min(F.when(other, F.col("tau"))).alias("low"), F.max(F.when(other, F.col("tau"))).alias("high"),
-        F.max_by("left_out", F.when(other, F.struct(F.abs("shift"), "left_out"))).alias("most_influential"), F.max(F.when(other, F.abs("shift"))).alias("largest_shift"),
-    )
-    return a.withColumn("sign_kept", F.coalesce((F.signum("low") == F.signum("tau")) & (F.signum("high") == F.signum("tau")), F.lit(True)))
-
-
-def difference_in_differences(rows: DataFrame, gap: int, average: bool = True) -> DataFrame:
-    """(event_id, treated, tau, zeta, n_donors, unit_effective, time_effective): synthetic difference in differences.
-
-    Unit weights carry a ridge of zeta^2 per pre-step and an intercept, time
-    weights none; tau is the mean gap after the event (its last step if not
-    ``average``) less the time-weighted gap before.
-    """
-
-    def run(task: pd.DataFrame) -> pd.DataFrame:
-        event, wide, units = _wide(task)
-        out = []
-        pre, post = wide.index < -gap, wide.index >= 0
-        for treated in units:
-            donors = sorted(c for c in wide.columns if c != treated)
-            if len(donors) < 2:
-                continue
-            y, x = wide.loc[pre, treated].to_numpy(), wide.loc[pre, donors].to_numpy()
-            zeta = float(post.sum() ** 0.25 * np.diff(x, axis=0).std(ddof=1))
-            ridge = zeta**2 * len(y) / max(float(y.var()), 1e-300)
-            w, _ = simplex_least_squares(y, x, ridge, intercept=True)
-            time, _ = simplex_least_squares(wide.loc[post, donors].to_numpy().mean(0), x.T, 0.0, intercept=True)
-            distance = wide[treated].to_numpy() - wide[donors].to_numpy() @ w
-            after = distance[post].mean() if average else distance[post][-1]
-            out.append((event, treated, float(after - time @ distance[pre]), zeta, len(donors), float(1 / (w**2).sum()), float(1 / (time**2).sum())))
-        return pd.DataFrame(out, columns=_columns(_DID))
-
-    return treat_in_turn(rows).groupBy("event_id", "task").applyInPandas(run, _DID)
+    return w / w.sum()
 
 
 def estimator_placebos(estimates: DataFrame) -> DataFrame:

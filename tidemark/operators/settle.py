@@ -1,8 +1,9 @@
-"""Small tables that several parts of a plan read, written once.
+"""Small derived tables that several parts of a plan read, written once.
 
 A plan that reads one derived table in many places is planned, and often run, as
-many times.  ``settled`` writes the table to the session's checkpoint folder, so
-that later steps scan it; a lost executor reads it again from there.
+many times.  ``settled`` writes the table as Parquet below the session's shared
+folder and reads it back: what follows is a columnar scan with pruned columns,
+pushed filters and a known size; a lost executor reads it again from there.
 """
 
 from __future__ import annotations
@@ -10,15 +11,16 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
+import uuid
 
 from pyspark import SparkContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no shared folder and runs in one JVM, as in tests.
 LOCAL_DEFAULT = "/tmp/checkpoints"
 
 
-_folders: set[str] = set()  #: checkpoint folders of this process's contexts, which no other process reads
+_folders: set[str] = set()  #: folders that this process wrote, which no other process reads
 
 
 def _remove() -> None:
@@ -32,19 +34,19 @@ def _remove() -> None:
 atexit.register(_remove)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a local default stands in only for a local master."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or (spark.sparkContext.getCheckpointDir() or "").rpartition("/")[0]
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{LOCAL_DEFAULT}/settled-{os.getpid()}"
+
+
 def settled(table: DataFrame) -> DataFrame:
-    """``table`` written to spark.checkpoint.dir; a local default stands in only for a local master.
-
-    The files go with the process.
-    """
-    spark = table.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if context.master.split("[")[0] != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = f"{LOCAL_DEFAULT}/settled-{os.getpid()}"
-        context.setCheckpointDir(folder)
-    _folders.add(context.getCheckpointDir())
-    return table.checkpoint()
+    """``table`` written to the shared folder and read back; the files go with the process."""
+    folder = f"{shared_folder(table.sparkSession)}/settled-{uuid.uuid4().hex}"
+    _folders.add(folder)
+    table.write.parquet(folder)
+    return table.sparkSession.read.schema(table.schema).parquet(folder)

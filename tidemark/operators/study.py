@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators import effects as E
-from tidemark.operators import kernels as K
+from tidemark.operators import synthetic as S
 from tidemark.operators.settle import settled
 
 MARKET = "market_model"
@@ -22,8 +22,8 @@ def run_events(ar: DataFrame, rows: DataFrame, gap: int, horizon: int, alpha: fl
     Power comes from the same placebos; the trend before the event from ``ar``.
     """
     market = E.car(ar, 0, horizon).select("event_id", "unit_id", F.lit(MARKET).alias("estimator"), F.col("car").alias("tau"))
-    control = K.synthetic_control(rows, gap).select("event_id", F.col("treated").alias("unit_id"), F.lit("synthetic_control").alias("estimator"), "tau")
-    double = K.difference_in_differences(rows, gap).select("event_id", F.col("treated").alias("unit_id"), F.lit("synthetic_did").alias("estimator"), "tau")
+    control = S.synthetic_control(rows, gap).select("event_id", F.col("treated").alias("unit_id"), F.lit("synthetic_control").alias("estimator"), "tau")
+    double = S.difference_in_differences(rows, gap).select("event_id", F.col("treated").alias("unit_id"), F.lit("synthetic_did").alias("estimator"), "tau")
     found = settled(market.unionByName(control).unionByName(double))
     side = Window.partitionBy("event_id", "estimator")
     n, rank = F.count("*").over(side), F.count("*").over(side.orderBy(F.abs("tau").desc()).rangeBetween(Window.unboundedPreceding, 0))

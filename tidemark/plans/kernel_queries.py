@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import kernels as K
+from tidemark.operators import synthetic as S
 from tidemark.operators.settle import settled
 from tidemark.plans.dose_queries import _dose
 from tidemark.plans.panel_queries import _ar, _panel, _round, _sig, _windows
@@ -24,17 +26,69 @@ def _tasks(spark, folder):
 
 @query("synthetic_control")
 def synthetic_control(spark, folder):
-    return K.synthetic_control(_tasks(spark, folder), GAP)
+    return S.synthetic_control(_tasks(spark, folder), GAP)
 
 
 @query("synthetic_control_placebos")
 def synthetic_control_placebos(spark, folder):
-    return K.estimator_placebos(settled(K.synthetic_control(_tasks(spark, folder), GAP)))
+    return K.estimator_placebos(settled(S.synthetic_control(_tasks(spark, folder), GAP)))
 
 
 @query("synthetic_difference_in_differences")
 def synthetic_difference_in_differences(spark, folder):
-    return K.difference_in_differences(_tasks(spark, folder), GAP)
+    return S.difference_in_differences(_tasks(spark, folder), GAP)
+
+
+@query("synthetic_did_at_horizon")
+def synthetic_did_at_horizon(spark, folder):
+    return S.difference_in_differences(_tasks(spark, folder), GAP, average=False)
+
+
+_WHOLE = cte("panel", "ev") + """, w AS (SELECT event_id, unit_id, region, pos - t0 AS rel, ret FROM panel JOIN ev ON pos BETWEEN pre_start AND post_end WHERE reason IS NULL),
+full_ AS (SELECT event_id, unit_id, count(*) OVER (PARTITION BY event_id) - 1 AS n_donors FROM (SELECT event_id, unit_id FROM w GROUP BY 1, 2 HAVING count(ret) = count(*)))
+"""
+
+
+@query("synthetic_control_optimality", _WHOLE + "SELECT event_id, unit_id AS treated, CAST(n_donors AS BIGINT) AS n_donors, 1.0 AS total_weight, TRUE AS optimal FROM full_ WHERE n_donors >= 2")
+def synthetic_control_optimality(spark, folder):
+    """Every unit's weights sum to one, and no move of weight between donors gains more than 1e-9 of its scale."""
+    units = S.series(_tasks(spark, folder), GAP)
+    fits = S.control_fits(units)
+    total = fits.select("event_id", "treated", F.round(F.aggregate("weights", F.lit(0.0), lambda a, b: a + b), 9).alias("total_weight"))
+    count = units.groupBy("event_id").agg((F.count("*") - 1).alias("n_donors"))
+    gaps = S.optimality(fits, S._raw(units)).select("event_id", "treated", (F.col("gap") < 1e-9).alias("optimal"))
+    return gaps.join(total, ["event_id", "treated"]).join(count, "event_id").select("event_id", "treated", "n_donors", "total_weight", "optimal")
+
+
+@query(
+    "two_way_regression",
+    _WHOLE + f""", c AS (SELECT w.event_id, w.unit_id, region, rel, sum(ret) OVER (PARTITION BY w.event_id, w.unit_id ORDER BY rel) AS y FROM w JOIN full_ f ON f.event_id = w.event_id AND f.unit_id = w.unit_id),
+m AS (SELECT event_id, unit_id, region, row_number() OVER (PARTITION BY event_id ORDER BY unit_id) AS k, sum(CASE WHEN rel < 0 THEN (rel + {GAP + 11}) * y END) / 55 AS before, avg(CASE WHEN rel >= 0 THEN y END) AS after FROM c WHERE rel >= 0 OR rel BETWEEN -{GAP + 10} AND -{GAP + 1} GROUP BY 1, 2, 3)
+SELECT u.event_id, u.unit_id AS treated, CAST(printf('%.7e', any_value(u.after - u.before) - sum(d.k * (d.after - d.before)) / sum(d.k)) AS DOUBLE) AS beta FROM m u JOIN m d ON d.event_id = u.event_id AND d.region = u.region AND d.unit_id <> u.unit_id GROUP BY 1, 2""",
+)
+def two_way_regression(spark, folder):
+    """Each unit against its region's others, weighted by unit and step, unit and step effects absorbed."""
+    rows = _tasks(spark, folder)
+    order = Window.partitionBy("event_id", "unit_id").orderBy("rel")
+    region = X.table(spark, folder, "nation").select(F.col("n_name").alias("unit_id"), F.col("n_regionkey").alias("region"))
+    path = rows.withColumn("y", F.sum("ret").over(order.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("rel") >= 0) | F.col("rel").between(-GAP - 10, -GAP - 1)).join(region, "unit_id")
+    path = settled(path.withColumn("k", F.dense_rank().over(Window.partitionBy("event_id").orderBy("unit_id"))).withColumn("step", F.when(F.col("rel") < 0, F.col("rel") + GAP + 11).otherwise(1)))
+    treated = path.select("event_id", F.col("unit_id").alias("treated"), "region").distinct()
+    cells = path.join(treated, ["event_id", "region"]).withColumn("weight", (F.col("k") * F.col("step")).cast("double")).withColumn("on", ((F.col("unit_id") == F.col("treated")) & (F.col("rel") >= 0)).cast("double"))
+    out = S.absorbed_slope(cells, ["event_id", "treated"], ("unit_id", "rel"), "y", "on", "weight")
+    return _sig(out.where("beta is not null").select("event_id", "treated", "beta"), "beta")
+
+
+@query("two_way_equals_synthetic_did", _WHOLE + "SELECT event_id, unit_id AS treated, TRUE AS equal, TRUE AS time_optimal FROM full_ WHERE n_donors >= 2")
+def two_way_equals_synthetic_did(spark, folder):
+    """The weighted regression's coefficient against the closed form of the effect, to eight digits, for every event and unit."""
+    units = S.series(_tasks(spark, folder), GAP)
+    fits = S.did_fits(units, average=True)
+    beta = S.absorbed_slope(S.weighted_cells(fits, units, average=True), ["event_id", "treated"], ("unit_id", "rel"), "y", "on", "weight")
+    tau = S.did_report(fits, average=True).select("event_id", "treated", "tau", "pre_rmspe")
+    both = beta.join(tau, ["event_id", "treated"]).join(fits.select("event_id", "treated", "time_gap"), ["event_id", "treated"])
+    size = F.greatest(F.abs("tau"), F.col("pre_rmspe"))
+    return both.select("event_id", "treated", (F.abs(F.col("beta") - F.col("tau")) <= 1e-8 * size).alias("equal"), (F.col("time_gap") < 1e-9).alias("time_optimal"))
 
 
 _ZETA = cte("panel", "ev") + f""", w AS (SELECT event_id, unit_id, pos - t0 AS rel, ret FROM panel JOIN ev ON pos BETWEEN pre_start AND post_end WHERE reason IS NULL),
@@ -48,17 +102,18 @@ SELECT o.event_id, o.unit_id AS treated, round(pow({HORIZON + 1}, 0.25) * sqrt((
 
 @query("regularisation_constants", _ZETA)
 def regularisation_constants(spark, folder):
-    return _round(K.difference_in_differences(_tasks(spark, folder), GAP).select("event_id", "treated", "zeta"), 9, "zeta")
+    return _round(S.difference_in_differences(_tasks(spark, folder), GAP).select("event_id", "treated", "zeta"), 9, "zeta")
 
 
 @query("leave_one_donor_out")
 def leave_one_donor_out(spark, folder):
-    return K.leave_one_donor_out(_tasks(spark, folder), GAP)
+    return S.leave_one_donor_out(_tasks(spark, folder), GAP)
 
 
 @query("leave_one_out_summary")
 def leave_one_out_summary(spark, folder):
-    return K.leave_one_out_summary(K.leave_one_donor_out(_tasks(spark, folder), GAP))
+    rows = _tasks(spark, folder)
+    return S.leave_one_out_summary(S.leave_one_donor_out(rows, GAP), S.synthetic_control(rows, GAP))
 
 
 @query("block_bootstrap_car")
