@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import draws as U
+
 
 def simplex_projection(v: np.ndarray) -> np.ndarray:
     """The nearest point whose parts are not negative and sum to 1."""
@@ -108,7 +110,11 @@ def estimator_placebos(estimates: DataFrame) -> DataFrame:
 
 
 def block_bootstrap(ar: DataFrame, gap: int, horizon: int, block: int = 5, draws: int = 2000, seed: int = 20260815) -> DataFrame:
-    """(event_id, unit_id, tau, p, low, high): circular blocks of demeaned pre-event returns against the CAR; p may be 0."""
+    """(event_id, unit_id, tau, p, low, high): circular blocks of demeaned pre-event returns against the CAR; p may be 0.
+
+    The start of block b of draw d is draw number d * blocks + b of the stream of
+    the event and unit; the last block is cut to the steps after the event.
+    """
 
     def run(task: pd.DataFrame) -> pd.DataFrame:
         task = task.sort_values("rel")
@@ -116,14 +122,15 @@ def block_bootstrap(ar: DataFrame, gap: int, horizon: int, block: int = 5, draws
         post = task.loc[(task["rel"] >= 0) & (task["rel"] <= horizon), "ar"].to_numpy()
         if not len(pre) or not len(post) or np.isnan(pre).any() or np.isnan(post).any():
             return pd.DataFrame([], columns=["event_id", "unit_id", "tau", "p", "low", "high"])
-        key = f"{task['event_id'].iloc[0]}|{task['unit_id'].iloc[0]}"
-        rng = np.random.default_rng([seed, *key.encode()])
-        centred = pre - pre.mean()
-        starts = rng.integers(0, len(pre), (draws, -(-len(post) // block)))
-        at = (starts[:, :, None] + np.arange(block)) % len(pre)
-        drawn = centred[at].reshape(draws, -1)[:, : len(post)].sum(1)
+        event, unit = task["event_id"].iloc[0], task["unit_id"].iloc[0]
+        blocks = -(-len(post) // block)
+        running = np.concatenate([[0.0], np.cumsum(np.resize(pre - pre.mean(), len(pre) + block))])
+        starts = U.below(U.hashes(U.stream(seed, event, unit), np.arange(draws * blocks)), len(pre)).reshape(draws, blocks)
+        lengths = np.full(blocks, block)
+        lengths[-1] = len(post) - block * (blocks - 1)
+        drawn = (running[starts + lengths] - running[starts]).sum(1)
         tau = float(post.sum())
-        return pd.DataFrame({"event_id": [task["event_id"].iloc[0]], "unit_id": [task["unit_id"].iloc[0]], "tau": [tau], "p": [float((np.abs(drawn) >= abs(tau)).mean())], "low": [float(np.quantile(drawn, 0.025))], "high": [float(np.quantile(drawn, 0.975))]})
+        return pd.DataFrame({"event_id": [event], "unit_id": [unit], "tau": [tau], "p": [float((np.abs(drawn) >= abs(tau)).mean())], "low": [float(np.quantile(drawn, 0.025))], "high": [float(np.quantile(drawn, 0.975))]})
 
     return ar.groupBy("event_id", "unit_id").applyInPandas(run, "event_id string, unit_id string, tau double, p double, low double, high double")
 

@@ -5,7 +5,8 @@ residuals by one weight, so its slope and its error hang only on a few sums of
 each cluster: draws never see a row.  A permutation within events leaves all
 sums of squares as they are up to the controls' part, so an event gives a few
 sums for each draw and draws are totals over events.  One event's units are one
-group; nothing else is gathered.
+group for each chunk of draws; nothing else is gathered.  Draws are a function of
+seed, name and number, so that they repeat however they are dealt.
 """
 
 from __future__ import annotations
@@ -17,10 +18,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import draws as U
 from tidemark.functions.tails import t_two_sided
 from tidemark.operators.dose import WEIGHTS, NotIdentified, complete_cases, p_floor
 from tidemark.operators.regression import demeaned
 
+CHUNK = 500  #: draws of one task
+ROUNDING = 1e-9  #: a statistic this close to the observed one equals it
+
 
 class _Fit:
     """Sums of a fit with ``size - 1`` controls: by cluster, and what follows for any weights."""
@@ -55,8 +60,10 @@ def wild_bootstrap(rows: DataFrame, weights: str, exposure: str = "exposure", co
 
     ``weights`` (rademacher or webb) is never defaulted.  Clusters are
     ``cluster_id`` where the rows have it, else events.  p_wild is (1 + extreme)
-    / (draws + 1); p_random the plain share, which may be 0.  Draws are dealt in
-    chunks, each with its own seeded stream.  Refused where the exposure does
+    / (draws + 1); p_random the plain share, which may be 0; what equals the
+    observed statistic up to rounding counts as extreme.  A cluster's weights
+    are drawn from the stream of its name; a permutation orders an event's units
+    by a draw from each one's stream, ties by unit.  Refused where the exposure does
     not vary within any event once the controls are taken out.
     """
     if weights not in WEIGHTS:
@@ -77,17 +84,18 @@ def wild_bootstrap(rows: DataFrame, weights: str, exposure: str = "exposure", co
     beta, se = (float(v[0]) for v in fit.slopes(np.ones((len(table), 1))))
     t0 = beta / se if se > 0 else float("nan")
 
+    streams, step = np.array([U.stream(seed, c) for c in table["cluster_id"]], np.uint64), CHUNK
+
     def wild(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for number, count in zip(frame["chunk"], frame["size"], strict=True):
-                w = points[np.random.default_rng([seed, int(number)]).integers(0, len(points), (len(table), int(count)))]
+                w = points[U.below(U.hashes(streams[:, None], int(number) * step + np.arange(int(count))[None, :]), len(points))]
                 b, s = fit.slopes(w)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     t = b / s
                 finite = np.isfinite(t)
-                yield pd.DataFrame({"finite": [int(finite.sum())], "wild": [int((np.abs(t[finite]) >= abs(t0)).sum())]})
+                yield pd.DataFrame({"finite": [int(finite.sum())], "wild": [int((np.abs(t[finite]) >= abs(t0) * (1 - ROUNDING)).sum())]})
 
-    step = 500
     chunks = spark.createDataFrame([(n, min(step, draws - n * step)) for n in range(-(-draws // step))], "chunk int, size int")
     boot = chunks.mapInPandas(wild, "finite long, wild long").agg(F.sum("finite").alias("f"), F.sum("wild").alias("w"))
 
@@ -95,19 +103,22 @@ def wild_bootstrap(rows: DataFrame, weights: str, exposure: str = "exposure", co
         task = task.sort_values("unit_id", kind="stable")
         xs = np.array(task["x"].tolist(), float)
         r = task["y"].to_numpy() - xs[:, 1:] @ fit.delta
-        rng = np.random.default_rng([seed, 1, *str(task["event_id"].iloc[0]).encode()])
-        out = np.empty((draws, size))
-        for n in range(0, draws, 250):
-            count = min(250, draws - n)
-            moved = xs[rng.permuted(np.tile(np.arange(len(xs)), (count, 1)), axis=1), 0]
-            out[n : n + count, 0], out[n : n + count, 1:] = moved @ r, moved @ xs[:, 1:]
-        return pd.DataFrame({"draw": np.arange(draws), "s": out.tolist()})
-
-    by_event = d.select("event_id", "unit_id", "y", "x").groupBy("event_id").applyInPandas(permuted, "draw int, s array<double>")
+        event, first = task["event_id"].iloc[0], int(task["chunk"].iloc[0]) * step
+        own = np.array([U.stream(seed, event, unit) for unit in task["unit_id"]], np.uint64)
+        numbers = np.arange(first, min(first + step, draws))
+        out = np.empty((len(numbers), size))
+        few = max(2_000_000 // len(xs), 1)  # draws at a time
+        for n in range(0, len(numbers), few):
+            moved = xs[np.argsort(U.hashes(own[None, :], numbers[n : n + few, None]), axis=1, kind="stable"), 0]
+            out[n : n + few, 0], out[n : n + few, 1:] = moved @ r, moved @ xs[:, 1:]
+        return pd.DataFrame({"draw": numbers, "s": out.tolist()})
+
+    dealt = d.select("event_id", "unit_id", "y", "x", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // step))).alias("chunk"))
+    by_event = dealt.groupBy("event_id", "chunk").applyInPandas(permuted, "draw int, s array<double>")
     totals = by_event.groupBy("draw").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(size)]).alias("s"))
     inverse, scale = fit.inverse.reshape(-1).tolist(), float(fit.scale)
     part = sum((F.col("s")[1 + i] * F.col("s")[1 + j] * inverse[i * (size - 1) + j] for i in range(size - 1) for j in range(size - 1)), F.lit(0.0))
-    shuffled = totals.agg(F.count(F.when(F.abs(F.col("s")[0] / F.nullif(F.lit(scale) - part, F.lit(0.0))) >= abs(beta) * (1 - 1e-12), 1)).alias("r"), F.count("*").alias("n"))
+    shuffled = totals.agg(F.count(F.when(F.abs(F.col("s")[0] / F.nullif(F.lit(scale) - part, F.lit(0.0))) >= abs(beta) * (1 - ROUNDING), 1)).alias("r"), F.count("*").alias("n"))
     constants = {"beta": beta, "t": t0, "p_cluster": t_two_sided(t0, max(len(table) - 1, 1)), "p_floor": p_floor(len(table), draws, len(points))}
     found = boot.crossJoin(shuffled)
     return found.select(*[F.lit(v).alias(k) for k, v in constants.items()], ((1 + F.col("w")) / (F.col("f") + 1)).alias("p_wild"), (F.col("r") / F.col("n")).alias("p_random"), F.col("n").alias("draws"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import draws as U
 from tidemark.operators import dose as D
 from tidemark.operators import effects as E
 from tidemark.operators import exposure as O
@@ -199,9 +200,48 @@ def design_limits(spark, folder):
     return spark.range(5, 100, 5).select(F.col("id").cast("int").alias("donors"), F.round(1.0 / (F.col("id") + 1), 9).alias("least_p"), need.alias("donors_for_5_percent"), (F.col("id") >= need).alias("feasible"))
 
 
-@query("wild_bootstrap_p")
+def resampled(rows: str, controls: tuple[str, ...], seed: int = 20260815, draws: int = 2000) -> str:
+    """CTEs after one named ``rows`` (event_id, unit_id, cluster_id, exposure x0 and effect y less event means, orthogonal controls, x and y less those); the last, ``boot``, has one row of all figures.
+
+    Weights have six points; sums by cluster give each draw's slope and error.
+    """
+    points = "[-sqrt(1.5), -1.0, -sqrt(0.5), sqrt(0.5), 1.0, sqrt(1.5)]"
+    k = range(len(controls))
+    by_cluster = "".join(f", sum(x * {z}) AS xz{i}, sum({z} * y) AS zy{i}" for i, z in enumerate(controls))
+    squares = "".join(f", sum({z} * {z}) AS zz{i}" for i, z in enumerate(controls))
+    gammas = "".join(f", sum(w * zy{i}) / any_value(zz{i}) AS g{i}" for i in k)
+    taken = "".join(f" - g{i} * xz{i}" for i in k)
+    shares = "".join(f" - pow(sum(p.x0 * q.{z}), 2) / any_value(zz{i})" for i, z in enumerate(controls))
+    error = f"sqrt(g / greatest(g - 1.0, 1) * (n - 1.0) / greatest(n - events - {len(controls) + 1}, 1) * sum(pow(score, 2))) / any_value(xx)"
+    return f""",
+cs AS (SELECT cluster_id, sum(x * y) AS xy, sum(x * x) AS xx{by_cluster}, {U.stream_sql(str(seed), "cluster_id")} AS s FROM {rows} GROUP BY 1),
+al AS (SELECT count(*) AS n, count(DISTINCT event_id) AS events, count(DISTINCT cluster_id) AS g, sum(x * x) AS xx, sum(x0 * x0) AS x0x0, sum(x * y) / sum(x * x) AS beta{squares} FROM {rows}),
+w AS (SELECT 0 AS draw, 1.0 AS w, cs.* FROM cs UNION ALL SELECT range + 1, {points}[1 + {U.below_sql(U.hash_sql("s", "range"), "6")}], cs.* FROM cs, range({draws})),
+bd AS (SELECT draw, sum(w * cs.xy) / any_value(al.xx) AS b{gammas} FROM w cs, al GROUP BY draw),
+bt AS (SELECT draw, any_value(b) AS b, any_value(b) / ({error}) AS t FROM (SELECT w.draw, b, n, events, g, al.xx, w * xy - b * w.xx{taken} AS score FROM w JOIN bd ON bd.draw = w.draw, al) GROUP BY draw, n, events, g),
+wild AS (SELECT any_value(o.b) AS beta, any_value(o.t) AS t0, count(CASE WHEN abs(a.t) >= abs(o.t) * (1 - 1e-9) THEN 1 END) AS extreme, count(CASE WHEN isfinite(a.t) THEN 1 END) AS finite_ FROM bt a, bt o WHERE a.draw > 0 AND o.draw = 0),
+us AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY unit_id) AS k, {U.stream_sql(str(seed), "event_id", "unit_id")} AS s FROM {rows}),
+pm AS (SELECT range AS draw, event_id, x0, row_number() OVER (PARTITION BY range, event_id ORDER BY {U.hash_sql("s", "range")}, unit_id) AS k FROM us, range({draws})),
+pr AS (SELECT p.draw, sum(p.x0 * q.y) / (any_value(al.x0x0){shares}) AS b FROM pm p JOIN us q ON q.event_id = p.event_id AND q.k = p.k, al GROUP BY p.draw),
+rnd AS (SELECT avg(CASE WHEN abs(pr.b) >= abs(al.beta) * (1 - 1e-9) THEN 1.0 ELSE 0.0 END) AS p_random, count(*) AS draws FROM pr, al),
+boot AS (SELECT wild.beta, t0 AS t, g, greatest(g - 1, 1) AS nu, atan(abs(t0) / sqrt(greatest(g - 1, 1))) AS a, greatest(least(2 / pow(6.0, g), 1.0), 1.0 / {draws + 1}) AS p_floor, (1.0 + extreme) / (finite_ + 1) AS p_wild, p_random, draws FROM wild, rnd, al)"""
+
+
+BOOTED = ("beta", "t", "p_cluster", "p_floor", "p_wild", "p_random")
+
+
+def booted_sql(more: str = "") -> str:
+    return " SELECT " + ", ".join(f"CAST(printf('%.7e', {TAIL if c == 'p_cluster' else c}) AS DOUBLE) AS {c}" for c in BOOTED) + f", CAST(draws AS BIGINT) AS draws{more} FROM boot"
+
+
+#: The two-sided tail of Student's t with ``nu`` degrees, ``a`` the arctangent of |t| over their root.
+TAIL = """CASE WHEN nu % 2 = 0 THEN 1 - sin(a) * list_sum(list_transform(range(0, nu // 2), lambda i: gamma(i + 0.5) / (gamma(0.5) * gamma(i + 1)) * pow(cos(a), 2 * i)))
+ ELSE 1 - 2 / pi() * (a + CASE WHEN nu > 1 THEN sin(a) * cos(a) * list_sum(list_transform(range(0, (nu - 1) // 2), lambda i: gamma(i + 1) * gamma(1.5) / gamma(i + 1.5) * pow(cos(a), 2 * i))) ELSE 0 END) END"""
+
+
+@query("wild_bootstrap_p", _DM.rstrip() + ", dr AS (SELECT event_id, unit_id, event_id AS cluster_id, x AS x0, x, y FROM dm)" + resampled("dr", ()) + booted_sql())
 def wild_bootstrap_p(spark, folder):
-    return G.wild_bootstrap(_dose(spark, folder), "webb")
+    return _sig(G.wild_bootstrap(_dose(spark, folder), "webb"), *BOOTED)
 
 
 @query("minimum_detectable_slope", _DM + "SELECT CAST(printf('%.7e', se) AS DOUBLE) AS se, CAST(printf('%.7e', se * 2.8015852181465855) AS DOUBLE) AS mde FROM (SELECT sqrt(count(*) / CAST(greatest(count(*) - 1, 1) AS DOUBLE) * (any_value(b.n) - 1) / greatest(any_value(b.n) - count(*) - 1, 1) * sum(score * score)) / nullif(any_value(sxx), 0) AS se FROM sc, b)")

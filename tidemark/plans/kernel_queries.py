@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import draws as U
 from tidemark.operators import kernels as K
 from tidemark.operators import synthetic as S
 from tidemark.operators.settle import settled
@@ -116,9 +117,23 @@ def leave_one_out_summary(spark, folder):
     return S.leave_one_out_summary(S.leave_one_donor_out(rows, GAP), S.synthetic_control(rows, GAP))
 
 
-@query("block_bootstrap_car")
+_BLOCK, _DRAWS, _SEED = 5, 2000, 20260815
+_BLOCKS = -(-(HORIZON + 1) // _BLOCK)
+
+
+@query(
+    "block_bootstrap_car",
+    cte("ar") + f""", pre AS (SELECT event_id, unit_id, list(ar - m ORDER BY rel) AS a FROM (SELECT event_id, unit_id, rel, ar, avg(ar) OVER (PARTITION BY event_id, unit_id) AS m FROM ar WHERE rel < -{GAP}) GROUP BY 1, 2 HAVING count(ar) = count(*)),
+post AS (SELECT event_id, unit_id, sum(ar) AS tau FROM ar WHERE rel BETWEEN 0 AND {HORIZON} GROUP BY 1, 2 HAVING count(ar) = {HORIZON + 1}),
+src AS (SELECT event_id, unit_id, tau, len(a) AS n, list_concat(a, a[1:{_BLOCK}]) AS c, {U.stream_sql(str(_SEED), "event_id", "unit_id")} AS s FROM pre JOIN post USING (event_id, unit_id)),
+sums AS (SELECT event_id, unit_id, tau, n, s, list_transform(range(1, n + 1), lambda i: list_sum(c[i:i + {_BLOCK - 1}])) AS whole, list_transform(range(1, n + 1), lambda i: list_sum(c[i:i + {HORIZON - _BLOCK * (_BLOCKS - 1)}])) AS cut FROM src),
+d AS (SELECT event_id, unit_id, range AS draw, unnest(range({_BLOCKS})) AS b, tau, n, s FROM (SELECT event_id, unit_id, tau, n, s FROM sums), range({_DRAWS})),
+h AS (SELECT event_id, unit_id, draw, b, {U.below_sql(U.hash_sql("s", f"draw * {_BLOCKS} + b"), "n")} AS start FROM d),
+t AS (SELECT h.event_id, h.unit_id, draw, any_value(tau) AS tau, sum(CASE WHEN b < {_BLOCKS - 1} THEN whole[start + 1] ELSE cut[start + 1] END) AS v FROM h JOIN sums USING (event_id, unit_id) GROUP BY 1, 2, 3)
+SELECT event_id, unit_id, round(any_value(tau), 5) + 0.0 AS tau, avg(CASE WHEN abs(v) >= abs(tau) THEN 1.0 ELSE 0.0 END) AS p, round(quantile_cont(v, 0.025), 5) + 0.0 AS low, round(quantile_cont(v, 0.975), 5) + 0.0 AS high FROM t GROUP BY 1, 2""",
+)
 def block_bootstrap_car(spark, folder):
-    return K.block_bootstrap(_ar(spark, folder), GAP, HORIZON)
+    return _round(K.block_bootstrap(_ar(spark, folder), GAP, HORIZON, _BLOCK, _DRAWS, _SEED), 5, "tau", "low", "high")
 
 
 @query(

@@ -11,7 +11,7 @@ from tidemark.operators import regression as R
 from tidemark.operators import resampling as G
 from tidemark.operators import timing as T
 from tidemark.operators.settle import settled
-from tidemark.plans.dose_queries import _exposure
+from tidemark.plans.dose_queries import BOOTED, TAIL, _exposure, booted_sql, resampled
 from tidemark.plans.panel_queries import _fits, _GROUPS
 from tidemark.plans.panel_queries import _sig as sig
 from tidemark.plans.registry import query
@@ -69,9 +69,6 @@ f3 AS (SELECT *, {less("x2", "z3", "x")}, {less("y2", "z3", "y")} FROM f2 WINDOW
 f AS (SELECT *, sum(x * y) OVER w / nullif(sum(x * x) OVER w, 0) AS beta, y - x * sum(x * y) OVER w / nullif(sum(x * x) OVER w, 0) AS e FROM f3 WINDOW w AS (PARTITION BY b_))"""
 
 
-_TAIL = """CASE WHEN nu % 2 = 0 THEN 1 - sin(a) * list_sum(list_transform(range(0, nu // 2), lambda i: gamma(i + 0.5) / (gamma(0.5) * gamma(i + 1)) * pow(cos(a), 2 * i)))
- ELSE 1 - 2 / pi() * (a + CASE WHEN nu > 1 THEN sin(a) * cos(a) * list_sum(list_transform(range(0, (nu - 1) // 2), lambda i: gamma(i + 1) * gamma(1.5) / gamma(i + 1.5) * pow(cos(a), 2 * i))) ELSE 0 END) END"""
-
 _FIT = taken_out("reg") + """,
 sc AS (SELECT cluster_id, sum(x * e) AS u FROM f GROUP BY 1),
 est AS (SELECT n, events, g, beta, sqrt(g / greatest(g - 1.0, 1) * (n - 1.0) / greatest(n - events - 4, 1) * uu) / xx AS se, 1 - rss / total AS r2, rss, xsd FROM
@@ -88,7 +85,7 @@ def car_panel_reasons(spark, folder):
     return panel(spark, folder).groupBy(F.coalesce(F.substring_index("reason", ":", 1), F.lit("kept")).alias("reason")).agg(F.count("*").alias("pairs"))
 
 
-@query("dose_response_with_controls", _REG + _FIT + f" SELECT CAST(n AS BIGINT) AS n, CAST(events AS BIGINT) AS events, CAST(g AS BIGINT) AS clusters, {s('beta')} AS beta, {s('se')} AS se, {s('beta / se')} AS t, {s('p')} AS p, {s('r2')} AS r2 FROM (SELECT *, {_TAIL} AS p FROM (SELECT *, greatest(g - 1, 1) AS nu, atan(abs(beta / se) / sqrt(greatest(g - 1, 1))) AS a FROM est))")
+@query("dose_response_with_controls", _REG + _FIT + f" SELECT CAST(n AS BIGINT) AS n, CAST(events AS BIGINT) AS events, CAST(g AS BIGINT) AS clusters, {s('beta')} AS beta, {s('se')} AS se, {s('beta / se')} AS t, {s('p')} AS p, {s('r2')} AS r2 FROM (SELECT *, {TAIL} AS p FROM (SELECT *, greatest(g - 1, 1) AS nu, atan(abs(beta / se) / sqrt(greatest(g - 1, 1))) AS a FROM est))")
 def dose_response_with_controls(spark, folder):
     out = R.estimates(kept(spark, folder)).where("term = 'exposure'").drop("term")
     return sig(out, "beta", "se", "t", "p", "r2")
@@ -183,6 +180,6 @@ def identifying_structure(spark, folder):
     return R.structure(kept(spark, folder))
 
 
-@query("wild_bootstrap_with_controls")
+@query("wild_bootstrap_with_controls", _REG + taken_out("reg") + ", dr AS (SELECT event_id, unit_id, cluster_id, x0, z1, z2, z3, x, y FROM f)" + resampled("dr", ("z1", "z2", "z3")) + booted_sql(f", {s('p_wild')} AS headline_p, p_floor <= 0.05 AS detectable, p_wild <= p_floor * 1.0001 AS at_the_floor"))
 def wild_bootstrap_with_controls(spark, folder):
-    return G.verdicts(G.wild_bootstrap(kept(spark, folder), "webb", controls=R.CONTROLS))
+    return sig(G.verdicts(G.wild_bootstrap(kept(spark, folder), "webb", controls=R.CONTROLS)), *BOOTED, "headline_p")
