@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.ordering import dominated, running
+from tidemark.operators.settle import settled
+
 
 def _spans(windows: DataFrame, first: str, last: str, *keep: str) -> DataFrame:
     """One row a position from first to last (SQL expressions), so that windows meet a panel by an equi-join."""
@@ -94,43 +97,84 @@ def placebo_p_values(effects: DataFrame) -> DataFrame:
     return effects.select("event_id", "unit_id", at_least.alias("rank"), (at_least / n).alias("p_value"), (F.lit(1.0) / n).alias("p_floor"))
 
 
-def placebo_ladder(ratios: DataFrame, cutoffs: tuple[float, ...] = (float("inf"), 20.0, 5.0, 2.0)) -> DataFrame:
-    """(event_id, unit_id, cutoff, placebos, p_ratio): placebos whose fit before is within a multiple of the unit's own.
+def placebo_ladder(units: DataFrame, cutoffs: tuple[float, ...] = (float("inf"), 20.0, 5.0, 2.0)) -> DataFrame:
+    """(event_id, unit_id, cutoff, placebos, p_ratio, p_tau, p_floor) of ``units`` (event_id, unit_id, pre_rmspe, ratio, score): the placebos are those whose fit before is within a multiple of the unit's own.
 
-    One event's units are one group, compared in blocks of arrays; no pair of
-    units becomes a row.  A missing ratio is never as extreme as another.
+    ``score`` is how far an effect goes the expected way (``direction_score``).
+    p = (1 + placebos at least as extreme) / (1 + placebos); null without
+    placebos.  A missing figure is never as extreme as another, and a missing fit
+    is within no finite multiple.  Units are numbered by fit and by each
+    statistic, and placebos are counted by dominance over both numbers, an event
+    over many tasks.  An event of one unit has no row.
     """
-
-    def run(task: pd.DataFrame) -> pd.DataFrame:
-        task = task.sort_values("unit_id", kind="stable")
-        pre, ratio = task["pre_rmspe"].to_numpy(float), task["ratio"].to_numpy(float)
-        parts = []
-        for begin in range(0, len(task), 512):
-            rows = slice(begin, begin + 512)
-            extreme = ratio[None, :] >= ratio[rows, None]
-            extreme[np.arange(len(extreme)), np.arange(begin, begin + len(extreme))] = False
-            for cutoff in cutoffs:
-                inside = np.ones(extreme.shape, bool) if np.isinf(cutoff) else pre[None, :] <= pre[rows, None] * cutoff
-                inside[np.arange(len(extreme)), np.arange(begin, begin + len(extreme))] = False
-                n = inside.sum(1)
-                parts.append(pd.DataFrame({"event_id": task["event_id"].iloc[rows], "unit_id": task["unit_id"].iloc[rows], "cutoff": cutoff, "placebos": n, "p_ratio": (1 + (inside & extreme).sum(1)) / (1 + n)}))
-        out = pd.concat(parts, ignore_index=True)
-        return out if len(task) > 1 else out.iloc[:0]
-
-    return ratios.select("event_id", "unit_id", "pre_rmspe", "ratio").groupBy("event_id").applyInPandas(run, "event_id string, unit_id string, cutoff double, placebos long, p_ratio double")
+    finite = [c for c in cutoffs if c != float("inf")]
+    value = {"pre": F.col("pre_rmspe"), "ratio": -F.col("ratio"), "tau": -F.col("score")}
+    value = {k: F.nanvl(v.cast("double"), F.lit(None).cast("double")) for k, v in value.items()}
+    units = units.select("event_id", "unit_id", *[v.alias(k) for k, v in value.items()])
+    entries = [F.struct(F.lit(k).alias("stat"), F.col(k).alias("v"), F.lit(0).alias("kind"), F.lit(None).cast("double").alias("cutoff"), F.lit(1).alias("w")) for k in value]
+    entries += [F.struct(F.lit("pre").alias("stat"), (F.col("pre") * c).alias("v"), F.lit(1).alias("kind"), F.lit(c).alias("cutoff"), F.lit(0).alias("w")) for c in finite]
+    stacked = units.select("event_id", "unit_id", F.explode(F.array(*entries)).alias("e")).select("event_id", "unit_id", "e.*").where("v is not null")
+    placed = settled(running(stacked, ["event_id", "stat"], ["v", "kind", "unit_id"], "w"))
+    points = placed.where("kind = 0")
+    fits = points.where("stat = 'pre'").select("event_id", "unit_id", F.col("running").alias("s"))
+    upto = placed.where("kind = 1").select("event_id", "unit_id", "cutoff", F.col("running").alias("t"))
+    shown = points.where("stat <> 'pre'").select("event_id", "stat", "unit_id", "v", F.col("running").alias("p"))
+    reach = shown.groupBy("event_id", "stat", "v").agg(F.max("p").alias("r"))
+    reach = shown.join(reach, ["event_id", "stat", "v"]).select("event_id", "stat", "unit_id", "r")
+    both = shown.join(fits, ["event_id", "unit_id"]).select("event_id", "stat", "p", "s")
+    asked = reach.join(upto, ["event_id", "unit_id"]).select("event_id", "stat", "unit_id", "cutoff", "r", "t")
+    near = dominated(both, asked, ["event_id", "stat"], ["unit_id", "cutoff"]).groupBy("event_id", "unit_id", "cutoff").pivot("stat", ["ratio", "tau"]).agg(F.max("dominated"))
+    whole = reach.withColumn("cutoff", F.lit(float("inf"))).groupBy("event_id", "unit_id", "cutoff").pivot("stat", ["ratio", "tau"]).agg(F.max("r"))
+
+    count = units.groupBy("event_id").agg(F.count("*").alias("units"))
+    grid = units.join(count, "event_id").where("units > 1").withColumn("cutoff", F.explode(F.array(*map(F.lit, cutoffs))))
+    grid = grid.join(fits, ["event_id", "unit_id"], "left").join(upto, ["event_id", "unit_id", "cutoff"], "left").join(near.unionByName(whole).withColumnsRenamed({"ratio": "as_ratio", "tau": "as_tau"}), ["event_id", "unit_id", "cutoff"], "left")
+    # the unit itself is among those counted where it is within its own multiple and has the statistic
+    endless = F.col("cutoff") == float("inf")
+    itself = F.when(endless | (F.col("s") <= F.col("t")), 1).otherwise(0)
+    n = F.when(endless, F.col("units")).otherwise(F.coalesce("t", F.lit(0))) - itself
+
+    def p(stat: str) -> Column:
+        extreme = F.coalesce(f"as_{stat}", F.lit(0)) - F.when(F.col(stat).isNotNull(), itself).otherwise(0)
+        return F.when(n > 0, (1 + extreme) / (1 + n)).alias(f"p_{stat}")
+
+    return grid.select("event_id", "unit_id", "cutoff", n.alias("placebos"), p("ratio"), p("tau"), (F.lit(1.0) / (1 + n)).alias("p_floor"))
+
+
+def direction_score(tau: Column, expected: Column) -> Column:
+    """How far an effect goes the expected way: down where ``expected`` is negative, up where positive, either way else."""
+    return F.when(expected == "negative", -tau).when(expected == "positive", tau).otherwise(F.abs(tau))
 
 
 def pretrend(ar: DataFrame, gap: int) -> DataFrame:
-    """(event_id, unit_id, slope, drift, z): trend of the cumulative gap before the embargo, and drift across it."""
+    """(event_id, unit_id, slope, drift, z, n_holdout): trend of the cumulative gap before the embargo, and drift across it in deviations of its steps.
+
+    Steps are the differences of the gap within the estimation window, of which
+    the first day has none.
+    """
     order = Window.partitionBy("event_id", "unit_id").orderBy("rel")
     path = ar.where("rel < 0").withColumn("g", F.sum("ar").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    path = path.withColumn("step", F.col("g") - F.lag("g").over(order))
     pre = F.col("rel") < -gap
     out = path.groupBy("event_id", "unit_id").agg(
         F.regr_slope(F.when(pre, F.col("g")), F.when(pre, F.col("rel").cast("double"))).alias("slope"),
         (F.max(F.when(F.col("rel") == -1, F.col("g"))) - F.max(F.when(F.col("rel") == -gap - 1, F.col("g")))).alias("drift"),
-        (F.stddev_samp(F.when(pre & (F.col("rel") > F.lit(-10**6)), F.col("ar")))).alias("sd"),
-    )
-    return out.select("event_id", "unit_id", "slope", "drift", (F.col("drift") / F.nullif(F.col("sd") * F.sqrt(F.lit(float(gap))), F.lit(0.0))).alias("z"))
+        F.stddev_samp(F.when(pre, F.col("step"))).alias("sd"), F.count(F.when(~pre, F.col("g"))).alias("n_holdout"),
+    )
+    scale = F.col("sd") * F.sqrt(F.col("n_holdout").cast("double"))
+    return out.select("event_id", "unit_id", "slope", "drift", (F.col("drift") / F.nullif(scale, F.lit(0.0))).alias("z"), "n_holdout")
+
+
+def pretrend_verdict(trends: DataFrame, slopes: DataFrame, level: float = 0.05, far: float = 1.96) -> DataFrame:
+    """(event_id, unit_id, slope_p, trend_before, drift_far, clean): ``pretrend`` rows with the p of ``newey_west_slope``.
+
+    A trend shows where its p is below ``level``, a drift where its z is more than
+    ``far`` either way; a missing figure shows nothing.
+    """
+    p = normal_two_sided(F.col("t"))
+    out = trends.join(slopes.select("event_id", "unit_id", "t"), ["event_id", "unit_id"])
+    trend, drift = F.coalesce(p < level, F.lit(False)), F.coalesce(F.abs("z") > far, F.lit(False))
+    return out.select("event_id", "unit_id", p.alias("slope_p"), trend.alias("trend_before"), drift.alias("drift_far"), (~(trend | drift)).alias("clean"))
 
 
 def power(effects: DataFrame, alpha: float = 0.05, target: float = 0.8) -> DataFrame:

@@ -9,11 +9,12 @@ from tidemark.operators import dose as D
 from tidemark.operators import effects as E
 from tidemark.operators import exposure as O
 from tidemark.operators import timing as T
+from tidemark.operators.settle import settled
 from tidemark.plans.dose_queries import _dose
 from tidemark.plans.panel_queries import _ar, _panel, _round, _sig, _windows
 from tidemark.plans.registry import query
 from tidemark.sources import fixtures as X
-from tidemark.sources.fixtures import GAP, cte
+from tidemark.sources.fixtures import GAP, HORIZON, cte
 
 _LAGS = " + ".join(f"2 * (1 - {k} / 11.0) * s * coalesce(lag(s, {k}) OVER (PARTITION BY event_id, unit_id ORDER BY x), 0)" for k in range(1, 11))
 
@@ -30,18 +31,52 @@ def pretrend_slope_hac(spark, folder):
     return _round(_round(E.newey_west_slope(_ar(spark, folder), GAP), 5, "slope", "se"), 3, "t")
 
 
-@query(
-    "in_time_placebo_p_values",
-    cte("panel", "ev") + """, k AS (SELECT CAST(range AS INT) - 1 AS k FROM range(0, 13)), d AS (SELECT event_id, k, CASE WHEN k = -1 THEN t0 ELSE t0 - 9 - k * 6 END AS p FROM ev, k), dd AS (SELECT * FROM d WHERE p >= 130),
+_IN_TIME = """, k AS (SELECT CAST(range AS INT) - 1 AS k FROM range(0, 13)), d AS (SELECT event_id, k, CASE WHEN k = -1 THEN t0 ELSE t0 - 9 - k * 6 END AS p FROM ev, k), dd AS (SELECT * FROM d WHERE p >= 130),
 f AS (SELECT event_id, k, unit_id, p, regr_slope(ret, mkt) AS b, regr_intercept(ret, mkt) AS a FROM panel JOIN dd ON pos >= p - 130 AND pos < p - 10 GROUP BY 1, 2, 3, 4 HAVING count(ret) = 120),
 c AS (SELECT f.event_id, k, f.unit_id, sum(ret - a - b * mkt) AS car FROM f JOIN panel ON panel.unit_id = f.unit_id AND pos BETWEEN p AND p + 5 GROUP BY 1, 2, 3 HAVING count(ret) = 6)
-SELECT x.event_id, x.unit_id, round(x.car, 5) + 0.0 AS tau, CAST(count(*) AS BIGINT) AS placebos, round((1 + count(CASE WHEN abs(y.car) >= abs(x.car) THEN 1 END)) / CAST(1 + count(*) AS DOUBLE), 6) AS p_value
+"""
+
+
+@query(
+    "in_time_placebo_p_values",
+    cte("panel", "ev") + _IN_TIME + """SELECT x.event_id, x.unit_id, round(x.car, 5) + 0.0 AS tau, CAST(count(*) AS BIGINT) AS placebos, round((1 + count(CASE WHEN abs(y.car) >= abs(x.car) THEN 1 END)) / CAST(1 + count(*) AS DOUBLE), 6) AS p_value
 FROM c x JOIN c y ON x.event_id = y.event_id AND x.unit_id = y.unit_id AND y.k >= 0 WHERE x.k = -1 GROUP BY x.event_id, x.unit_id, x.car""",
 )
 def in_time_placebo_p_values(spark, folder):
+    return _round(_round(_in_time(spark, folder), 5, "tau"), 6, "p_value")
+
+
+def _in_time(spark, folder):
     windows = _windows(spark, folder)
     offsets = T.placebo_offsets(windows, 120, 10, 5, buffer=3, most=12)
-    return _round(_round(E.in_time_placebos(_panel(spark, folder), windows, offsets, 120, 10, 5), 5, "tau"), 6, "p_value")
+    return E.in_time_placebos(_panel(spark, folder), windows, offsets, 120, 10, 5)
+
+
+@query(
+    "pretrend_verdicts",
+    cte("ar") + f""", g AS (SELECT event_id, unit_id, CAST(rel AS DOUBLE) AS x, sum(ar) OVER (PARTITION BY event_id, unit_id ORDER BY rel ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM ar WHERE rel < 0),
+b AS (SELECT *, regr_slope(g, x) OVER w AS b, x - avg(x) OVER w AS dx, g - avg(g) OVER w AS dg FROM g WHERE x < -{GAP} WINDOW w AS (PARTITION BY event_id, unit_id)),
+s AS (SELECT event_id, unit_id, x, b, dx, dx * (dg - b * dx) AS s FROM b), p AS (SELECT event_id, unit_id, b, dx, s * s + {_LAGS} AS p FROM s),
+r AS (SELECT event_id, unit_id, abs(max(b) / nullif(sqrt(greatest(sum(p), 0)) / nullif(sum(dx * dx), 0), 0)) / sqrt(2) AS x FROM p GROUP BY 1, 2),
+h AS (SELECT event_id, unit_id, max(CASE WHEN x = -1 THEN g END) - max(CASE WHEN x = -{GAP} - 1 THEN g END) AS drift, stddev_samp(CASE WHEN x < -{GAP} THEN step END) * sqrt(count(CASE WHEN x >= -{GAP} THEN g END)) AS scale FROM (SELECT *, g - lag(g) OVER (PARTITION BY event_id, unit_id ORDER BY x) AS step FROM g) GROUP BY 1, 2),
+v AS (SELECT r.event_id, r.unit_id, CASE WHEN x > 8 THEN 0.0 ELSE greatest(1 - exp(-x * x) * list_sum(list_transform(range(0, 150), lambda n: exp((2 * n + 1) * ln(greatest(x, 1e-300)) - lgamma(n + 1.5)))), 0) END AS p, abs(drift / nullif(scale, 0)) > 1.96 AS far FROM r JOIN h USING (event_id, unit_id))
+SELECT event_id, unit_id, round(p, 6) AS slope_p, coalesce(p < 0.05, FALSE) AS trend_before, coalesce(far, FALSE) AS drift_far, NOT (coalesce(p < 0.05, FALSE) OR coalesce(far, FALSE)) AS clean FROM v""",
+)
+def pretrend_verdicts(spark, folder):
+    ar = settled(_ar(spark, folder))
+    return _round(E.pretrend_verdict(E.pretrend(ar, GAP), E.newey_west_slope(ar, GAP)), 6, "slope_p")
+
+
+@query(
+    "combined_placebos",
+    cte("panel", "ar") + f""", ef AS (SELECT event_id, unit_id, sum(ar) AS tau FROM ar WHERE rel BETWEEN 0 AND {HORIZON} GROUP BY 1, 2 HAVING count(ar) = {HORIZON + 1})""" + _IN_TIME.rstrip() + """
+SELECT event_id, unit_id, 'in space' AS placebo, round(count(*) OVER (PARTITION BY event_id ORDER BY abs(tau) DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / CAST(count(*) OVER (PARTITION BY event_id) AS DOUBLE), 6) AS p_value FROM ef
+UNION ALL SELECT x.event_id, x.unit_id, 'in time', round((1 + count(CASE WHEN abs(y.car) >= abs(x.car) THEN 1 END)) / CAST(1 + count(*) AS DOUBLE), 6) FROM c x JOIN c y ON x.event_id = y.event_id AND x.unit_id = y.unit_id AND y.k >= 0 WHERE x.k = -1 GROUP BY x.event_id, x.unit_id, x.car""",
+)
+def combined_placebos(spark, folder):
+    """A unit's effect against other units at its date, and against its own at earlier dates, side by side."""
+    space = E.placebo_p_values(E.car(_ar(spark, folder), 0, HORIZON).withColumnRenamed("car", "tau"))
+    return _round(E.combined(space, _in_time(spark, folder)), 6, "p_value")
 
 
 @query(

@@ -257,15 +257,27 @@ def rmspe_ratios(spark, folder):
     return _round(E.rmspe_ratio(_ar(spark, folder), GAP), 4, "pre_rmspe", "post_rmspe", "ratio")
 
 
-@query("placebo_ladder", _RATIOS + ", c AS (SELECT * FROM (VALUES (CAST('inf' AS DOUBLE)), (20.0), (5.0), (2.0)) AS v(cutoff)) SELECT a.event_id, a.unit_id, CASE WHEN isinf(cutoff) THEN NULL ELSE cutoff END AS cutoff, CAST(count(CASE WHEN isinf(cutoff) OR b.pre <= a.pre * cutoff THEN 1 END) AS BIGINT) AS placebos, round((1 + count(CASE WHEN (isinf(cutoff) OR b.pre <= a.pre * cutoff) AND b.ratio >= a.ratio THEN 1 END)) / CAST(1 + count(CASE WHEN isinf(cutoff) OR b.pre <= a.pre * cutoff THEN 1 END) AS DOUBLE), 6) AS p_ratio FROM rr a JOIN rr b ON a.event_id = b.event_id AND a.unit_id <> b.unit_id, c GROUP BY 1, 2, 3")
+_LADDER = _RATIOS.replace(cte("ar"), cte("ar", "ann")).rstrip() + f""", ta AS (SELECT event_id, unit_id, sum(ar) AS tau FROM ar WHERE rel BETWEEN 0 AND {HORIZON} GROUP BY 1, 2 HAVING count(ar) = {HORIZON + 1}),
+us AS (SELECT rr.event_id, rr.unit_id, pre, ratio, CASE direction WHEN 'tighten' THEN -tau WHEN 'loosen' THEN tau ELSE abs(tau) END AS score FROM rr JOIN ann ON ann.event_id = rr.event_id LEFT JOIN ta ON ta.event_id = rr.event_id AND ta.unit_id = rr.unit_id),
+c AS (SELECT * FROM (VALUES (CAST('inf' AS DOUBLE)), (20.0), (5.0), (2.0)) AS v(cutoff)),
+pl AS (SELECT a.event_id, a.unit_id, cutoff, count(CASE WHEN near THEN 1 END) AS n, count(CASE WHEN near AND more THEN 1 END) AS r, count(CASE WHEN near AND further THEN 1 END) AS t FROM
+ (SELECT a.event_id, a.unit_id, cutoff, isinf(cutoff) OR b.pre <= a.pre * cutoff AS near, b.ratio >= a.ratio AS more, b.score >= a.score AS further FROM us a JOIN us b ON a.event_id = b.event_id AND a.unit_id <> b.unit_id, c) a GROUP BY 1, 2, 3)
+"""
+
+
+@query("placebo_ladder", _LADDER + "SELECT event_id, unit_id, CASE WHEN isinf(cutoff) THEN NULL ELSE cutoff END AS cutoff, CAST(n AS BIGINT) AS placebos, CASE WHEN n > 0 THEN round((1 + r) / CAST(1 + n AS DOUBLE), 6) END AS p_ratio, CASE WHEN n > 0 THEN round((1 + t) / CAST(1 + n AS DOUBLE), 6) END AS p_tau, round(1.0 / (1 + n), 6) AS p_floor FROM pl")
 def placebo_ladder(spark, folder):
-    out = E.placebo_ladder(E.rmspe_ratio(_ar(spark, folder), GAP))
-    return _round(out.withColumn("cutoff", F.nullif("cutoff", F.lit(float("inf")))), 6, "p_ratio")
+    ar = settled(_ar(spark, folder))
+    tau = E.car(ar, 0, HORIZON).join(X.announcements(spark).select("event_id", "direction"), "event_id")
+    expected = F.when(F.col("direction") == "tighten", "negative").when(F.col("direction") == "loosen", "positive").otherwise("ambiguous")
+    units = E.rmspe_ratio(ar, GAP).join(tau.select("event_id", "unit_id", E.direction_score(F.col("car"), expected).alias("score")), ["event_id", "unit_id"], "left")
+    out = E.placebo_ladder(settled(units))
+    return _round(out.withColumn("cutoff", F.nullif("cutoff", F.lit(float("inf")))), 6, "p_ratio", "p_tau", "p_floor")
 
 
 @query(
     "pretrend_and_drift",
-    cte("ar") + f", path AS (SELECT *, sum(ar) OVER (PARTITION BY event_id, unit_id ORDER BY rel ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM ar WHERE rel < 0), a AS (SELECT event_id, unit_id, regr_slope(CASE WHEN rel < -{GAP} THEN g END, CASE WHEN rel < -{GAP} THEN CAST(rel AS DOUBLE) END) AS slope, max(CASE WHEN rel = -1 THEN g END) - max(CASE WHEN rel = -{GAP} - 1 THEN g END) AS drift, stddev_samp(CASE WHEN rel < -{GAP} THEN ar END) AS sd FROM path GROUP BY 1, 2) SELECT event_id, unit_id, round(slope, 5) + 0.0 AS slope, round(drift, 4) + 0.0 AS drift, round(drift / nullif(sd * sqrt({GAP}), 0), 4) + 0.0 AS z FROM a",
+    cte("ar") + f", path AS (SELECT *, sum(ar) OVER (PARTITION BY event_id, unit_id ORDER BY rel ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM ar WHERE rel < 0), a AS (SELECT event_id, unit_id, regr_slope(CASE WHEN rel < -{GAP} THEN g END, CASE WHEN rel < -{GAP} THEN CAST(rel AS DOUBLE) END) AS slope, max(CASE WHEN rel = -1 THEN g END) - max(CASE WHEN rel = -{GAP} - 1 THEN g END) AS drift, stddev_samp(CASE WHEN rel < -{GAP} THEN step END) AS sd, count(CASE WHEN rel >= -{GAP} THEN g END) AS n_holdout FROM (SELECT *, g - lag(g) OVER (PARTITION BY event_id, unit_id ORDER BY rel) AS step FROM path) GROUP BY 1, 2) SELECT event_id, unit_id, round(slope, 5) + 0.0 AS slope, round(drift, 4) + 0.0 AS drift, round(drift / nullif(sd * sqrt(n_holdout), 0), 4) + 0.0 AS z, n_holdout FROM a",
 )
 def pretrend_and_drift(spark, folder):
     return _round(_round(E.pretrend(_ar(spark, folder), GAP), 4, "drift", "z"), 5, "slope")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import effects as E
@@ -147,11 +149,23 @@ def functional_form_agreement(spark, folder):
     return sig(R.form_agreement(_ranked(spark, folder), "decile"), "continuous", "rank")
 
 
-@query("influence_verdict", _REG + _DROP + " SELECT b IS NULL AS survives, CAST(coalesce(b, 0) AS INT) AS first_failing FROM (SELECT min(CASE WHEN sign(p.beta) <> sign(q.beta) OR p.retained < 0.5 THEN p.k END) AS b FROM path p, path q WHERE q.k = 0 AND p.k > 0)")
+def _renamed(sql: str, name: str) -> str:
+    """The steps of ``taken_out`` under another name, for statements that take out twice."""
+    return re.sub(r"\bf([0-3]?)\b", rf"{name}\1", sql)
+
+
+@query(
+    "influence_verdict",
+    _REG + _DROP + _renamed(_FORMS + taken_out("fc", "form"), "fu") + _renamed(_HAT, "fv") + f""",
+ag AS (SELECT coalesce(max(CASE WHEN form = 'continuous' THEN beta END) * max(CASE WHEN form = 'rank' THEN beta END) > 0, FALSE) AS agrees FROM fu),
+fl AS (SELECT min(CASE WHEN sign(p.beta) <> sign(q.beta) OR p.retained < 0.5 THEN p.k END) AS b FROM path p, path q WHERE q.k = 0 AND p.k > 0),
+ve AS (SELECT b IS NULL AS survives, CAST(coalesce(b, 0) AS INT) AS first_failing, agrees, top_5 > 0.5 AS concentrated FROM fl, ag, (SELECT top_5 FROM {_REPORT}))
+SELECT *, CASE WHEN NOT survives OR NOT agrees THEN 'FRAGILE' WHEN concentrated THEN 'CAUTION' ELSE 'ROBUST' END AS verdict FROM ve""",
+)
 def influence_verdict(spark, folder):
     rows = _ranked(spark, folder)
     out = R.influence_verdict(R.drop_path(rows), R.form_agreement(rows, "decile"), R.leverage_report(R.leverage(rows)))
-    return out.select("survives", F.coalesce("first_failing", F.lit(0)).alias("first_failing"))
+    return out.withColumn("first_failing", F.coalesce("first_failing", F.lit(0)))
 
 
 @query("sign_consistency", _REG + ", dd AS (SELECT * FROM reg)" + taken_out("dd", "direction") + f""", b AS (SELECT direction, any_value(beta) AS beta, count(DISTINCT event_id) AS k FROM f GROUP BY 1),

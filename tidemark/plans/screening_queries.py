@@ -190,14 +190,6 @@ def power_verdicts(spark, folder):
     return sig(E.power_verdicts(effects, E.power(effects)), "analytic_mde", "observed_over_mde")
 
 
-@query("combined_placebos", _EFF + " SELECT event_id, unit_id, 'in space' AS placebo, round(count(*) OVER (PARTITION BY event_id ORDER BY abs(tau) DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / CAST(count(*) OVER (PARTITION BY event_id) AS DOUBLE), 9) AS p_value FROM ef UNION ALL SELECT event_id, unit_id, 'in time', CAST(0.25 AS DOUBLE) FROM ef WHERE event_id = 'none'")
-def combined_placebos(spark, folder):
-    _, effects, _ = _effects(spark, folder)
-    space = E.placebo_p_values(effects)
-    time = space.where("event_id = 'none'").select("event_id", "unit_id", "p_value")
-    return E.combined(space, time).withColumn("p_value", F.round("p_value", 9))
-
-
 @query("abnormal_from_gap", cte("ar") + f" SELECT event_id, unit_id, CAST(count(*) AS BIGINT) AS steps, {s('sum(ar)')} AS total FROM ar WHERE rel BETWEEN -5 AND {HORIZON} AND ar IS NOT NULL GROUP BY 1, 2 HAVING count(*) = {HORIZON + 6}")
 def abnormal_from_gap(spark, folder):
     from pyspark.sql.window import Window
