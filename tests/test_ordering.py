@@ -3,16 +3,16 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions
 
-from tidemark.operators import effects, ordering
+from tidemark.operators import effects, exposure, ordering, screening
 
 
 def test_running_sums_over_ranges(spark):
     rng = np.random.default_rng(3)
     table = pd.DataFrame({"g": rng.choice(["a", "b", "c"], 900, p=[0.8, 0.15, 0.05]), "v": rng.integers(0, 40, 900).astype(float), "id": range(900), "w": rng.integers(0, 3, 900)})
     table.loc[::50, "v"] = np.nan
-    got = ordering.running(spark.createDataFrame(table).withColumn("v", F.nanvl("v", F.lit(None))).repartition(7), ["g"], ["v", "id"], "w").toPandas().set_index("id")["running"]
+    got = ordering.running(spark.createDataFrame(table).withColumn("v", functions.nanvl("v", functions.lit(None))).repartition(7), ["g"], ["v", "id"], "w").toPandas().set_index("id")["running"]
     want = table.sort_values(["v", "id"], na_position="first").groupby("g")["w"].cumsum()
     assert (got.sort_index() == want.sort_index()).all()
     assert ordering.running(spark.createDataFrame(table).limit(0), ["g"], ["v"], "w").count() == 0
@@ -66,3 +66,37 @@ def test_ladder_equals_all_comparisons(spark, monkeypatch):
             ps = [None if not near else (1 + sum(r[k] is not None and v is not None and r[k] >= v for r in near)) / (1 + len(near)) for k, v in ((3, ratio), (4, score))]
             want[e, u, c] = (len(near), *ps, 1 / (1 + len(near)))
     assert got == want
+
+
+def test_latest_known_and_counts_equal_all_comparisons(spark):
+    import datetime as dt
+
+    rng = np.random.default_rng(4)
+    day = lambda n: dt.date(2000, 1, 1) + dt.timedelta(days=int(n))
+    rows = [(f"u{rng.integers(0, 3)}", f"a{rng.integers(0, 2)}", float(rng.integers(0, 5)), day(rng.integers(0, 900)), None if rng.random() < 0.05 else day(rng.integers(0, 900) // 30 * 30)) for _ in range(250)] + [("u0", "a0", 1.0, day(0), day(60))] * 2
+    events = [(f"e{k}", dt.datetime.combine(day(n), dt.time(9))) for k, n in enumerate([0, 30, 31, 60, 450, 870, 2000])]
+    a = spark.createDataFrame(rows, "unit_id string, attribute string, value double, as_of date, knowable date").repartition(5)
+    e = spark.createDataFrame(events, "event_id string, ts timestamp_ntz")
+    best, counts = {}, {}
+    for event, ts in events:
+        known = [r for r in rows if r[4] is not None and r[4] < ts.date()]
+        counts[event] = (len(known), len(rows) - len(known))
+        for r in sorted(known, key=lambda r: (r[4], r[3], r[2])):
+            best[event, r[0], r[1]] = r[2:]
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in exposure.latest_known(a, e).collect()} == best
+    assert {r["event_id"]: (r["knowable"], r["withheld"]) for r in exposure.knowable_counts(a, e).collect()} == counts
+    assert exposure.latest_known(a.limit(0), e).count() == 0
+    assert {tuple(r)[1:] for r in exposure.knowable_counts(a.limit(0), e).collect()} == {(0, 0)}
+
+
+def test_best_titles_equal_all_comparisons(spark):
+    rng = np.random.default_rng(6)
+    titles = [(int(rng.integers(0, 3)), int(rng.integers(0, 20)), " ".join(rng.choice(["Rail", "boat", "tax", "wind", "oil"], rng.integers(0, 4)))) for _ in range(120)] + [(0, 1, None)]
+    rows = [(k, int(rng.integers(0, 4)), [str(t) for t in rng.choice(["rail", "Boat", "ax", "wind", "zz"], rng.integers(0, 4), replace=bool(k % 2))]) for k in range(60)] + [(99, 0, None)]
+    want = {}
+    for k, month, terms in rows:
+        scored = [(-sum(t.lower() in title.lower() for t in terms), published, title) for m, published, title in titles if m == month and title is not None and terms]
+        if scored and min(scored)[0] < 0:
+            want[k] = (min(scored)[2], -min(scored)[0])
+    got = screening.best_title(spark.createDataFrame(rows, "id int, month int, terms array<string>"), spark.createDataFrame(titles, "month int, published int, title string"))
+    assert {r["id"]: (r["title"], r["hits"]) for r in got.collect()} == want

@@ -6,25 +6,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.ordering import following, running
+
 #: Energy bands from best to worst.
 BANDS = ("A", "B", "C", "D", "E", "F", "G")
 
 
-def split_knowable(attributes: DataFrame, events: DataFrame) -> DataFrame:
-    """(event_id, attribute columns, withheld): knowable strictly before the event's date, else withheld, never dropped."""
-    cut = events.select("event_id", F.to_date("ts").alias("cutoff"))
-    # the curated dictionary is one row an event; the product is the task grid that is asked for
-    return attributes.crossJoin(cut).withColumn("withheld", F.coalesce(F.col("knowable") >= F.col("cutoff"), F.lit(True)))
+def split_knowable(attributes: DataFrame, cutoff: Column) -> DataFrame:
+    """(attribute columns, withheld): knowable strictly before one date, else withheld, never dropped; a missing date is withheld."""
+    return attributes.withColumn("withheld", F.coalesce(F.col("knowable") >= cutoff, F.lit(True)))
+
+
+def _months(first: Column, last: Column) -> Column:
+    """The months from one date to another, as days; none where they are the wrong way round."""
+    return F.when(first <= last, F.sequence(F.trunc(first, "month"), F.trunc(last, "month"), F.expr("interval 1 month")))
+
+
+def in_force(steps: DataFrame, events: DataFrame, since: str, until: str) -> DataFrame:
+    """``steps`` (..., since, until) joined with ``events`` (event_id, cutoff) after ``since`` and up to ``until``, open where that is null.
+
+    A step is spread over the months that it lasts and meets the events of each
+    by an equi-join; steps end with the last event at the latest.
+    """
+    spread = steps.crossJoin(F.broadcast(events.agg(F.max("cutoff").alias("_end"))))  # one row
+    upto = F.least(F.coalesce(F.col(until), F.col("_end")), F.col("_end"))
+    spread = spread.withColumn("_month", F.explode(_months(F.col(since), upto))).drop("_end")
+    dated = events.select("event_id", "cutoff", F.trunc("cutoff", "month").alias("_month"))
+    return spread.join(dated, "_month").where((F.col(since) < F.col("cutoff")) & (F.col(until).isNull() | (F.col("cutoff") <= F.col(until)))).drop("_month")
 
 
 def latest_known(attributes: DataFrame, events: DataFrame) -> DataFrame:
     """(event_id, unit_id, attribute, value, as_of, knowable): the last published value before each event.
 
-    Ties on the publication date go to the later as-of date.
+    Ties on the publication date go to the later as-of date, then to the larger
+    value.  A publication holds until the next of its series, found by one ordered
+    pass however long the series; what is never knowable holds nowhere.
     """
-    known = split_knowable(attributes, events).where("not withheld")
-    best = known.groupBy("event_id", "unit_id", "attribute").agg(F.max_by(F.struct("value", "as_of", "knowable"), F.struct("knowable", "as_of")).alias("b"))
-    return best.select("event_id", "unit_id", "attribute", "b.*")
+    known = attributes.where("knowable is not null").select("unit_id", "attribute", "value", "as_of", "knowable")
+    steps = following(known, ["unit_id", "attribute"], ["knowable", "as_of", "value"], "knowable", "_until")
+    found = in_force(steps, events.select("event_id", F.to_date("ts").alias("cutoff")), "knowable", "_until")
+    return found.select("event_id", "unit_id", "attribute", "value", "as_of", "knowable")
+
+
+def knowable_counts(attributes: DataFrame, events: DataFrame) -> DataFrame:
+    """(event_id, knowable, withheld): how many rows were knowable before each event and how many were not, from running counts by date."""
+    by_day = attributes.groupBy("knowable").agg(F.count("*").alias("n"))
+    whole = by_day.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"))
+    dated = running(by_day.where("knowable is not null").withColumn("_g", F.lit(0)), ["_g"], ["knowable"], "n", "upto")
+    steps = following(dated, ["_g"], ["knowable"], "knowable", "_until").select("knowable", "_until", "upto")
+    cut = events.select("event_id", F.to_date("ts").alias("cutoff"))
+    found = cut.join(in_force(steps, cut, "knowable", "_until").select("event_id", "upto"), "event_id", "left").crossJoin(whole)
+    return found.select("event_id", F.coalesce("upto", F.lit(0)).alias("knowable"), (F.col("all") - F.coalesce("upto", F.lit(0))).alias("withheld"))
 
 
 def event_exposure(attributes: DataFrame, events: DataFrame) -> DataFrame:

@@ -34,6 +34,17 @@ def _carried(rows: DataFrame, by: list[str], part: list[str], inside: Window, we
     return rows.withColumn("_own", own).join(before, [*part, *by]).withColumn(into, F.col("_own") + F.col("_before")).drop("_own", "_before")
 
 
+def following(rows: DataFrame, by: list[str], order: list[str], column: str, into: str) -> DataFrame:
+    """``rows`` with the ``column`` of the next row in ``order`` (columns) within ``by``; null at a group's end."""
+    dealt = settled(rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_part", F.spark_partition_id()))
+    inside = F.lead(column).over(Window.partitionBy("_part", *by).orderBy(*order))
+    firsts = dealt.groupBy("_part", *by).agg(F.min(F.struct(*order, F.col(column).alias("_first"))).getField("_first").alias("_first"))
+    after = firsts.select("_part", *by, F.lead("_first").over(Window.partitionBy(*by).orderBy("_part")).alias("_after"))
+    last = F.lead(F.lit(1)).over(Window.partitionBy("_part", *by).orderBy(*order)).isNull()
+    out = dealt.withColumns({"_next": inside, "_last": last}).join(after, ["_part", *by], "left")
+    return out.withColumn(into, F.when(F.col("_last"), F.col("_after")).otherwise(F.col("_next"))).drop("_part", "_next", "_last", "_after")
+
+
 def file_positions(scan: DataFrame, into: str = "position") -> DataFrame:
     """A file scan's rows with their place in their file, from 0, in whatever splits it is read.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.operators.settle import settled
 
 # Words and names of closed-end vehicles.
 VEHICLE_WORDS = (
@@ -133,10 +134,15 @@ def merged(first: Column, second: Column) -> Column:
 def best_title(rows: DataFrame, sweep: DataFrame) -> DataFrame:
     """(id, title, hits): for each row (id, month, terms) the document of its month whose title holds most of the terms, ties by date and title; none without a hit.
 
-    ``sweep`` has month, published, title.
+    ``sweep`` has month, published, title.  Documents of a month that hold the
+    same of its terms are one candidate, their first, and rows of the same terms
+    one question, so that neither all rows nor all documents meet.
     """
-    met = rows.join(sweep, "month")
-    hits = F.size(F.filter("terms", lambda t: F.contains(F.lower("title"), F.lower(t))))
-    scored = met.withColumn("hits", hits).where("hits > 0")
-    best = scored.groupBy("id").agg(F.min(F.struct((-F.col("hits")).alias("h"), "published", "title")).alias("b"))
-    return best.select("id", "b.title", (-F.col("b.h")).alias("hits"))
+    asked = rows.select("id", "month", F.array_sort(F.transform("terms", lambda t: F.lower(t))).alias("terms"))
+    wanted = settled(asked.select("month", "terms").distinct())
+    known = wanted.select("month", F.explode("terms").alias("term")).groupBy("month").agg(F.array_sort(F.collect_set("term")).alias("known"))
+    held = sweep.join(known, "month").withColumn("held", F.filter("known", lambda t: F.contains(F.lower("title"), t))).where(F.size("held") > 0)
+    firsts = held.groupBy("month", "held").agg(F.min(F.struct("published", "title")).alias("first"))
+    hits = F.size(F.filter("terms", lambda t: F.array_contains("held", t)))
+    best = wanted.join(firsts, "month").withColumn("hits", hits).where("hits > 0").groupBy("month", "terms").agg(F.min(F.struct((-F.col("hits")).alias("h"), "first.published", "first.title")).alias("b"))
+    return asked.join(best, ["month", "terms"]).select("id", "b.title", (-F.col("b.h")).alias("hits"))

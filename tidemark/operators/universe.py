@@ -36,7 +36,9 @@ def resolve(events: DataFrame, units: DataFrame, overrides: DataFrame, exclusion
     wanted = keyed(overrides, F.coalesce("tags", F.array()), F.coalesce("ids", F.array()), F.col("unit_id"), F.col("status").alias("o"))
     hits = wanted.join(keyed(events, F.coalesce("tags", F.array()), F.array("event_id"), F.col("event_id")), ["kind", "key"])
     forced = hits.groupBy("event_id", "unit_id").agg(F.count_distinct("o").alias("n"), F.min("o").alias("o"))
-    shut = exclusions.join(events, F.col("day").between(F.col("start"), F.col("end"))).groupBy("event_id", "unit_id").agg(F.min("why").alias("why"))
+    # windows are spread over their months, so that they meet events by an equi-join
+    months = F.when(F.col("start") <= F.col("end"), F.sequence(F.trunc("start", "month"), F.trunc("end", "month"), F.expr("interval 1 month")))
+    shut = exclusions.withColumn("month", F.explode(months)).join(events.withColumn("month", F.trunc("day", "month")), "month").where(F.col("day").between(F.col("start"), F.col("end"))).groupBy("event_id", "unit_id").agg(F.min("why").alias("why"))
     # the resolution table itself: every event with every unit
     base = events.select("event_id", "day").crossJoin(units).join(forced, ["event_id", "unit_id"], "left").join(shut, ["event_id", "unit_id"], "left")
     there = available(F.col("day"), F.col("first"), F.col("last"))

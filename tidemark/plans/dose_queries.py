@@ -28,8 +28,7 @@ def _dose(spark, folder):
 
 @query("attributes_withheld_counts", cte("attr", "ann") + "SELECT event_id, CAST(count(CASE WHEN knowable < CAST(ts AS DATE) THEN 1 END) AS BIGINT) AS knowable, CAST(count(CASE WHEN knowable >= CAST(ts AS DATE) THEN 1 END) AS BIGINT) AS withheld FROM attr CROSS JOIN ann GROUP BY 1")
 def attributes_withheld_counts(spark, folder):
-    rows = O.split_knowable(X.attributes(spark, folder), X.announcements(spark))
-    return rows.groupBy("event_id").agg(F.count(F.when(~F.col("withheld"), 1)).alias("knowable"), F.count(F.when(F.col("withheld"), 1)).alias("withheld"))
+    return O.knowable_counts(X.attributes(spark, folder), X.announcements(spark))
 
 
 @query("attributes_latest_asof", cte("attr", "ann") + "SELECT event_id, unit_id, attribute, round(value, 6) AS value, as_of, knowable FROM (SELECT event_id, unit_id, attribute, value, as_of, knowable, row_number() OVER (PARTITION BY event_id, unit_id, attribute ORDER BY knowable DESC, as_of DESC) AS k FROM attr JOIN ann ON knowable < CAST(ts AS DATE)) WHERE k = 1")

@@ -69,14 +69,14 @@ def found_collections(spark, folder):
 
 @query(
     "dictionary_issues",
-    """WITH e AS (SELECT 'o' || o_orderkey AS event_id, CAST(o_orderdate AS DATE) AS date, o_orderstatus AS policy, CASE WHEN o_orderkey % 50 = 0 THEN ' Boats; RAIL' ELSE 'rail;road ' END AS affected_sectors FROM orders WHERE o_orderkey <= 400),
+    """WITH e AS (SELECT 'o' || o_orderkey AS event_id, CAST(o_orderdate AS DATE) AS date, o_orderstatus AS policy, CASE WHEN o_orderkey % 50 = 0 THEN ' Boats; RAIL' ELSE 'rail;road ' END AS affected_sectors FROM orders),
 t AS (SELECT date, lower(policy) AS p FROM e GROUP BY 1, 2 HAVING count(*) > 1)
 SELECT event_id, 'affected_sectors' AS "column", 'unknown: boats' AS message, true AS fatal FROM e WHERE affected_sectors LIKE '%Boats%' UNION ALL SELECT event_id, 'date+policy', 'repeated', false FROM e JOIN t ON t.date = e.date AND t.p = lower(policy)
 UNION ALL SELECT * FROM (VALUES ('', 'source_url', 'missing column', true), ('', 'affected_sectors', 'unknown column', false)) AS v""",
 )
 def dictionary_issues(spark, folder):
     sectors = F.when(F.col("o_orderkey") % 50 == 0, " Boats; RAIL").otherwise("rail;road ")
-    rows = X.table(spark, folder, "orders").where("o_orderkey <= 400").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("event_id"), F.to_date("o_orderdate").cast("string").alias("date"), F.col("o_orderstatus").alias("policy"), sectors.alias("affected_sectors"))
+    rows = X.table(spark, folder, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("event_id"), F.to_date("o_orderdate").cast("string").alias("date"), F.col("o_orderstatus").alias("policy"), sectors.alias("affected_sectors"))
     known = spark.createDataFrame([("Rail",), ("road",)], "sector string")
     whole = L.table_issues(rows, ("event_id", "date", "policy", "source_url"), ())
     return whole.unionByName(L.membership_issues(rows, "event_id", "affected_sectors", known, "sector")).unionByName(L.repeats(rows, "event_id", "date", "policy"))

@@ -32,12 +32,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def weekly_prices(spark: SparkSession, folder: str) -> DataFrame:
     """(unit_id, dt, px, vol): net revenue and quantity of a nation's suppliers by week."""
-    cents = F.round(F.col("l_extendedprice") * 100).cast("long") * (100 - F.round(F.col("l_discount") * 100).cast("long"))
-    lines = table(spark, folder, "lineitem").select("l_suppkey", F.date_trunc("week", "l_shipdate").cast("date").alias("dt"), cents.alias("cents"), F.col("l_quantity").cast("long").alias("quantity"))
-    # the nation of a supplier is a small dimension; Catalyst broadcasts it by its size
+    # amounts are whole cents but for the last bits of a double, so the nearest whole number needs no decimal rounding
+    cents = F.rint(F.col("l_extendedprice") * 100).cast("long") * (100 - F.rint(F.col("l_discount") * 100).cast("long"))
+    lines = table(spark, folder, "lineitem").select("l_suppkey", F.trunc(F.to_date("l_shipdate"), "week").alias("dt"), cents.alias("cents"), F.col("l_quantity").cast("long").alias("quantity"))
+    # the nation of a supplier is a small dimension, which Catalyst broadcasts by its size: the one shuffle has a row a unit, week and task
     units = table(spark, folder, "supplier").join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("unit_id"), F.col("n_regionkey").alias("region"))
-    by_supplier = lines.groupBy("l_suppkey", "dt").agg(F.sum("cents").alias("cents"), F.sum("quantity").alias("quantity"))
-    return by_supplier.join(units, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("unit_id", "region", "dt").agg(F.sum("cents").alias("px"), F.sum("quantity").alias("vol"))
+    return lines.join(units, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("unit_id", "region", "dt").agg(F.sum("cents").alias("px"), F.sum("quantity").alias("vol"))
 
 
 def announcements(spark: SparkSession) -> DataFrame:
@@ -50,7 +50,7 @@ def attributes(spark: SparkSession, folder: str) -> DataFrame:
 
     Each year's report also restates the year before, so an as-of date has two publications.
     """
-    lines = table(spark, folder, "lineitem").select("l_suppkey", "l_partkey", F.year("l_shipdate").alias("y"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
+    lines = table(spark, folder, "lineitem").select("l_suppkey", "l_partkey", F.year("l_shipdate").alias("y"), F.rint(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
     brands = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brand"))
     units = table(spark, folder, "supplier").join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("unit_id"))
     sums = lines.join(brands, "l_partkey").join(units, "l_suppkey").groupBy("unit_id", "y", "brand").agg(F.sum("cents").alias("c"))
