@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import lookups as L
 from tidemark.operators import study as Y
+from tidemark.operators import timing as T
 from tidemark.operators.settle import settled
-from tidemark.plans.kernel_queries import _tasks
-from tidemark.plans.panel_queries import _ar, _panel, _round
+from tidemark.plans.panel_queries import _panel, _round, _windows
 from tidemark.plans.registry import query
 from tidemark.plans.text_queries import status_resolution
 from tidemark.sources import fixtures as X
-from tidemark.sources.fixtures import GAP, HORIZON, cte
+from tidemark.sources.fixtures import ESTIMATION, GAP, HORIZON, cte
 
 
 @query("projected_units", cte("panel") + "SELECT unit_id, CAST(count(*) AS BIGINT) AS rows, CAST(count(ret) AS BIGINT) AS known FROM panel JOIN nation ON n_name = unit_id WHERE n_nationkey % 3 = 0 GROUP BY 1")
@@ -95,6 +95,49 @@ def signed_portfolio_weights(spark, folder):
     return _round(Y.signed_portfolio(rows), 9, "weight")
 
 
+_GRID = cte("panel", "ev", "ann") + f""", w AS (SELECT event_id, unit_id, pos - t0 AS rel, ret, mkt FROM panel JOIN ev ON pos BETWEEN pre_start AND post_end WHERE reason IS NULL),
+tk AS (SELECT event_id, unit_id, whole, sum(CAST(whole AS INT)) OVER (PARTITION BY event_id) - CAST(whole AS INT) AS donors FROM (SELECT event_id, unit_id, count(CASE WHEN ret IS NOT NULL AND mkt IS NOT NULL THEN 1 END) = {ESTIMATION + GAP + HORIZON + 1} AS whole FROM w GROUP BY 1, 2)),
+es AS (SELECT * FROM (VALUES ('market_model', 0), ('synthetic_control', 2), ('synthetic_did', 2)) AS v(estimator, least_))
+"""
+
+
+def _study(spark, folder):
+    prices = settled(X.weekly_prices(spark, folder))
+    return settled(_panel(spark, folder, prices)), settled(_windows(spark, folder, prices))
+
+
+def _grid(spark, folder):
+    panel, windows = _study(spark, folder)
+    dates = windows.where("reason is null").select("event_id", F.lit(Y.OWN).alias("k"), F.col("t0").alias("pos"))
+    return settled(Y.run_grid(panel, dates, ESTIMATION, GAP, HORIZON))
+
+
+@query("event_study_outcomes", _GRID + "SELECT event_id, unit_id, estimator, CASE WHEN NOT whole THEN 'IncompleteWindow' WHEN donors < least_ THEN 'TooFewDonors' END AS error_type, CASE WHEN NOT whole THEN 'a return of the window is missing' WHEN donors < least_ THEN donors || ' other units have complete windows' END AS message FROM tk, es")
+def event_study_outcomes(spark, folder):
+    """Every task of the grid: estimated, or why not."""
+    return _grid(spark, folder).select("event_id", "unit_id", "estimator", "error_type", "message")
+
+
+@query(
+    "event_study_baseline",
+    _GRID + f""", fi AS (SELECT w.event_id, w.unit_id, regr_slope(CASE WHEN rel < -{GAP} THEN ret END, CASE WHEN rel < -{GAP} THEN mkt END) AS b, regr_intercept(CASE WHEN rel < -{GAP} THEN ret END, CASE WHEN rel < -{GAP} THEN mkt END) AS a FROM w JOIN tk ON tk.event_id = w.event_id AND tk.unit_id = w.unit_id WHERE whole GROUP BY 1, 2),
+pa AS (SELECT w.event_id, w.unit_id, rel, sum(ret - a - b * mkt) OVER (PARTITION BY w.event_id, w.unit_id ORDER BY rel) AS g FROM w JOIN fi ON fi.event_id = w.event_id AND fi.unit_id = w.unit_id),
+ba AS (SELECT event_id, unit_id, max(CASE WHEN rel = -1 THEN g END) AS base, max(CASE WHEN rel = {HORIZON} THEN g END) AS last_, sqrt(var_pop(CASE WHEN rel < -{GAP} THEN g END)) AS pre FROM pa GROUP BY 1, 2),
+mm AS (SELECT ba.event_id, ba.unit_id, any_value(last_) - any_value(base) AS tau, any_value(pre) AS pre, sqrt(avg((g - base) * (g - base))) AS post FROM ba JOIN pa ON pa.event_id = ba.event_id AND pa.unit_id = ba.unit_id AND rel >= 0 GROUP BY 1, 2),
+pr AS (SELECT *, count(*) OVER (PARTITION BY event_id) AS n, count(*) OVER (PARTITION BY event_id ORDER BY post / pre DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r FROM mm),
+fl AS (SELECT event_id, count(CASE WHEN NOT whole THEN 1 END) AS failed FROM tk GROUP BY 1)
+SELECT pr.event_id, unit_id, round(tau, 6) + 0.0 AS tau, round(pre, 6) AS pre_rmspe, round(post, 6) AS post_rmspe, round(post / pre, 4) AS ratio, CAST(n - 1 AS BIGINT) AS placebos, failed, round(r / CAST(n AS DOUBLE), 6) AS p_in_space, round(1.0 / n, 6) AS p_floor FROM pr JOIN fl ON fl.event_id = pr.event_id""",
+)
+def event_study_baseline(spark, folder):
+    """The market model's tasks with their placebos, which every other estimator is held against."""
+    own = _grid(spark, folder).where(F.col("estimator") == Y.MARKET)
+    out = own.where("tau is not null").join(Y.in_space(own), ["event_id", "unit_id", "estimator"])
+    out = out.select("event_id", "unit_id", "tau", "pre_rmspe", "post_rmspe", "ratio", "placebos", "failed", "p_in_space", "p_floor")
+    return _round(_round(out, 6, "tau", "pre_rmspe", "post_rmspe", "p_in_space", "p_floor"), 4, "ratio")
+
+
 @query("event_study")
 def event_study(spark, folder):
-    return Y.run_events(settled(_ar(spark, folder)), _tasks(spark, folder), GAP, HORIZON)
+    panel, windows = _study(spark, folder)
+    offsets = T.placebo_offsets(windows.where("reason is null"), ESTIMATION, GAP, HORIZON, buffer=3, most=12)
+    return Y.run_events(panel, windows, offsets, ESTIMATION, GAP, HORIZON)
