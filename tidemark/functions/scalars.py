@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.references import unescape
+
+SPACES = r"[\s\x1c-\x1f\x85\p{Z}]+"
+
 #: Accepted spellings of a yes and a no.
 YES, NO = ("true", "yes", "y", "1", "t"), ("false", "no", "n", "0", "f")
 
@@ -63,9 +67,9 @@ def exact_day(x: Column) -> Column:
 
 
 def strip_html(x: Column) -> Column:
-    """Text of a page: scripts and styles out, tags as spaces, white space collapsed (references are left as they are)."""
+    """Text of a page: scripts and styles out, tags as spaces, character references decoded, white space collapsed."""
     bare = F.regexp_replace(F.regexp_replace(x, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), "<[^>]+>", " ")
-    return F.trim(F.regexp_replace(bare, "[ \\t\\n\\r\\f]+", " "))
+    return F.trim(F.regexp_replace(unescape(bare), SPACES, " "))
 
 
 def sentences(x: Column, least: int = 40, most: int = 400) -> Column:

@@ -62,7 +62,12 @@ def dated_references(spark, folder):
     return V.dated_references(spark.createDataFrame(list(_REFS), "doc string, sentence string"), "doc").select("doc", "month")
 
 
-@query("html_text", "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gis'), '<[^>]+>', ' ', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g'), ' ') AS text FROM pages")
+_DECODED = "regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gis'), '<[^>]+>', ' ', 'g')"
+for _name, _text in (("quot", '"'), ("lt", "<"), ("gt", ">"), ("#x27", "''"), ("#39", "''"), ("nbsp", "\u00a0"), ("copy", "\u00a9"), ("mdash", "\u2014"), ("middot", "\u00b7"), ("amp", "&")):  # the references that the pages hold, the ampersand last
+    _DECODED = f"regexp_replace({_DECODED}, '&{_name};?', '{_text}', 'g')"
+
+
+@query("html_text", f"SELECT page_id, trim(regexp_replace({_DECODED}, '[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+', ' ', 'g'), ' ') AS text FROM pages")
 def html_text(spark, folder):
     return X.table(spark, folder, "pages").select("page_id", S.strip_html(F.col("html")).alias("text"))
 
