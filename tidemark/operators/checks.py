@@ -70,18 +70,56 @@ def event_issues(rows: DataFrame, now: str, min_days: int = 14) -> DataFrame:
     return by_row.unionByName(spaced).unionByName(twice)
 
 
-def attribute_issues(rows: DataFrame) -> DataFrame:
-    """(unit_id, column, message, fatal) of a firm attribute table whose cells are all strings."""
-    value, as_of, known = F.expr("try_cast(trim(value) as double)"), F.try_to_date(F.trim("as_of_date"), "yyyy-MM-dd"), F.try_to_date(F.trim("knowable_from"), "yyyy-MM-dd")
+def _row_issues(rows: DataFrame, key: str, issues: list[Column], position: str | None) -> DataFrame:
+    """``explode_issues``, with each issue's spreadsheet row (the header is row 1) where ``position`` counts rows from 0."""
+    if position is None:
+        return explode_issues(rows, key, issues)
+    numbered = rows.select(key, (F.col(position) + 2).alias("row"), F.explode(F.array_compact(F.array(*issues))).alias("i"))
+    return numbered.select(key, "row", "i.column", "i.message", "i.fatal")
+
+
+def _listed(rows: DataFrame, column: str, known: DataFrame | None, name: str) -> tuple[DataFrame, Column]:
+    """``rows`` with whether a cell is in a list of its own, and that as a condition; without a list everything is."""
+    if known is None:
+        return rows.withColumn("_listed", F.lit(True)), F.lit(True)
+    own = known.select(F.trim(name).alias("_key")).distinct().withColumn("_known", F.lit(True))
+    return rows.withColumn("_key", F.trim(column)).join(own, "_key", "left").withColumn("_listed", F.coalesce("_known", F.lit(False))).drop("_key", "_known"), F.col("_listed")
+
+
+def attribute_issues(rows: DataFrame, known: DataFrame | None = None, position: str | None = None) -> DataFrame:
+    """(unit_id[, row], column, message, fatal) of a firm attribute table whose cells are all strings; ``known`` lists units (unit_id)."""
+    value, as_of, known_from = F.expr("try_cast(trim(value) as double)"), F.try_to_date(F.trim("as_of_date"), "yyyy-MM-dd"), F.try_to_date(F.trim("knowable_from"), "yyyy-MM-dd")
+    rows, listed = _listed(rows, "unit_id", known, "unit_id")
+    sources = [c for c in ("unit_id", "attribute", "value", "as_of_date", "knowable_from", "source_url", "vintage") if c in rows.columns]
     issues = [
-        *[issue(S.is_blank(F.col(c)), c, "blank", True) for c in ("attribute", "value", "as_of_date", "knowable_from", "source_url")],
+        *[issue(S.is_blank(F.col(c)), c, "blank", True) for c in sources],
         issue(~S.is_blank(F.col("value")) & value.isNull(), "value", "not a number", True),
         issue(~S.is_blank(F.col("as_of_date")) & as_of.isNull(), "as_of_date", "not a date", True),
-        issue(~S.is_blank(F.col("knowable_from")) & known.isNull(), "knowable_from", "not a date", True),
-        issue(known < as_of, "knowable_from", "before the as-of date", True),
-        issue(F.datediff(known, as_of) > 400, "knowable_from", "long disclosure lag", False),
+        issue(~S.is_blank(F.col("knowable_from")) & known_from.isNull(), "knowable_from", "not a date", True),
+        issue(known_from < as_of, "knowable_from", "before the as-of date", True),
+        issue(F.datediff(known_from, as_of) > 400, "knowable_from", "long disclosure lag", False),
+        issue(~listed, "unit_id", "unknown unit", True),
     ]
-    return explode_issues(rows, "unit_id", issues)
+    return _row_issues(rows, "unit_id", issues, position)
+
+
+#: What a policy target may cover, and its directions.
+SCOPES, DIRECTIONS = ("all_domestic", "domestic_prs", "social_rented", "off_gas_grid", "new_build"), ("tighten", "loosen")
+
+
+def target_issues(rows: DataFrame, known: DataFrame | None = None, position: str | None = None, scopes: tuple[str, ...] = SCOPES) -> DataFrame:
+    """(event_id[, row], column, message, fatal) of a policy target table whose cells are all strings; ``known`` lists events (event_id).
+
+    A target with neither a mandated band nor a category scores nothing, which is
+    said and not fatal.
+    """
+    rows, listed = _listed(rows, "event_id", known, "event_id")
+    issues = [
+        issue(~listed, "event_id", "unknown event", True),
+        *[issue(~F.coalesce(F.lower(F.trim(c)).isin(*allowed), F.lit(False)), c, "unknown value", True) for c, allowed in (("scope", scopes), ("direction", DIRECTIONS))],
+        issue(S.is_blank(F.col("mandated_min_band")) & S.is_blank(F.col("affected_categories")), "mandated_min_band", "scores nothing", False),
+    ]
+    return _row_issues(rows, "event_id", issues, position)
 
 
 def refuse_if_fatal(issues: DataFrame) -> None:

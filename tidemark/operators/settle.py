@@ -44,9 +44,15 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{LOCAL_DEFAULT}/settled-{os.getpid()}"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the shared one, for files that are written and scanned again; it goes with the process."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _folders.add(folder)
+    return folder
+
+
 def settled(table: DataFrame) -> DataFrame:
     """``table`` written to the shared folder and read back; the files go with the process."""
-    folder = f"{shared_folder(table.sparkSession)}/settled-{uuid.uuid4().hex}"
-    _folders.add(folder)
+    folder = scratch(table.sparkSession, "settled")
     table.write.parquet(folder)
     return table.sparkSession.read.schema(table.schema).parquet(folder)

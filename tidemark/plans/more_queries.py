@@ -98,15 +98,6 @@ def winsorised_and_rank_betas(spark, folder):
     return _sig(out, "beta")
 
 
-@query(
-    "promotion_outcomes",
-    cte("ann") + "SELECT event_id, CASE WHEN leak_note <> '' THEN 'leak' WHEN risk = 'high' THEN 'grade' WHEN NOT time_known AND confounder <> '' THEN 'confounded day' WHEN brand = 'Brand#11' THEN 'no sector' END AS reason, CASE WHEN direction = 'mixed' THEN 'loosen' ELSE direction END AS direction FROM ann",
-)
-def promotion_outcomes(spark, folder):
-    rules = [("leak", F.col("leak_note") != ""), ("grade", F.col("risk") == "high"), ("confounded day", ~F.col("time_known") & (F.col("confounder") != "")), ("no sector", F.col("brand") == "Brand#11")]
-    return V.reasons(X.announcements(spark), rules).select("event_id", "reason", F.when(F.col("direction") == "mixed", "loosen").otherwise(F.col("direction")).alias("direction"))
-
-
 @query("separate_reporting", cte("ann") + "SELECT event_id, risk = 'high' OR confounder <> '' OR leak_note <> '' AS flagged FROM ann")
 def separate_reporting(spark, folder):
     from tidemark.operators.reporting import report_separately

@@ -99,12 +99,6 @@ def stratified_shortlist(spark, folder):
     return V.round_robin(rows, "family", ["o_orderdate", "id"], 25).select("family", "id", "round", "place")
 
 
-@query("shortlist_rejections", "SELECT coalesce(reason, 'kept') AS reason, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN o_orderstatus = 'P' THEN 'stage' WHEN o_totalprice < 1000 THEN 'not newsworthy' WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN 'too early' WHEN o_orderpriority LIKE '5%' THEN 'fiscal' END AS reason FROM orders) GROUP BY 1")
-def shortlist_rejections(spark, folder):
-    rules = [("stage", F.col("o_orderstatus") == "P"), ("not newsworthy", F.col("o_totalprice") < 1000), ("too early", F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz")), ("fiscal", F.col("o_orderpriority").startswith("5"))]
-    return V.reasons(X.table(spark, folder, "orders"), rules).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
-
-
 @query("first_by_evidence", "SELECT item_id FROM (SELECT item_id, row_number() OVER (PARTITION BY lower(substr(text, 1, 80)) ORDER BY item_id) AS k FROM (SELECT * FROM benchmark UNION ALL SELECT item_id + 1000000, upper(text) FROM benchmark WHERE item_id % 2 = 0 AND text = regexp_replace(text, '[^a-zA-Z ,.]', '', 'g'))) WHERE k = 1")
 def first_by_evidence(spark, folder):
     rows = X.table(spark, folder, "benchmark")

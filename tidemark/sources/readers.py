@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -34,9 +35,22 @@ def csv_strings(spark: SparkSession, path: str, required: tuple[str, ...] = (),
     return rows
 
 
+class VintageCutOff(ValueError):
+    """A vintage's rows are not those that its writer committed."""
+
+
 def vintage(spark: SparkSession, path: str, stamp: str, wanted: DataFrame, key: str = "source_ticker") -> tuple[DataFrame, DataFrame]:
-    """(rows of the vintage for the wanted keys, keys of which there are none); the vintage is a partition, so others are not read."""
+    """(rows of the vintage for the wanted keys, keys of which there are none); the vintage is a partition, so others are not read.
+
+    Refused if the vintage has no commit marker or not as many rows as it says.
+    """
     rows = spark.read.parquet(path).where(F.col("vintage") == stamp)
+    try:
+        told = spark.read.schema("vintage string, rows long").json(f"{path}/_committed/{stamp}").collect()
+    except AnalysisException:
+        told = []
+    if not told or told[0]["rows"] != rows.count():  # counted from file footers
+        raise VintageCutOff(f"{path}: vintage {stamp} was not committed whole")
     rows = rows.join(wanted.select(key).distinct(), key, "left_semi")
     return rows, wanted.select(key).distinct().join(rows.select(key).distinct(), key, "left_anti")
 

@@ -6,11 +6,22 @@ import json
 import os
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_vintage(rows: DataFrame, path: str) -> None:
-    """Parquet partitioned by the rows' vintage."""
-    rows.write.mode("append").partitionBy("vintage").parquet(path)
+    """Parquet partitioned by the rows' vintage; vintages that the rows hold are replaced whole, others are not touched.
+
+    A marker with each vintage's rows is written last, under ``_committed``; a
+    vintage whose rows do not match its marker was cut off and is refused when
+    read (``readers.vintage``).  Rows without a vintage are refused.
+    """
+    counts = rows.groupBy(F.col("vintage").cast("string").alias("vintage")).agg(F.count("*").alias("rows")).collect()  # one row a vintage
+    if any(r["vintage"] is None for r in counts):
+        raise ValueError("rows without a vintage")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("vintage").parquet(path)
+    for r in counts:
+        rows.sparkSession.createDataFrame([(r["vintage"], r["rows"])], "vintage string, rows long").coalesce(1).write.mode("overwrite").json(f"{path}/_committed/{r['vintage']}")
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
