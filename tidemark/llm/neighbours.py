@@ -288,8 +288,9 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = 0.93,
     precision reaches ``cosine``.  Defined cases: vectors that are null, empty,
     zero or hold null or non-finite components, and those of a null label, have
     no links; vectors of different width never link; repeated rows are vectors
-    of their own and link with each other; a null vec_id has component null and
-    kept true; an empty table gives no rows; further columns are ignored.
+    of their own and link with each other, also where different vectors bear one
+    vec_id; a null vec_id links with nothing, has component null and is kept; an empty
+    table gives no rows; further columns are ignored.
     """
     prepare(spark)
     ws = Workspace(spark, name)
@@ -298,8 +299,9 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = 0.93,
     source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{element}>").alias("embedding"), F.col("label").cast("string").alias("label"))
     ready = ws.save(source.mapInArrow(_prepared(kind), "vec_id long, label string, first double, vector binary"), "vectors")
     usable = ready.where("vector is not null")
-    distinct = usable.groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.min("first").alias("first"))
-    distinct = ws.save(distinct, "distinct")
+    distinct = usable.groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.min("first").alias("first"))
+    # each distinct vector has a number of its own, whatever vec_ids its rows bear
+    distinct = ws.save(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
 
     parts = max(1, -(-distinct.count() // CELL))
     order = ("label", F.length("vector"), "first", "node")
@@ -321,9 +323,12 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = 0.93,
     prepare(spark)
 
     component = connected_components(ws, found.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    counts = ws.save(found.groupBy("node").agg(F.sum("links").alias("links")).join(component, "node", "full").select("node", "links", "component"), "counts")
-    copies = ws.save(distinct.where("copies > 1").select("label", "vector", "node", "copies"), "copies")
-    own = usable.select("vec_id", "label", "vector").join(copies, ["label", "vector"], "left").select("vec_id", F.coalesce("node", "vec_id").alias("node"), F.coalesce("copies", F.lit(1)).alias("copies"))
-    linked = own.join(counts, "node", "left").select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    rooted = distinct.select("node", "least").join(component, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root"))
+    rooted = ws.save(rooted, "rooted")
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    known = rooted.join(named, "root").join(links, "node", "left").select("node", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
+    known = ws.save(known.join(distinct.select("node", "label", "vector", "copies"), "node"), "known")
+    linked = usable.select("vec_id", "label", "vector").join(known, ["label", "vector"]).select("vec_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     alone = ready.where("vector is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
