@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytescan
@@ -195,17 +195,23 @@ def _held_out(column: str = "doc_id"):
 def train(spark: SparkSession, docs: DataFrame) -> Model:
     """A model from the distinct texts of documents that are not held out.
 
-    The sample is bounded by SAMPLE_ROWS and SAMPLE_BYTES a language; the counts
-    by language are one row for each of the languages, which are taken to be few.
+    The sample is bounded by SAMPLE_ROWS and SAMPLE_BYTES a language, before it
+    leaves the executors; the counts by language are one row for each of the
+    languages, which are taken to be few.  Rates come from (approximate) numbers
+    of distinct texts, so that copies neither swell nor starve a language.  Of a
+    text longer than SAMPLE_BYTES that many bytes are learned from.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "") & ~_held_out())
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct("text").alias("n")).collect()}
     if not counts:
         return Model({})
     span = 1 << 30
     rank = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(span))  # copies are one candidate
-    limits = [F.when((F.col("lang") == lang) & (rank < int(min(1.0, 1.5 * SAMPLE_ROWS / n) * span)), True) for lang, n in counts.items()]
-    sample = usable.where(F.coalesce(*limits, F.lit(False))).select("lang", rank.alias("rank"), F.col("text").cast("binary").alias("text")).distinct().toArrow().to_pylist()
+    limits = [F.when((F.col("lang") == lang) & (rank < int(min(1.0, 1.5 * SAMPLE_ROWS / max(n, 1)) * span)), True) for lang, n in counts.items()]
+    chosen = usable.where(F.coalesce(*limits, F.lit(False))).select("lang", rank.alias("rank"), F.substring(F.col("text").cast("binary"), 1, SAMPLE_BYTES).alias("text")).distinct()
+    # a bounded number of rows a language: their bytes are added up in the order in which they are taken
+    before = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("rank", "text").rowsBetween(Window.unboundedPreceding, -1))
+    sample = chosen.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < SAMPLE_BYTES).drop("before").toArrow().to_pylist()
     texts: dict[str, list[bytes]] = {lang: [] for lang in counts}
     size = dict.fromkeys(counts, 0)
     for row in sorted(sample, key=lambda r: (r["rank"], r["lang"], r["text"])):
