@@ -33,6 +33,7 @@ from tidemark.llm.store import Workspace, local_path, prepare
 END_ID = 1  #: appended to each document
 CACHE_WORDS = 1_200_000  #: words whose ids a worker remembers, about 200 bytes each
 SHARD_ROWS = 8192  #: documents of a shard, about
+PART_BYTES = 64 << 20  #: bytes of text of one task
 _SPACE = " \t\n\r"
 
 
@@ -114,14 +115,16 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def write(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str, rows_per_shard: int = SHARD_ROWS) -> DataFrame:
-    """Write ``docs`` (doc_id, text) and their manifest below ``folder``; the manifest's rows: name, documents, ids, width, base.
+    """Write ``docs`` (doc_id, text) and their manifest below ``folder``; the manifest's rows: name, documents, nulls (the first of them, which have no doc_id), ids, width, base.
 
     Tasks take ranges of (doc_id, hash of the text), so one repeated doc_id is
     dealt over several; each cuts its range into shards of ``rows_per_shard``.
     """
     prepare(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    parts = max(1, -(-source.count() // rows_per_shard))
+    size = source.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    # tasks by bytes; a small table still goes to every core
+    parts = max(1, -(-size["bytes"] // PART_BYTES), min(-(-size["rows"] // rows_per_shard), 2 * spark.sparkContext.defaultParallelism))
     target = local_path(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,18 +134,18 @@ def write(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str, row
         encoder = _encoder(tokenizer)
         end = np.array([END_ID], encoder.dtype).tobytes()
         task, number, ids, tmp = TaskContext.get().partitionId(), 0, None, ""
-        offsets, documents = [0], []
+        offsets, documents, nulls = [0], [], 0
 
         def close() -> pa.RecordBatch:
-            nonlocal ids, number, offsets, documents
+            nonlocal ids, number, offsets, documents, nulls
             ids.close()
             name = f"{task:08d}-{number:06d}"
             np.array(offsets, "<u8").tofile(f"{tmp}.off")
             np.array(documents, "<i8").tofile(f"{tmp}.doc")
             for kind in ("off", "doc", "ids"):
                 os.replace(f"{tmp}.{kind}", f"{target}/{name}.{kind}")
-            row = pa.RecordBatch.from_arrays([pa.array(x) for x in ([name], [len(documents)], [offsets[-1]], [encoder.dtype.itemsize])], names=["name", "documents", "ids", "width"])
-            ids, number, offsets, documents = None, number + 1, [0], []
+            row = pa.RecordBatch.from_arrays([pa.array(x) for x in ([name], [len(documents)], [nulls], [offsets[-1]], [encoder.dtype.itemsize])], names=["name", "documents", "nulls", "ids", "width"])
+            ids, number, offsets, documents, nulls = None, number + 1, [0], [], 0
             return row
 
         for batch in batches:
@@ -153,7 +156,8 @@ def write(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str, row
                 raw = encoder.encode(text.as_py()) + end
                 ids.write(raw)
                 offsets.append(offsets[-1] + len(raw) // encoder.dtype.itemsize)
-                documents.append(-(1 << 63) if doc is None else doc)
+                documents.append(0 if doc is None else doc)
+                nulls += doc is None  # they come first, so their number tells which they are
                 if len(documents) == rows_per_shard:
                     yield close()
         if ids is not None:
@@ -162,7 +166,7 @@ def write(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str, row
     order = F.col("doc_id").asc_nulls_first()
     placed = source.withColumn("h", F.xxhash64("text")).repartitionByRange(parts, order, "h").sortWithinPartitions(order, "h", "text")
     sizes = f"{folder}/sizes"
-    placed.select("doc_id", "text").mapInArrow(run, "name string, documents long, ids long, width long").write.mode("overwrite").parquet(sizes)
+    placed.select("doc_id", "text").mapInArrow(run, "name string, documents long, nulls long, ids long, width long").write.mode("overwrite").parquet(sizes)
     # one row a shard: names ascend as doc_ids do, and a base is the prefix sum of the sizes before
     before = F.sum("ids").over(Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1))
     manifest = spark.read.parquet(sizes).withColumn("base", F.coalesce(before, F.lit(0)))
@@ -190,8 +194,7 @@ class TokenFiles:
         n = int(np.searchsorted(self.firsts, at, "right")) - 1
         documents, offsets, ids = mapped(self.folder, self.shards[n])
         k = at - int(self.firsts[n])
-        doc = int(documents[k])
-        return None if doc == -(1 << 63) else doc, self.shards[n]["base"] + int(offsets[k]), ids[int(offsets[k]) : int(offsets[k + 1])]
+        return None if k < self.shards[n]["nulls"] else int(documents[k]), self.shards[n]["base"] + int(offsets[k]), ids[int(offsets[k]) : int(offsets[k + 1])]
 
 
 def mapped(folder: str, shard: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -211,7 +214,7 @@ def read(spark: SparkSession, folder: str, shards: DataFrame) -> DataFrame:
                 documents, offsets, ids = mapped(target, row)
                 documents, offsets = np.array(documents), offsets.astype(np.int64)
                 crc = np.fromiter((zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)), np.int64, len(documents))
-                yield pa.RecordBatch.from_arrays([pa.array(documents, mask=documents == -(1 << 63)), pa.array(row["base"] + offsets[:-1]), pa.array(np.diff(offsets)), pa.array(crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(documents, mask=np.arange(len(documents)) < row["nulls"]), pa.array(row["base"] + offsets[:-1]), pa.array(np.diff(offsets)), pa.array(crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     # one row a shard: dealt out, so that each task maps a few
     spread = max(1, min(shards.count(), 4 * spark.sparkContext.defaultParallelism))
