@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,7 +37,7 @@ from tidemark.llm.store import prepare
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_ROWS = 2000  #: distinct texts with candidates learned from, about, chosen by hash of the text
 BELIEF = 0.9  #: marginal from which a token becomes a span
-ROUNDS = 30
+ROUNDS = 400  #: of messages, at most, whatever the size of a document; they end when none moves by 1e-6
 EDITS = 2
 LINKS = ("chain", "equal", "digits", "near", "context")
 #: Log potentials that the fit starts from and is drawn to: what the links are taken to mean where a sample says nothing of them.
@@ -145,6 +146,16 @@ def _edits(a: str, b: str, most: int = EDITS) -> int:
     return row[-1]
 
 
+def _overlapping(by_kind: list[list[tuple[int, int, int]]], start: int, end: int) -> int:
+    """The first base span that overlaps a token; spans of one kind are in order and apart."""
+    found = -1
+    for spans in by_kind:
+        k = bisect_right(spans, start, key=lambda s: s[1])  # the first that ends after the token starts
+        if k < len(spans) and spans[k][0] < end:
+            found = spans[k][2] if found < 0 else min(found, spans[k][2])
+    return found
+
+
 class Candidates:
     """A document's candidate tokens with their observed labels and their links (i, j, kind of link)."""
 
@@ -170,7 +181,8 @@ class Candidates:
         self.bare = [_bare(text[a:b]) for a, b in self.tokens]
         before = [_bare(text[tokens[n - 1][0] : tokens[n - 1][1]]) if n else "" for n in chosen]
         #: the tokens of each base span, which are masked together
-        self.span = [next((at for at, (s, _, e) in enumerate(base) if s < b and a < e), -1) if k >= 0 else -1 for (a, b), k in zip(self.tokens, self.observed, strict=True)] if len(base) < 50 else list(range(len(chosen)))
+        by_kind = [[(s, e, at) for at, (s, k, e) in enumerate(base) if k == kind] for kind in range(len(KINDS))]
+        self.span = [_overlapping(by_kind, a, b) if k >= 0 else -1 for (a, b), k in zip(self.tokens, self.observed, strict=True)]
         self.links: list[tuple[int, int, int]] = [(i, i + 1, 0) for i in range(len(chosen) - 1) if chosen[i] + 1 == chosen[i + 1]]
         linked = {(i, j) for i, j, _ in self.links}
 
@@ -272,7 +284,7 @@ class Field:
         back = np.arange(len(src)) ^ 1
         message = np.full((len(src), n), 1.0 / n)
         damping = 0.0
-        for number in range(max(ROUNDS, len(d.tokens)) if len(d.tokens) < 200 else ROUNDS):
+        for number in range(ROUNDS):
             log = np.log(message)
             total = np.log(unary)
             np.add.at(total, dst, log)
@@ -318,7 +330,7 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 def train(spark: SparkSession, docs: DataFrame) -> Field:
     """A field fitted on a bounded hash sample of the distinct texts that hold digits or an at sign."""
     usable = docs.where(F.col("text").isNotNull() & F.col("text").rlike("[0-9]{7}|@|[0-9]\\.[0-9]+\\.[0-9]"))
-    n = usable.count()
+    n = usable.agg(F.approx_count_distinct("text")).first()[0]
     span = 1 << 30
     limit = int(min(1.0, SAMPLE_ROWS / max(n, 1)) * span)
     # by text, so that copies and rows of one doc_id, however many, are one candidate

@@ -160,9 +160,9 @@ def _held_out():
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Classifier:
     """A classifier from labelled documents that are not held out; the sample is bounded by SAMPLE_ROWS."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~_held_out())
-    counts = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    counts = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.approx_count_distinct("doc_id").alias("n")).collect()}  # repeated labels are one
     span = 1 << 30
-    limit = {label: int(min(1.0, SAMPLE_ROWS / 2 / n) * span) for label, n in counts.items()}
+    limit = {label: int(min(1.0, SAMPLE_ROWS / 2 / max(n, 1)) * span) for label, n in counts.items()}
     chosen = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(span)) < F.when(F.col("toxic") == 1, F.lit(limit.get(1, 0))).otherwise(F.lit(limit.get(0, 0)))).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # the sample's ids are bounded by its documented size, so they may be broadcast
