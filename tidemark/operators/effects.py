@@ -24,13 +24,25 @@ def _spans(windows: DataFrame, first: str, last: str, *keep: str) -> DataFrame:
     return windows.select("event_id", *keep, F.explode(F.sequence(F.expr(first).cast("int"), F.expr(last).cast("int"))).alias("pos"))
 
 
-def fit_market_model(panel: DataFrame, windows: DataFrame, estimation: int) -> DataFrame:
-    """(event_id, unit_id, t0, alpha, beta, r2, n): least squares of ret on mkt over complete estimation windows."""
+def fit_market_model(panel: DataFrame, windows: DataFrame, estimation: int, ridge: float = 0.0) -> DataFrame:
+    """(event_id, unit_id, t0, alpha, beta, r2, n): least squares of ret on mkt over complete estimation windows.
+
+    ``ridge`` is added to both diagonal sums of the normal equations, which a
+    market without variation needs; it is 0 in use.
+    """
     spans = _spans(windows.where("reason is null"), "pre_start", "pre_end - 1", "t0")
-    fits = panel.join(spans, "pos").groupBy("event_id", "unit_id", "t0").agg(
-        F.regr_slope("ret", "mkt").alias("beta"), F.regr_intercept("ret", "mkt").alias("alpha"), F.regr_r2("ret", "mkt").alias("r2"), F.count("ret").alias("n")
-    )
-    return fits.where(F.col("n") == estimation)
+    grouped = panel.join(spans, "pos").groupBy("event_id", "unit_id", "t0")
+    r2, n = F.regr_r2("ret", "mkt").alias("r2"), F.count("ret").alias("n")
+    if not ridge:
+        fits = grouped.agg(F.regr_slope("ret", "mkt").alias("beta"), F.regr_intercept("ret", "mkt").alias("alpha"), r2, n)
+        return fits.where(F.col("n") == estimation)
+    both = F.col("ret").isNotNull() & F.col("mkt").isNotNull()
+    sums = {"sx": F.col("mkt"), "sy": F.col("ret"), "sxx": F.col("mkt") * F.col("mkt"), "sxy": F.col("mkt") * F.col("ret"), "s1": F.lit(1.0)}
+    fits = grouped.agg(*[F.sum(F.when(both, v)).alias(k) for k, v in sums.items()], r2, n)
+    nn, xx = F.col("s1") + ridge, F.col("sxx") + ridge
+    det = nn * xx - F.col("sx") * F.col("sx")
+    beta, alpha = (nn * F.col("sxy") - F.col("sx") * F.col("sy")) / F.nullif(det, F.lit(0.0)), (xx * F.col("sy") - F.col("sx") * F.col("sxy")) / F.nullif(det, F.lit(0.0))
+    return fits.where(F.col("n") == estimation).select("event_id", "unit_id", "t0", beta.alias("beta"), alpha.alias("alpha"), "r2", "n")
 
 
 def abnormal_returns(panel: DataFrame, fits: DataFrame, windows: DataFrame) -> DataFrame:
@@ -183,6 +195,22 @@ def power(effects: DataFrame, alpha: float = 0.05, target: float = 0.8) -> DataF
     return a.select("event_id", "n", "critical", (F.col("critical") - F.col("low")).alias("mde"))
 
 
+def directional_power(effects: DataFrame, alpha: float = 0.05, target: float = 0.8) -> DataFrame:
+    """(event_id, expected, n, critical, mde, mde_50, sd) of placebo effects (event_id, tau, expected), one-sided where a direction was recorded.
+
+    The critical value is a quantile of what the test compares, signed effects in
+    the expected direction or sizes where it is ambiguous; what has to be added
+    to reach it is always a matter of the signed effects.  Figures of a negative
+    direction are negative.
+    """
+    negative, ambiguous = F.col("expected") == "negative", ~F.col("expected").isin("negative", "positive")
+    signed = F.when(negative, -F.col("tau")).otherwise(F.col("tau"))
+    rows = effects.where("tau is not null").select("event_id", "expected", "tau", signed.alias("s"), F.when(ambiguous, F.abs("tau")).otherwise(signed).alias("c"))
+    a = rows.groupBy("event_id", "expected").agg(F.count("*").alias("n"), F.percentile("c", F.lit(1 - alpha)).alias("critical"), F.percentile("s", F.lit(1 - target)).alias("low"), F.percentile("s", F.lit(0.5)).alias("middle"), F.stddev_samp("tau").alias("sd"))
+    sign = F.when(negative, -1.0).otherwise(1.0)
+    return a.select("event_id", "expected", "n", (sign * F.col("critical")).alias("critical"), (sign * (F.col("critical") - F.col("low"))).alias("mde"), (sign * (F.col("critical") - F.col("middle"))).alias("mde_50"), "sd")
+
+
 def power_curve(effects: DataFrame, sizes: tuple[float, ...], alpha: float = 0.05) -> DataFrame:
     """(event_id, effect, detected): share of placebos that an added effect lifts to the critical value."""
     critical = effects.groupBy("event_id").agg(F.percentile(F.abs("tau"), F.lit(1 - alpha)).alias("critical"))

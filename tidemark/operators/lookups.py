@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions import scalars as S
 from tidemark.operators.screening import UnknownId
@@ -85,6 +86,20 @@ def collection(payloads: DataFrame) -> DataFrame:
     return first.select("slug", F.col("f.place").alias("place"), "path", F.col("f.title").alias("title"))
 
 
+def search(payloads: DataFrame, count: int, organisations: tuple[str, ...] = (), types: tuple[str, ...] = ()) -> DataFrame:
+    """(query, place, link, title, published, type, organisation) of the first ``count`` results of each search (query, payload) that one of the organisations issued and that are of one of the types; none given means any."""
+    shape = "results array<struct<link: string, title: string, public_timestamp: string, content_store_document_type: string, organisations: array<struct<slug: string>>>>"
+    rows = payloads.select("query", F.posexplode(F.coalesce(F.from_json("payload", shape)["results"], F.array())).alias("at", "r")).where("r.link is not null")
+    issued = F.transform(F.coalesce("r.organisations", F.array()), lambda o: o["slug"])
+    if organisations:
+        rows = rows.where(F.arrays_overlap(issued, F.array(*map(F.lit, organisations))))
+    if types:
+        rows = rows.where(F.col("r.content_store_document_type").isin(*types))
+    place = F.row_number().over(Window.partitionBy("query").orderBy("at"))
+    out = rows.withColumn("place", place).where(F.col("place") <= count)
+    return out.select("query", "place", "r.link", "r.title", F.col("r.public_timestamp").alias("published"), F.col("r.content_store_document_type").alias("type"), F.array_join(issued, ";").alias("organisation"))
+
+
 def find_collections(payloads: DataFrame) -> DataFrame:
     """(query, place, slug, title) of JSON search payloads (query, payload): results in order, those without a link left out."""
     shape = "results array<struct<link: string, title: string>>"

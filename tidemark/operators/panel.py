@@ -90,14 +90,38 @@ def history_screen(candidates: DataFrame, prices: DataFrame, least_rows: int, en
     return candidates.join(stats, "unit_id", "left").select("unit_id", status.alias("status"), reason.alias("reason"))
 
 
-def controls(panel: DataFrame, prices: DataFrame, windows: DataFrame, momentum: int = 252, skip: int = 21) -> DataFrame:
-    """(event_id, unit_id, size, momentum, pre_event_vol) over each event's estimation window.
+def build_panel(listings: DataFrame, prices: DataFrame, spine: DataFrame, floor: float, screen_start: str, screen_end: str) -> DataFrame:
+    """(unit_id, dt, pos, mkt, ret, turnover, screened_out): source series to the panel that estimators read.
+
+    ``listings`` unit_id, source_ticker, first, last, late; ``prices``
+    source_ticker, dt, px, vol.  Returns are taken on each series' own calendar,
+    series of late markets lagged a step, then given to every unit of the series
+    within its listing, laid on the spine, and units marked whose turnover in the
+    screening window is below ``floor`` or not known.  A unit without a price
+    keeps its rows.
+    """
+    from tidemark.operators.screening import listed_returns
+
+    returns = point_in_time_returns(prices.withColumnRenamed("source_ticker", "unit_id"))
+    late = listings.groupBy("source_ticker").agg(F.max("late").alias("late")).withColumnRenamed("source_ticker", "unit_id")
+    lagged = lag_late_markets(returns.join(late, "unit_id"), F.col("late")).select(F.col("unit_id").alias("source_ticker"), "dt", "ret")
+    own = listed_returns(listings, lagged)
+    grid = spine.crossJoin(listings.select("unit_id"))  # the panel itself: its two dimensions
+    screened = liquidity_screen(prices.withColumnRenamed("source_ticker", "unit_id"), floor, screen_start, screen_end).withColumnRenamed("unit_id", "source_ticker")
+    marks = listings.select("unit_id", "source_ticker").join(screened, "source_ticker", "left").select("unit_id", "turnover", F.coalesce("screened_out", F.lit(True)).alias("screened_out"))
+    return grid.join(own, ["unit_id", "dt"], "left").join(marks, "unit_id").select("unit_id", "dt", "pos", "mkt", "ret", "turnover", "screened_out")
+
+
+def controls(panel: DataFrame, prices: DataFrame | None, windows: DataFrame, momentum: int = 252, skip: int = 21, pence: Column | None = None) -> DataFrame:
+    """(event_id, unit_id, size, momentum, pre_event_vol, size_is_fallback) over each event's estimation window.
 
-    size: log of mean px * vol; momentum: compounded return of ``momentum``
+    size: log of mean px * vol, a hundredth of it for units quoted in ``pence``
+    (a condition on unit_id), or without ``prices`` the log of the returns'
+    variance, which is a weaker stand-in and says so; momentum: compounded return of ``momentum``
     steps that end ``skip`` steps before the window's last, end excluded;
     volatility: yearly sample deviation.  Short histories give null.
     """
-    rows = panel.join(prices.select("unit_id", "dt", "px", "vol"), ["unit_id", "dt"], "left")
+    rows = panel.withColumns({"px": F.lit(None).cast("double"), "vol": F.lit(None).cast("double")}) if prices is None else panel.join(prices.select("unit_id", "dt", "px", "vol"), ["unit_id", "dt"], "left")
     # positions are spelt out, so that windows meet the panel by an equi-join on the calendar ordinal
     first = F.least("pre_start", F.col("pre_end") - 1 - skip - momentum)
     spans = windows.select("event_id", "pre_start", "pre_end", F.explode(F.sequence(F.greatest(first, F.lit(0)), F.col("pre_end") - 1)).alias("pos"))
@@ -106,9 +130,12 @@ def controls(panel: DataFrame, prices: DataFrame, windows: DataFrame, momentum:
     mom = (F.col("pos") >= last - skip - momentum) & (F.col("pos") < last - skip)
     joined = rows.join(spans, "pos")
     out = joined.groupBy("event_id", "unit_id").agg(
-        F.log(F.nullif(F.avg(F.when(pre, F.col("px").cast("double") * F.col("vol"))), F.lit(0.0))).alias("size"),
+        F.avg(F.when(pre, F.col("px").cast("double") * F.col("vol"))).alias("_turnover"), F.var_samp(F.when(pre, F.col("ret"))).alias("_variance"),
         F.expm1(F.sum(F.when(mom, F.log1p("ret")))).alias("momentum"),
         F.count(F.when(mom, F.lit(1))).alias("_m"),
         (F.stddev_samp(F.when(pre, F.col("ret"))) * F.sqrt(F.lit(252.0))).alias("pre_event_vol"),
     )
-    return out.withColumn("momentum", F.when(F.col("_m") == momentum, F.col("momentum"))).drop("_m")
+    turnover = F.col("_turnover") / F.when(F.coalesce(pence, F.lit(False)), 100.0).otherwise(1.0) if pence is not None else F.col("_turnover")
+    of = F.col("_variance") if prices is None else turnover
+    size = F.when(of > 0, F.log(of))
+    return out.select("event_id", "unit_id", size.alias("size"), F.when(F.col("_m") == momentum, F.col("momentum")).alias("momentum"), "pre_event_vol", F.lit(prices is None).alias("size_is_fallback"))

@@ -211,6 +211,13 @@ def control_report(fits: DataFrame, units: DataFrame, gap: int) -> DataFrame:
     return _figures(fits, units, gap).join(count, "event_id").select("event_id", "treated", "tau", "pre_rmspe", "post_rmspe", "n_donors", "max_weight", "n_donors_above_1pct", "effective_donors", F.lit(0.0).alias("intercept"), F.lit(PENALTY).alias("penalty"))
 
 
+def donor_weights(fits: DataFrame) -> DataFrame:
+    """(event_id, treated, place, donor, weight): each fit's donors by descending weight, ties by name; donors of no weight are left out."""
+    one = fits.select("event_id", "treated", F.explode(F.arrays_zip(F.col("donors").alias("donor"), F.col("weights").alias("weight"))).alias("d")).select("event_id", "treated", "d.donor", "d.weight")
+    place = F.row_number().over(Window.partitionBy("event_id", "treated").orderBy(F.desc("weight"), "donor"))
+    return one.select("event_id", "treated", place.alias("place"), "donor", "weight")
+
+
 def leave_one_donor_out(rows: DataFrame, gap: int, least: float = WEIGHT_FLOOR) -> DataFrame:
     """(event_id, treated, left_out, tau, shift, pre_rmspe, failure): refits without each donor of more weight than ``least``; the full fit has left_out null.
 

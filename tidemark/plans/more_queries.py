@@ -8,13 +8,14 @@ from tidemark.operators import discovery as V
 from tidemark.operators import dose as D
 from tidemark.operators import effects as E
 from tidemark.operators import exposure as O
+from tidemark.operators import panel as P
 from tidemark.operators import timing as T
 from tidemark.operators.settle import settled
 from tidemark.plans.dose_queries import _dose
 from tidemark.plans.panel_queries import _ar, _panel, _round, _sig, _windows
 from tidemark.plans.registry import query
 from tidemark.sources import fixtures as X
-from tidemark.sources.fixtures import GAP, HORIZON, cte
+from tidemark.sources.fixtures import ESTIMATION, GAP, HORIZON, cte
 
 _LAGS = " + ".join(f"2 * (1 - {k} / 11.0) * s * coalesce(lag(s, {k}) OVER (PARTITION BY event_id, unit_id ORDER BY x), 0)" for k in range(1, 11))
 
@@ -103,3 +104,60 @@ def separate_reporting(spark, folder):
     from tidemark.operators.reporting import report_separately
 
     return report_separately(X.announcements(spark)).select("event_id", "flagged")
+
+
+@query(
+    "market_model_ridge",
+    cte("panel", "ev") + f"""SELECT event_id, unit_id, CAST(printf('%.7e', ((n + 0.5) * sxy - sx * sy) / ((n + 0.5) * (sxx + 0.5) - sx * sx)) AS DOUBLE) AS beta, CAST(printf('%.7e', ((sxx + 0.5) * sy - sx * sxy) / ((n + 0.5) * (sxx + 0.5) - sx * sx)) AS DOUBLE) AS alpha
+FROM (SELECT event_id, unit_id, count(ret) AS n, sum(mkt) AS sx, sum(ret) AS sy, sum(mkt * mkt) AS sxx, sum(mkt * ret) AS sxy FROM panel JOIN ev ON pos >= pre_start AND pos < pre_end WHERE reason IS NULL GROUP BY 1, 2 HAVING count(ret) = {ESTIMATION} AND count(mkt) = {ESTIMATION})""",
+)
+def market_model_ridge(spark, folder):
+    fits = E.fit_market_model(_panel(spark, folder), _windows(spark, folder), ESTIMATION, ridge=0.5)
+    return _sig(fits.select("event_id", "unit_id", "beta", "alpha"), "beta", "alpha")
+
+
+@query(
+    "directional_power",
+    cte("ar", "ann") + f""", ef AS (SELECT ar.event_id, any_value(direction) AS d, unit_id, sum(ar) AS tau FROM ar JOIN ann ON ann.event_id = ar.event_id WHERE rel BETWEEN 0 AND {HORIZON} GROUP BY ar.event_id, unit_id HAVING count(ar) = {HORIZON + 1}),
+x AS (SELECT event_id, CASE WHEN event_id = 'a9' THEN 'ambiguous' WHEN d = 'tighten' THEN 'negative' ELSE 'positive' END AS expected, tau FROM ef), y AS (SELECT *, CASE WHEN expected = 'negative' THEN -tau ELSE tau END AS s, CASE expected WHEN 'negative' THEN -tau WHEN 'positive' THEN tau ELSE abs(tau) END AS c, CASE WHEN expected = 'negative' THEN -1 ELSE 1 END AS sg FROM x),
+q AS (SELECT event_id, expected, any_value(sg) AS sg, count(*) AS n, quantile_cont(c, 0.95) AS critical, quantile_cont(s, 0.2) AS low, quantile_cont(s, 0.5) AS middle, stddev_samp(tau) AS sd FROM y GROUP BY 1, 2)
+SELECT event_id, expected, CAST(n AS BIGINT) AS n, round(sg * critical, 5) + 0.0 AS critical, round(sg * (critical - low), 5) + 0.0 AS mde, round(sg * (critical - middle), 5) + 0.0 AS mde_50, round(sd, 5) AS sd FROM q""",
+)
+def directional_power(spark, folder):
+    tau = E.car(_ar(spark, folder), 0, HORIZON).join(X.announcements(spark).select("event_id", "direction"), "event_id")
+    expected = F.when(F.col("event_id") == "a9", "ambiguous").when(F.col("direction") == "tighten", "negative").otherwise("positive")
+    return _round(E.directional_power(tau.select("event_id", F.col("car").alias("tau"), expected.alias("expected"))), 5, "critical", "mde", "mde_50", "sd")
+
+
+@query(
+    "loaded_panel",
+    cte("px", "spine") + """, li AS (SELECT n_name AS unit_id, n_name AS source, CASE WHEN n_nationkey % 4 = 0 THEN DATE '1995-01-01' END AS first_, NULL::DATE AS last_, n_nationkey % 3 = 0 AS late FROM nation UNION ALL SELECT n_name || '_OLD', n_name, NULL, DATE '1994-12-31', n_nationkey % 3 = 0 FROM nation WHERE n_nationkey % 4 = 0 UNION ALL SELECT 'NOWHERE', 'none', NULL, NULL, FALSE),
+r AS (SELECT unit_id AS source, dt, CAST(px AS DOUBLE) / lag(px) OVER (PARTITION BY unit_id ORDER BY dt) - 1 AS ret FROM px), l AS (SELECT *, lag(ret) OVER (PARTITION BY source ORDER BY dt) AS before_ FROM r),
+t AS (SELECT unit_id AS source, avg(CASE WHEN dt BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' THEN CAST(px AS DOUBLE) * vol END) AS turnover FROM px GROUP BY 1)
+SELECT li.unit_id, spine.dt, pos, round(CASE WHEN late THEN before_ ELSE ret END, 6) + 0.0 AS ret, CAST(printf('%.7e', turnover) AS DOUBLE) AS turnover, coalesce(turnover < 2e12, TRUE) AS screened_out FROM li CROSS JOIN spine
+LEFT JOIN l ON l.source = li.source AND l.dt = spine.dt AND (first_ IS NULL OR l.dt >= first_) AND (last_ IS NULL OR l.dt <= last_) LEFT JOIN t ON t.source = li.source""",
+)
+def loaded_panel(spark, folder):
+    """Series to panel in one: own calendars, late markets, two units on one series, the spine and the screen."""
+    nation, k = X.table(spark, folder, "nation"), F.col("n_nationkey")
+    none = F.lit(None).cast("date")
+    own = nation.select(F.col("n_name").alias("unit_id"), F.col("n_name").alias("source_ticker"), F.when(k % 4 == 0, F.lit("1995-01-01").cast("date")).alias("first"), none.alias("last"), (k % 3 == 0).alias("late"))
+    old = nation.where(k % 4 == 0).select(F.concat("n_name", F.lit("_OLD")).alias("unit_id"), F.col("n_name").alias("source_ticker"), none.alias("first"), F.lit("1994-12-31").cast("date").alias("last"), (k % 3 == 0).alias("late"))
+    gone = spark.createDataFrame([("NOWHERE", "none", None, None, False)], own.schema)
+    prices = settled(X.weekly_prices(spark, folder))
+    out = P.build_panel(own.unionByName(old).unionByName(gone), prices.select(F.col("unit_id").alias("source_ticker"), "dt", "px", "vol"), P.market_spine(prices), 2e12, "1997-01-01", "1997-12-31")
+    return _sig(_round(out.drop("mkt"), 6, "ret"), "turnover")
+
+
+@query(
+    "controls_without_prices",
+    cte("panel", "ev", "px") + """, a AS (SELECT event_id, panel.unit_id, avg(CAST(px AS DOUBLE) * vol) AS t, var_samp(ret) AS v FROM panel JOIN ev ON pos >= pre_start AND pos < pre_end LEFT JOIN px ON px.unit_id = panel.unit_id AND px.dt = panel.dt WHERE reason IS NULL GROUP BY 1, 2)
+SELECT event_id, unit_id, FALSE AS size_is_fallback, CAST(printf('%.7e', ln(t / CASE WHEN unit_id < 'G' THEN 100 ELSE 1 END)) AS DOUBLE) AS size FROM a UNION ALL SELECT event_id, unit_id, TRUE, CAST(printf('%.7e', ln(v)) AS DOUBLE) FROM a""",
+)
+def controls_without_prices(spark, folder):
+    """Size from turnover, pence scaled, beside its stand-in from returns alone."""
+    prices = settled(X.weekly_prices(spark, folder))
+    panel, windows = settled(_panel(spark, folder, prices)), settled(_windows(spark, folder, prices)).where("reason is null")
+    priced = P.controls(panel, prices, windows, 52, 8, pence=F.col("unit_id") < "G")
+    bare = P.controls(panel, None, windows, 52, 8)
+    return _sig(priced.unionByName(bare).select("event_id", "unit_id", "size_is_fallback", "size"), "size")

@@ -307,5 +307,5 @@ SELECT event_id, unit_id, round(ln(nullif(avg(CASE WHEN pos >= pre_start AND pos
 FROM r JOIN ev ON pos >= pre_start AND pos < pre_end WHERE reason IS NULL GROUP BY 1, 2""",
 )
 def controls_size_momentum_vol(spark, folder):
-    out = P.controls(_panel(spark, folder), X.weekly_prices(spark, folder), _windows(spark, folder).where("reason is null"), momentum=52, skip=8)
+    out = P.controls(_panel(spark, folder), X.weekly_prices(spark, folder), _windows(spark, folder).where("reason is null"), momentum=52, skip=8).drop("size_is_fallback")
     return _round(out, 4, "size", "momentum", "pre_event_vol")
