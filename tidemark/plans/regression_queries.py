@@ -10,6 +10,7 @@ from tidemark.operators import effects as E
 from tidemark.operators import exposure as O
 from tidemark.operators import panel as P
 from tidemark.operators import regression as R
+from tidemark.operators import reporting as V
 from tidemark.operators import resampling as G
 from tidemark.operators import timing as T
 from tidemark.operators.settle import settled
@@ -197,3 +198,32 @@ def identifying_structure(spark, folder):
 @query("wild_bootstrap_with_controls", _REG + taken_out("reg") + ", dr AS (SELECT event_id, unit_id, cluster_id, x0, z1, z2, z3, x, y FROM f)" + resampled("dr", ("z1", "z2", "z3")) + booted_sql(f", {s('p_wild')} AS headline_p, p_floor <= 0.05 AS detectable, p_wild <= p_floor * 1.0001 AS at_the_floor"))
 def wild_bootstrap_with_controls(spark, folder):
     return sig(G.verdicts(G.wild_bootstrap(kept(spark, folder), "webb", controls=R.CONTROLS)), *BOOTED, "headline_p")
+
+
+def headline(spark, folder):
+    rows = _ranked(spark, folder)
+    lever = R.leverage_report(R.leverage(rows))
+    influence = R.influence_verdict(R.drop_path(rows), R.form_agreement(rows, "decile"), lever)
+    signs = R.sign_consistency(rows.join(X.announcements(spark).select("event_id", "direction"), "event_id"), controls=R.CONTROLS)
+    boot = G.verdicts(G.wild_bootstrap(rows, "webb", controls=R.CONTROLS))
+    return V.dose_headline(settled(boot), settled(influence), settled(lever), R.detectable(rows), settled(signs))
+
+
+_HEAD = (
+    _REG + _DROP + _renamed(_FORMS + taken_out("fc", "form"), "fu") + _renamed(_HAT, "fv") + _renamed(", dd AS (SELECT * FROM reg)" + taken_out("dd", "direction"), "fs") + _renamed(taken_out("reg"), "fr")
+    + ", dr AS (SELECT event_id, unit_id, cluster_id, x0, z1, z2, z3, x, y FROM fr)" + resampled("dr", ("z1", "z2", "z3"))
+    + f""", sb AS (SELECT direction, any_value(beta) AS beta, count(DISTINCT event_id) AS k FROM fs GROUP BY 1),
+so AS (SELECT max(CASE WHEN direction = 'tighten' THEN beta END) AS bt, max(CASE WHEN direction = 'loosen' THEN beta END) AS bl, coalesce(max(CASE WHEN direction = 'tighten' THEN k END), 0) AS et, coalesce(max(CASE WHEN direction = 'loosen' THEN k END), 0) AS el FROM sb),
+sg AS (SELECT coalesce(bt * bl < 0, FALSE) AS opp, least(et, el) < 2 OR greatest(greatest(least(2 / pow(6.0, et), 1.0), 1.0 / 2001), greatest(least(2 / pow(6.0, el), 1.0), 1.0 / 2001)) > 0.05 AS weak, least(et, el) AS few FROM so),
+sv AS (SELECT opp, weak, CASE WHEN few = 0 THEN 'NOT RUN' WHEN weak THEN 'UNDERPOWERED' WHEN opp THEN 'PASSES' ELSE 'FAILS' END AS sign_test FROM sg),
+ag AS (SELECT coalesce(max(CASE WHEN form = 'continuous' THEN beta END) * max(CASE WHEN form = 'rank' THEN beta END) > 0, FALSE) AS agrees FROM fu),
+fl AS (SELECT min(CASE WHEN sign(p.beta) <> sign(q.beta) OR p.retained < 0.5 THEN p.k END) AS b FROM path p, path q WHERE q.k = 0 AND p.k > 0),
+hl AS (SELECT boot.beta, p_wild, p_floor, p_random, nominal_firms, effective_firms, b IS NULL AS survives, agrees, top_5 > 0.5 AS concentrated, sign_test, p_floor <= 0.05 AS reachable, p_wild <= p_floor * 1.0001 AS at_the_floor, weak OR opp AS sign_ok FROM boot, fl, ag, sv, {_REPORT})
+"""
+)
+
+
+@query("dose_headline", _HEAD + f"SELECT {s('beta')} AS beta, {s('p_wild')} AS p_wild, {s('p_floor')} AS p_floor, {s('p_random')} AS p_random, CAST(nominal_firms AS BIGINT) AS nominal_firms, {s('effective_firms')} AS effective_firms, survives, agrees, concentrated, CASE WHEN NOT survives OR NOT agrees THEN 'FRAGILE' WHEN concentrated THEN 'CAUTION' ELSE 'ROBUST' END AS influence, sign_test, reachable, at_the_floor, reachable AND NOT at_the_floor AND survives AND agrees AND sign_ok AS trustworthy FROM hl")
+def dose_headline(spark, folder):
+    """The slope with every verdict that goes beside it, and whether all of its checks passed."""
+    return sig(headline(spark, folder).drop("mde"), "beta", "p_wild", "p_floor", "p_random", "effective_firms")
