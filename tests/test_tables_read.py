@@ -3,11 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import regression
+from tidemark.operators import exposure, regression
 from tidemark.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-READ = {"bootstrap_floor_curve": {"orders"}}
+READ = {"bootstrap_floor_curve": {"orders"}, "channel_scores": {"lineitem", "part", "supplier"}}
 
 
 @pytest.mark.parametrize("name", sorted(READ))
@@ -26,3 +26,11 @@ def test_curve_counts_every_customer_once(spark):
     rows = catalogue.queries()["bootstrap_floor_curve"](spark, SF)
     orders = spark.read.parquet(f"{SF}/orders.parquet")
     assert rows.agg(F.sum("designs")).first()[0] == orders.select("o_custkey").distinct().count()
+
+
+def test_channels_decide_in_their_order(spark):
+    rows = [("u1", "tighten", 0.4, None, None), ("u2", "loosen", None, 1.3, 0.5), ("u3", "tighten", None, None, None), ("u4", "tighten", None, 0.2, -1.0), ("u5", "loosen", 0.0, 0.9, 1.0)]
+    frame = spark.createDataFrame(rows, "unit_id string, direction string, residential double, shares double, domestic double")
+    out = exposure.score(frame.withColumn("product", exposure.product_channel(F.col("shares"), F.col("domestic"))), ("residential", "product"), {"residential": -1, "product": 1})
+    got = {r["unit_id"]: (r["channel"], r["magnitude"], r["signed"]) for r in out.collect()}
+    assert got == {"u1": ("residential", 0.4, -0.4), "u2": ("product", 0.5, -0.5), "u3": ("none", 0.0, 0.0), "u4": ("product", 0.0, 0.0), "u5": ("residential", 0.0, 0.0)}
