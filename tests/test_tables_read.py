@@ -3,11 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import exposure, regression
+from tidemark.operators import exposure, regression, timing
 from tidemark.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-READ = {"bootstrap_floor_curve": {"orders"}, "channel_scores": {"lineitem", "part", "supplier"}}
+READ = {"bootstrap_floor_curve": {"orders"}, "channel_scores": {"lineitem", "part", "supplier"}, "clock_alignment": {"events"}}
 
 
 @pytest.mark.parametrize("name", sorted(READ))
@@ -34,3 +34,9 @@ def test_channels_decide_in_their_order(spark):
     out = exposure.score(frame.withColumn("product", exposure.product_channel(F.col("shares"), F.col("domestic"))), ("residential", "product"), {"residential": -1, "product": 1})
     got = {r["unit_id"]: (r["channel"], r["magnitude"], r["signed"]) for r in out.collect()}
     assert got == {"u1": ("residential", 0.4, -0.4), "u2": ("product", 0.5, -0.5), "u3": ("none", 0.0, 0.0), "u4": ("product", 0.0, 0.0), "u5": ("residential", 0.0, 0.0)}
+
+
+def test_clocks_of_five_exchanges(spark):
+    rows = [("Europe/London", 990), ("America/New_York", 960), ("Europe/Paris", 1050), ("Asia/Tokyo", 900), ("Europe/Copenhagen", 1020), ("Europe/London", 1006), ("Europe/London", 975)]
+    got = [tuple(r) for r in timing.clock_alignment(spark.createDataFrame(rows, "zone string, close_minute int")).collect()]
+    assert [r[2:] for r in got] == [(0, "ALIGNED"), (270, "LATE"), (0, "ALIGNED"), (-630, "EARLY"), (-30, "EARLY"), (16, "LATE"), (-15, "ALIGNED")]
