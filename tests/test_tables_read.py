@@ -1,13 +1,15 @@
 """Queries that once made their rows up: each reads its table, and the rules they ran on literal rows hold in the operators."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import exposure, regression, timing
+from tidemark.operators import discovery, exposure, regression, timing
 from tidemark.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-READ = {"bootstrap_floor_curve": {"orders"}, "channel_scores": {"lineitem", "part", "supplier"}, "clock_alignment": {"events"}}
+READ = {"bootstrap_floor_curve": {"orders"}, "channel_scores": {"lineitem", "part", "supplier"}, "clock_alignment": {"events"}, "dated_references": {"documents"}}
 
 
 @pytest.mark.parametrize("name", sorted(READ))
@@ -40,3 +42,15 @@ def test_clocks_of_five_exchanges(spark):
     rows = [("Europe/London", 990), ("America/New_York", 960), ("Europe/Paris", 1050), ("Asia/Tokyo", 900), ("Europe/Copenhagen", 1020), ("Europe/London", 1006), ("Europe/London", 975)]
     got = [tuple(r) for r in timing.clock_alignment(spark.createDataFrame(rows, "zone string, close_minute int")).collect()]
     assert [r[2:] for r in got] == [(0, "ALIGNED"), (270, "LATE"), (0, "ALIGNED"), (-630, "EARLY"), (-30, "EARLY"), (16, "LATE"), (-15, "ALIGNED")]
+
+
+def test_months_beside_instruments_outside_apparatus(spark):
+    rows = [
+        ("d1", "The scheme for home insulation was closed in March 2012 after a review of its costs."),
+        ("d1", "In July 2013 nothing of note was said about any of the houses in the survey area."),
+        ("d2", "A consultation on the levy opened in November 2015 and ran for twelve weeks in all."),
+        ("d2", "HC Deb 12 March 2014, on the obligation of suppliers to fund measures in homes."),
+        ("d3", "The new standard applies from April 2018 to all privately rented homes in the country."),
+    ]
+    got = discovery.dated_references(spark.createDataFrame(rows, "doc string, sentence string"), "doc").select("doc", "month").collect()
+    assert {tuple(r) for r in got} == {("d1", datetime.date(2012, 3, 1)), ("d2", datetime.date(2015, 11, 1)), ("d3", datetime.date(2018, 4, 1))} and len(got) == 3
