@@ -9,7 +9,7 @@ from tidemark.operators import discovery, exposure, regression, timing
 from tidemark.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-READ = {"bootstrap_floor_curve": {"orders"}, "channel_scores": {"lineitem", "part", "supplier"}, "clock_alignment": {"events"}, "dated_references": {"documents"}}
+READ = {"bootstrap_floor_curve": {"orders"}, "channel_scores": {"lineitem", "part", "supplier"}, "clock_alignment": {"events"}, "dated_references": {"documents"}, "design_limits": {"orders"}}
 
 
 @pytest.mark.parametrize("name", sorted(READ))
@@ -54,3 +54,13 @@ def test_months_beside_instruments_outside_apparatus(spark):
     ]
     got = discovery.dated_references(spark.createDataFrame(rows, "doc string, sentence string"), "doc").select("doc", "month").collect()
     assert {tuple(r) for r in got} == {("d1", datetime.date(2012, 3, 1)), ("d2", datetime.date(2015, 11, 1)), ("d3", datetime.date(2018, 4, 1))} and len(got) == 3
+
+
+def test_limits_of_every_week_of_orders(spark):
+    rows = {(str(r["week"]), r["priority"]): r for r in catalogue.queries()["design_limits"](spark, SF).collect()}
+    orders = spark.read.parquet(f"{SF}/orders.parquet").select(F.trunc(F.to_date("o_orderdate"), "week").cast("string").alias("w"), "o_orderpriority", "o_custkey").toPandas()
+    for by, one in ((orders.groupby(["w", "o_orderpriority"]), None), (orders.groupby("w"), 0)):
+        for key, n in by["o_custkey"].nunique().items():
+            r = rows.pop(key if one is None else (key, None))
+            assert (r["donors"], r["donors_for_5_percent"], r["feasible"]) == (n - 1, 19, n >= 20) and r["least_p"] == pytest.approx(1 / n, abs=1e-9)
+    assert not rows
