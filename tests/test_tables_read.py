@@ -9,7 +9,7 @@ from tidemark.operators import discovery, exposure, regression, timing
 from tidemark.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-READ = {"bootstrap_floor_curve": {"orders"}, "channel_scores": {"lineitem", "part", "supplier"}, "clock_alignment": {"events"}, "dated_references": {"documents"}, "design_limits": {"orders"}}
+READ = {"bootstrap_floor_curve": {"orders"}, "channel_scores": {"lineitem", "part", "supplier"}, "clock_alignment": {"events"}, "dated_references": {"documents"}, "design_limits": {"orders"}, "discovery_score": {"lineitem", "orders"}}
 
 
 @pytest.mark.parametrize("name", sorted(READ))
@@ -64,3 +64,10 @@ def test_limits_of_every_week_of_orders(spark):
             r = rows.pop(key if one is None else (key, None))
             assert (r["donors"], r["donors_for_5_percent"], r["feasible"]) == (n - 1, 19, n >= 20) and r["least_p"] == pytest.approx(1 / n, abs=1e-9)
     assert not rows
+
+
+def test_finds_partition_the_reference(spark):
+    reference = spark.createDataFrame([("i1", "levy", "2012-03"), ("i2", "levy", "2014-01"), ("i3", "ban", "2015-05"), ("i4", "grant", "2016-02")], "id string, family string, month string")
+    found = spark.createDataFrame([("levy", "2012-03"), ("levy", "2013-01"), ("ban", "2015-05")], "family string, month string")
+    got = discovery.discovery_score(reference, found).first()
+    assert (got["found"], got["misdated"], got["missed"], got["total"], got["coverage"]) == (2, 1, 1, 4, 0.75) and got["date_accuracy"] == pytest.approx(2 / 3)
