@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import discovery, exposure, regression, timing
 from tidemark.plans import catalogue
+from tidemark.sources import fixtures
 
 SF = "/root/testdata/sf0.001"
-READ = {"bootstrap_floor_curve": {"orders"}, "channel_scores": {"lineitem", "part", "supplier"}, "clock_alignment": {"events"}, "dated_references": {"documents"}, "design_limits": {"orders"}, "discovery_score": {"lineitem", "orders"}}
+READ = {"bootstrap_floor_curve": {"orders"}, "channel_scores": {"lineitem", "part", "supplier"}, "clock_alignment": {"events"}, "dated_references": {"documents"}, "design_limits": {"orders"}, "discovery_score": {"lineitem", "orders"}, "event_groups_transitive": {"orders"}}
 
 
 @pytest.mark.parametrize("name", sorted(READ))
@@ -71,3 +72,18 @@ def test_finds_partition_the_reference(spark):
     found = spark.createDataFrame([("levy", "2012-03"), ("levy", "2013-01"), ("ban", "2015-05")], "family string, month string")
     got = discovery.discovery_score(reference, found).first()
     assert (got["found"], got["misdated"], got["missed"], got["total"], got["coverage"]) == (2, 1, 1, 4, 0.75) and got["date_accuracy"] == pytest.approx(2 / 3)
+
+
+def test_chains_of_announcements(spark):
+    got = dict(timing.group_events(fixtures.announcements(spark)).select("event_id", "group_id").collect())
+    assert got == {e: "grp:a2" if e in ("a2", "a3", "a4") else e for e in (a[0] for a in fixtures.ANNOUNCEMENTS)}
+
+
+def _dictionaries(spark):
+    rows = [("x", "a", "2020-01-01", ""), ("y", "b", "2020-01-03", ""), ("x", "c", "2020-01-10", ""), ("x", "d", "2020-01-24", ""), ("y", "e", "2020-01-05", " budget "), ("y", "f", "2020-01-06", "")]
+    return spark.createDataFrame(rows, "owner string, event_id string, day string, confounder string").withColumn("ts", F.col("day").cast("timestamp"))
+
+
+def test_chains_end_with_their_dictionary(spark):
+    rows = timing.group_events(_dictionaries(spark), 14, "owner").select("owner", "event_id", "group_id").collect()
+    assert {tuple(r) for r in rows} == {("x", "a", "grp:a"), ("x", "c", "grp:a"), ("x", "d", "d"), ("y", "b", "grp:b"), ("y", "e", "grp:b"), ("y", "f", "grp:b")}
