@@ -10,7 +10,7 @@ from tidemark.plans import catalogue
 from tidemark.sources import fixtures
 
 SF = "/root/testdata/sf0.001"
-READ = {"bootstrap_floor_curve": {"orders"}, "channel_scores": {"lineitem", "part", "supplier"}, "clock_alignment": {"events"}, "dated_references": {"documents"}, "design_limits": {"orders"}, "discovery_score": {"lineitem", "orders"}, "event_groups_transitive": {"orders"}}
+READ = {"bootstrap_floor_curve": {"orders"}, "channel_scores": {"lineitem", "part", "supplier"}, "clock_alignment": {"events"}, "dated_references": {"documents"}, "design_limits": {"orders"}, "discovery_score": {"lineitem", "orders"}, "event_groups_transitive": {"orders"}, "event_spacing_violations": {"orders"}}
 
 
 @pytest.mark.parametrize("name", sorted(READ))
@@ -87,3 +87,8 @@ def _dictionaries(spark):
 def test_chains_end_with_their_dictionary(spark):
     rows = timing.group_events(_dictionaries(spark), 14, "owner").select("owner", "event_id", "group_id").collect()
     assert {tuple(r) for r in rows} == {("x", "a", "grp:a"), ("x", "c", "grp:a"), ("x", "d", "d"), ("y", "b", "grp:b"), ("y", "e", "grp:b"), ("y", "f", "grp:b")}
+
+
+def test_spacing_within_a_dictionary(spark):
+    assert {tuple(r) for r in timing.spacing_violations(fixtures.announcements(spark)).collect()} == {("a3", "a2", 9), ("a4", "a3", 8)}
+    assert [tuple(r) for r in timing.spacing_violations(_dictionaries(spark), 14, "owner").collect()] == [("x", "c", "a", 9)]
