@@ -5,12 +5,12 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import discovery, exposure, regression, timing
+from tidemark.operators import checks, discovery, exposure, regression, timing
 from tidemark.plans import catalogue
 from tidemark.sources import fixtures
 
 SF = "/root/testdata/sf0.001"
-READ = {"bootstrap_floor_curve": {"orders"}, "channel_scores": {"lineitem", "part", "supplier"}, "clock_alignment": {"events"}, "dated_references": {"documents"}, "design_limits": {"orders"}, "discovery_score": {"lineitem", "orders"}, "event_groups_transitive": {"orders"}, "event_spacing_violations": {"orders"}}
+READ = {"bootstrap_floor_curve": {"orders"}, "channel_scores": {"lineitem", "part", "supplier"}, "clock_alignment": {"events"}, "dated_references": {"documents"}, "design_limits": {"orders"}, "discovery_score": {"lineitem", "orders"}, "event_groups_transitive": {"orders"}, "event_spacing_violations": {"orders"}, "event_dictionary_issues": {"orders"}}
 
 
 @pytest.mark.parametrize("name", sorted(READ))
@@ -92,3 +92,31 @@ def test_chains_end_with_their_dictionary(spark):
 def test_spacing_within_a_dictionary(spark):
     assert {tuple(r) for r in timing.spacing_violations(fixtures.announcements(spark)).collect()} == {("a3", "a2", 9), ("a4", "a3", 8)}
     assert [tuple(r) for r in timing.spacing_violations(_dictionaries(spark), 14, "owner").collect()] == [("x", "c", "a", 9)]
+
+
+def test_every_check_of_a_dictionary(spark):
+    rows = [
+        ("e1", "2020-01-10", "2020-01-10T09:00:00+00:00", "p", "https://x.org/a", "low", "positive", "s", "tighten", "", "", "", ""),
+        ("e2", "2020-01-15", "2020-01-15T00:00:00Z", "", "https://x.org", "High", "up", "", "loosen", "", "", "", ""),
+        ("e3", "2020-07-01", "2020-06-30T23:30:00Z", "q", "", "medium", "ambiguous", "s;t", "", "true", "", "", ""),
+        ("e3", "2020-07-10", "2020-07-10T10:00:00", "q", "http://y.org/b", "low", "negative", "s", "tighten", "", "", "", ""),
+        ("e4", "bad", "soon", "r", "mailto:z", "low", "negative", "s", "tighten", "", "", "", ""),
+        ("e5", "2030-01-01", "2030-01-01T00:00:00Z", "r", "https://x.org/c", "low", "negative", "s", "tighten", "yes", "c", "", ""),
+    ]
+    names = "event_id date announcement_timestamp_utc policy source_url anticipation_risk expected_direction affected_sectors direction time_known confounders leak_note notes"
+    frame = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names.split()))
+    stamp, close = "announcement_timestamp_utc", ("e2", "announcement_timestamp_utc", "too close to the event before", True)
+    want = [
+        ("e2", "source_url", "bare domain", False), ("e2", "time_known", "midnight without time_known", False), ("e2", "policy", "blank", True), ("e2", "expected_direction", "unknown value", True), ("e2", "affected_sectors", "blank", True),
+        ("e2", "anticipation_risk", "high", False), ("e2", "leak_note", "high risk without a note", False), close, ("e3", "source_url", "missing or not http(s)", True), ("e3", "direction", "blank", True),
+        ("e3", stamp, "no offset", True), ("e3", "event_id", "duplicate", True), ("e4", "source_url", "missing or not http(s)", True), ("e4", stamp, "not a timestamp", True), ("e4", "date", "not the London date", True),
+        ("e5", "time_known", "known time at midnight", False), ("e5", stamp, "in the future", False),
+    ]
+    assert sorted(tuple(r) for r in checks.event_issues(frame, "2024-01-01 00:00:00").collect()) == sorted(want)
+    apart = checks.event_issues(frame.withColumn("owner", F.col("event_id")), "2024-01-01 00:00:00", 14, "owner")
+    assert sorted(tuple(r) for r in apart.collect()) == sorted(w for w in want if w != close)
+
+
+def test_orders_hold_every_defect(spark):
+    found = catalogue.queries()["event_dictionary_issues"](spark, SF).select("column", "message").distinct().collect()
+    assert len(found) == 21
