@@ -5,12 +5,12 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import checks, discovery, exposure, regression, timing
+from tidemark.operators import checks, discovery, exposure, regression, timing, universe
 from tidemark.plans import catalogue
 from tidemark.sources import fixtures
 
 SF = "/root/testdata/sf0.001"
-READ = {"bootstrap_floor_curve": {"orders"}, "channel_scores": {"lineitem", "part", "supplier"}, "clock_alignment": {"events"}, "dated_references": {"documents"}, "design_limits": {"orders"}, "discovery_score": {"lineitem", "orders"}, "event_groups_transitive": {"orders"}, "event_spacing_violations": {"orders"}, "event_dictionary_issues": {"orders"}}
+READ = {"bootstrap_floor_curve": {"orders"}, "channel_scores": {"lineitem", "part", "supplier"}, "clock_alignment": {"events"}, "dated_references": {"documents"}, "design_limits": {"orders"}, "discovery_score": {"lineitem", "orders"}, "event_groups_transitive": {"orders"}, "event_spacing_violations": {"orders"}, "event_dictionary_issues": {"orders"}, "exchange_by_suffix": {"customer"}}
 
 
 @pytest.mark.parametrize("name", sorted(READ))
@@ -120,3 +120,10 @@ def test_every_check_of_a_dictionary(spark):
 def test_orders_hold_every_defect(spark):
     found = catalogue.queries()["event_dictionary_issues"](spark, SF).select("column", "message").distinct().collect()
     assert len(found) == 21
+
+
+def test_exchanges_of_five_listings(spark):
+    listings = spark.createDataFrame([("u1", "AAA.L", None), ("u2", "BBB", None), ("u3", "CC.C.PA", None), ("u4", "D.XX", None), ("u5", "^IDX", ".L")], "unit_id string, source_ticker string, exchange string")
+    known = spark.createDataFrame([(".L", "Europe/London"), ("", "America/New_York"), (".PA", "Europe/Paris")], "suffix string, zone string")
+    got = {r["unit_id"]: (r["suffix"], r["zone"], r["problem"]) for r in universe.exchanges(listings, known).collect()}
+    assert got == {"u1": (".L", "Europe/London", None), "u2": ("", "America/New_York", None), "u3": (".PA", "Europe/Paris", None), "u4": (".XX", None, "unknown suffix"), "u5": (".L", "Europe/London", None)}
